@@ -3,12 +3,17 @@
 The test tables hold no captured traffic, so queries run over packets computed row by row from ``events``: the event
 type picks the frame kind and the number ``k`` in ``props`` picks ports, flags and payloads. The same text runs on
 Spark and on other SQL engines but for the cast of text to bytes.
+
+The packets are written once per session and input folder, so that queries read columns of a table, with filters pushed
+to the scan, as they would read captured traffic.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skywarden.session import written
+
 PACKETS_SQL = """
 WITH base AS (
   SELECT event_id AS e, {ts} AS ts, user_id AS u, event_type AS kind, value AS v,
@@ -68,9 +73,9 @@ packets AS (
     CASE WHEN proto = 6 THEN 1024 * (k % 8) END AS tcp_window,
     CASE WHEN proto = 1 THEN CASE WHEN k % 2 = 0 THEN 8 ELSE 0 END END AS icmp_type,
     CASE WHEN proto = 17 AND udp_dport = 53 THEN CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END END AS dns_qr,
-    CASE WHEN proto = 6 AND k % 10 <> 9 THEN {text_of_tcp}
+    CASE WHEN proto = 6 AND k % 20 <> 7 THEN {text_of_tcp}
          WHEN proto = 17 AND k % 4 < 2 THEN unhex(mavlink_hex) END AS payload,
-    CASE WHEN proto = 6 AND k % 10 <> 9 THEN tcp_text END AS payload_words,
+    CASE WHEN proto = 6 AND k % 20 <> 7 THEN tcp_text END AS payload_words,
     CASE WHEN proto = 17 AND k % 4 < 2 THEN mavlink_hex END AS payload_hex,
     kind, k
   FROM typed)
@@ -90,8 +95,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived packets with all columns of the packet schema."""
+    """The derived packets as a table."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _tables:
+        _tables[place] = written(derive(spark, sf_dir), "packets")
+    return _tables[place]
+
+
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived packets with all columns of the packet schema, as a plan over ``events``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = table(spark, sf_dir, "events")
     events.createOrReplaceTempView("events")

@@ -18,6 +18,12 @@ def micros(ts: str | Column = "ts") -> Column:
     return F.unix_micros(col(ts))
 
 
+def floor_div(value: Column, n: int | Column) -> Column:
+    """Integer quotient rounded down."""
+    n = F.lit(n).cast("long") if isinstance(n, int) else n
+    return ((value - F.pmod(value, n)) / n).cast("long")
+
+
 # --- layer presence -------------------------------------------------------------------------------------------------
 
 def is_ip() -> Column:
@@ -73,7 +79,7 @@ def ipv4_to_int(ip: str | Column) -> Column:
 
 
 def time_bucket(ts: str | Column = "ts", seconds: int = 1) -> Column:
-    return F.floor(F.floor(micros(ts) / F.lit(1_000_000)) / F.lit(seconds))
+    return floor_div(micros(ts), seconds * 1_000_000)
 
 
 def has_bits(flags: str | Column, mask: int) -> Column:

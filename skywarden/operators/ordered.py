@@ -33,7 +33,7 @@ def running_totals(events: DataFrame, keys: Sequence[str], totals: Sequence[str]
     one slice. Results do not depend on it.
     """
     keys = list(keys)
-    slices = events.withColumn("_slice", F.floor(F.col("at") / F.lit(to_micros(slice_s))))
+    slices = events.withColumn("_slice", X.floor_div(F.col("at"), to_micros(slice_s)))
     sums = slices.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(c) for c in totals])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = sums.select(*keys, "_slice", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in totals],
@@ -94,7 +94,7 @@ def trailing_rates(packets: DataFrame, rules: Sequence[RateRule], carry: Sequenc
     keys = ["rule", "key1", "key2"]
     events = matches.select(*keys, "window", F.explode(moments).alias("e")).select(*keys, "window", "e.*")
     if slice_s is None:
-        events = events.withColumn("_slice", F.floor(F.col("at") / F.col("window")))
+        events = events.withColumn("_slice", X.floor_div(F.col("at"), F.col("window")))
         one = Window.partitionBy(*keys, "_slice")
         running = one.orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         expiring = F.sum((F.col("rate") < 0).cast("int")).over(one)
@@ -116,7 +116,7 @@ def overlap_slices(packets: DataFrame, slice_s: float) -> DataFrame:
 
     With slices no shorter than a look-back window, a native row finds its whole window inside its slice.
     """
-    own = F.floor(X.micros() / F.lit(to_micros(slice_s)))
+    own = X.floor_div(X.micros(), to_micros(slice_s))
     copies = F.array(F.struct(own.alias("slice"), F.lit(True).alias("native")),
                      F.struct((own + 1).alias("slice"), F.lit(False).alias("native")))
     return packets.select("*", F.explode(copies).alias("_copy")).select("*", "_copy.*").drop("_copy")
@@ -175,7 +175,7 @@ def distinct_over(packets: DataFrame, keys: Sequence[str], value: str, window_s:
     """
     keys, window = list(keys), to_micros(window_s)
     sighting = F.struct(X.micros().alias("at"), F.col("packet_id").alias("seq"))
-    spans = packets.groupBy(*keys, F.col(value).alias("value"), F.floor(X.micros() / F.lit(window)).alias("_span")).agg(
+    spans = packets.groupBy(*keys, F.col(value).alias("value"), X.floor_div(X.micros(), window).alias("_span")).agg(
         F.min(sighting).alias("lo"), F.max(X.micros()).alias("hi"))
     order = Window.partitionBy(*keys, "value").orderBy("_span")
     spans = spans.withColumns({"since": F.col("lo.at") - F.lag("hi").over(order),

@@ -26,7 +26,7 @@ CONNECTION = ("src_ip", "sport", "dst_ip", "dport")
 
 def _with_state_before(rows: DataFrame, slice_s: float) -> DataFrame:
     """Add ``expected`` and ``established`` as they stand before each row if no alert came earlier."""
-    rows = rows.withColumn("_slice", F.floor(F.col("at") / F.lit(to_micros(slice_s))))
+    rows = rows.withColumn("_slice", X.floor_div(F.col("at"), to_micros(slice_s)))
     ends = rows.groupBy("conn", "_slice").agg(
         F.max(F.when(F.col("sets").isNotNull(), F.struct("at", "packet_id", "sets"))).alias("tail"),
         F.max("resets").alias("resets"))

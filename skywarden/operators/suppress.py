@@ -63,7 +63,7 @@ def _compose(entries: DataFrame, gap: int, length: int) -> DataFrame:
         # an anchor before the block silences at most its first ``gap``; one more row can be the first anchor
         n = int(np.searchsorted(c["at"], key[1].as_py() * length + gap, side="right")) + 1
         return _entries(key[0], c["at"][:n], c["id"][:n], leave[:n])
-    return entries.groupBy("gid", F.floor(F.col("at") / F.lit(length)).alias("block")).applyInArrow(block, ENTRY)
+    return entries.groupBy("gid", X.floor_div(F.col("at"), length).alias("block")).applyInArrow(block, ENTRY)
 
 
 def _hand_down(entries: DataFrame, starts: DataFrame | None, gap: int, length: int | None) -> DataFrame:
@@ -82,7 +82,7 @@ def _hand_down(entries: DataFrame, starts: DataFrame | None, gap: int, length: i
     rows = entries.withColumn("start", F.lit(False))
     if starts is not None:
         rows = rows.unionByName(starts.withColumn("start", F.lit(True)))
-    block_of = F.lit(0) if length is None else F.floor(F.col("at") / F.lit(length))
+    block_of = F.lit(0) if length is None else X.floor_div(F.col("at"), length)
     return rows.groupBy("gid", block_of.alias("block")).applyInArrow(block, ENTRY)
 
 
@@ -106,7 +106,7 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     """
     keys = list(keys)
     gap = to_micros(gap_s) - (0 if inclusive else 1)
-    slice_of = F.floor(F.col("_at") / F.lit(gap))
+    slice_of = X.floor_div(F.col("_at"), gap)
     rows = packets.withColumn("_at", X.micros()).withColumn("_slice", slice_of)
 
     first = F.min(F.struct(F.col("_at").alias("at"), F.col("packet_id").alias("id")))
@@ -131,7 +131,7 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     anchors = short.unionByName(met.select(*[F.col(f"g.{k}").alias(k) for k in keys], "at", "id"))
 
     # anchors are more than a gap apart: a slice has at most its own and the one before it
-    own = F.floor(F.col("at") / F.lit(gap))
+    own = X.floor_div(F.col("at"), gap)
     places = F.array(F.struct(own.alias("_slice"), F.lit(True).alias("here")),
                      F.struct((own + 1).alias("_slice"), F.lit(False).alias("here")))
     anchor = F.struct("at", "id")

@@ -34,8 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "skywarden-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = os.path.join(tempfile.gettempdir(), f"skywarden-{spark.sparkContext.applicationId}")
     return folder
 
 
