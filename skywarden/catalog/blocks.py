@@ -18,19 +18,19 @@ def tcp(s, d):
 
 def suppressed_sql(rows: str, key: str, micros: int, inclusive: bool) -> str:
     """Anchors by following, from each key's first row, the next row beyond the gap."""
-    beyond = ">" if inclusive else ">="
-    return P + f""", r AS (SELECT packet_id, epoch_us(ts) AS t, {key} AS key FROM packets WHERE {rows}),
-  nxt AS (SELECT a.packet_id, arg_min(b.packet_id, (b.t, b.packet_id)) AS next FROM r a JOIN r b
-          ON a.key = b.key AND b.t {beyond} a.t + {micros} GROUP BY 1),
+    beyond = "<" if inclusive else "<="
+    return P + f""", r AS MATERIALIZED (SELECT packet_id, epoch_us(ts) AS t, {key} AS key FROM packets WHERE {rows}),
+  d AS MATERIALIZED (SELECT key, t, min(packet_id) AS packet_id, t + {micros} AS until FROM r GROUP BY ALL),
+  nxt AS MATERIALIZED (SELECT a.packet_id, b.packet_id AS next FROM d a ASOF JOIN d b ON a.key = b.key AND a.until {beyond} b.t),
   anchors AS (WITH RECURSIVE c AS (
-      SELECT arg_min(packet_id, (t, packet_id)) AS packet_id FROM r GROUP BY key
+      SELECT arg_min(packet_id, t) AS packet_id FROM d GROUP BY key
       UNION ALL SELECT n.next FROM c JOIN nxt n ON n.packet_id = c.packet_id) SELECT * FROM c),
   judged AS (SELECT r.packet_id, a.packet_id IS NULL AS flagged,
     max(CASE WHEN a.packet_id IS NOT NULL THEN t END) OVER (PARTITION BY key ORDER BY t, r.packet_id) AS anchor
     FROM r LEFT JOIN anchors a ON a.packet_id = r.packet_id)"""
 
 
-MACHINE = """, r AS (SELECT packet_id, {key} AS key, tcp_seq AS seq, coalesce(octet_length(payload), 0) AS len,
+MACHINE = """, r AS MATERIALIZED (SELECT packet_id, {key} AS key, tcp_seq AS seq, coalesce(octet_length(payload), 0) AS len,
     (tcp_flags // 2) % 2 = 1 OR (tcp_flags // 16) % 2 = 1 AS resets,
     row_number() OVER (PARTITION BY {key} ORDER BY ts, packet_id) AS i FROM packets WHERE {rows}),
   m AS (WITH RECURSIVE s AS (

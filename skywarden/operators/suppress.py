@@ -5,7 +5,8 @@ of all rows (a replay flood is one payload), so a chain is never walked over a w
 
 * Sessions (no pause longer than the gap) come from a map-side aggregate per gap-long slice. A session no longer than
   the gap has one anchor, its first row; nothing else is needed.
-* Longer sessions are cut into blocks. Each block says, for every row that could be its first anchor, which row would be
+* A longer session of few rows is folded as one bounded array.
+* Any other session is cut into blocks. Each block says, for every row that could be its first anchor, which row would be
   its last one. Blocks of blocks are composed the same way, each level some 256 times smaller than the one below.
   The chain is then walked at the top and handed down level by level, all blocks in parallel.
 """
@@ -22,6 +23,7 @@ from skywarden.functions import scalars as X
 from skywarden.operators.ordered import to_micros
 
 FANOUT = 256
+FOLD_ROWS = 256  # sessions up to this many rows are folded as one array
 ENTRY = "gid string, at long, id long, exit long"
 
 
@@ -86,6 +88,15 @@ def _hand_down(entries: DataFrame, starts: DataFrame | None, gap: int, length: i
     return rows.groupBy("gid", block_of.alias("block")).applyInArrow(block, ENTRY)
 
 
+def _folded(times: DataFrame, gap: int) -> DataFrame:
+    """Anchors of sessions with at most ``FOLD_ROWS`` rows."""
+    place = F.struct("at", "id")
+    session = times.groupBy("gid").agg(F.sort_array(F.collect_list(place)).alias("rows"))
+    anchors = F.aggregate("rows", F.slice("rows", 1, 1), lambda kept, row: F.when(
+        row["at"] - F.element_at(kept, -1)["at"] > gap, F.array_append(kept, row)).otherwise(kept))
+    return session.select("gid", F.explode(anchors).alias("a")).select("gid", "a.at", "a.id")
+
+
 def _long_anchors(rows: DataFrame, gap: int, levels: int) -> DataFrame:
     ladder, lengths = [rows], []
     for level in range(1, levels + 1):
@@ -110,24 +121,25 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     rows = packets.withColumn("_at", X.micros()).withColumn("_slice", slice_of)
 
     first = F.min(F.struct(F.col("_at").alias("at"), F.col("packet_id").alias("id")))
-    slices = rows.groupBy(*keys, "_slice").agg(first.alias("lo"), F.max("_at").alias("hi"))
+    slices = rows.groupBy(*keys, "_slice").agg(first.alias("lo"), F.max("_at").alias("hi"), F.count("*").alias("n"))
     order = Window.partitionBy(*keys).orderBy("_slice")
     opens = F.when(F.coalesce(F.col("lo.at") - F.lag("hi").over(order) > gap, F.lit(True)), F.col("lo"))
     slices = slices.withColumn("opens", opens).withColumn(
         "session", F.last("opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sessions = slices.groupBy(*keys, "session").agg(F.max("hi").alias("end"))
+    sessions = slices.groupBy(*keys, "session").agg(F.max("hi").alias("end"), F.sum("n").alias("n"))
     is_long = F.col("end") - F.col("session.at") > gap
     short = sessions.where(~is_long).select(*keys, F.col("session.at").alias("at"), F.col("session.id").alias("id"))
 
     group = F.struct(*keys, F.col("session.at").alias("_session"))
-    long_slices = (slices.join(sessions.where(is_long).select(*keys, "session"), [*keys, "session"], "left_semi")
-                   .select(*keys, "_slice", F.to_json(group).alias("gid")))
+    longer = sessions.where(is_long).select(*keys, "session", (F.col("n") <= FOLD_ROWS).alias("few"))
+    long_slices = slices.join(longer, [*keys, "session"]).select(*keys, "_slice", "few", F.to_json(group).alias("gid"))
     times = (rows.select(*keys, "_slice", "_at", "packet_id").join(long_slices, [*keys, "_slice"])
-             .groupBy("gid", F.col("_at").alias("at")).agg(F.min("packet_id").alias("id"))
-             .withColumn("exit", F.col("at")))
+             .groupBy("gid", "few", F.col("_at").alias("at")).agg(F.min("packet_id").alias("id")))
+    many = times.where(~F.col("few")).select("gid", "at", "id", F.col("at").alias("exit"))
+    met = _folded(times.where("few"), gap).unionByName(_long_anchors(many, gap, levels).drop("exit"))
     fields = [packets.schema[k] for k in keys]
     key_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    met = _long_anchors(times, gap, levels).select(F.from_json("gid", key_type).alias("g"), "at", "id")
+    met = met.select(F.from_json("gid", key_type).alias("g"), "at", "id")
     anchors = short.unionByName(met.select(*[F.col(f"g.{k}").alias(k) for k in keys], "at", "id"))
 
     # anchors are more than a gap apart: a slice has at most its own and the one before it
