@@ -11,7 +11,7 @@ from skywarden.ml import models
 from skywarden.ml.layers import SPECS, is_test_row, training_rows
 from skywarden.operators import buckets
 from skywarden.plans import analyser, internet, network, transport
-from skywarden.session import fresh_folder
+from skywarden.session import fresh_folder, written
 from skywarden.sources.sinks import log_columns
 
 
@@ -36,7 +36,7 @@ def with_id(rows):
 
 def predictions(s, d, layer, kind="boosted", exclude_leaky=False):
     spec = SPECS[layer]
-    rows = with_id(training_rows(layer_log(s, d, layer), spec, exclude_leaky))
+    rows = with_id(training_rows(written(layer_log(s, d, layer), "log"), spec, exclude_leaky))
     model = models.train(rows.where(~is_test_row("row_id")), spec, kind, id_column="row_id")
     return models.score(rows.where(is_test_row("row_id")), model), spec
 

@@ -1 +1,82 @@
-QUERIES = {}
+"""Streams replayed over the packet files, compared with the batch operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skywarden.catalog.aggregates import A_LIMITS, APPLICATION, DURATION, HOURS, T_LIMITS, TRANSPORT, numbered
+from skywarden.catalog.base import DAY, P, packets, rate, seen
+from skywarden.catalog.blocks import machine_sql, suppressed_sql
+from skywarden.functions import scalars as X
+from skywarden.plans.analyser import suspicion
+from skywarden.session import ROCKSDB, fresh_folder
+from skywarden.sources import sinks
+from skywarden.streaming import buckets, stateful
+from skywarden.streaming.replay import run_to_end
+
+# A window is out once the watermark (latest time less the delay, here one hour) has passed its end.
+CLOSED = f"(bucket + 1) * {HOURS * 3600 * 1_000_000} <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM packets) - 3600000000"
+
+
+def stream(s, d):
+    """The packet files as a stream."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    table = packets(s, d)
+    return s.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+
+
+def tcp(s, d):
+    return stream(s, d).where(X.is_tcp())
+
+
+def alerts(s, d):
+    """Alert sink of a stream, with its batches read back."""
+    rows = stream(s, d).select("packet_id", "packet_size", "src_ip", "ttl", "ip_flags", "ip_proto", "tcp_flags", "sport", "dport")
+    found = rows.withColumn("attack_type", suspicion()).where(F.col("attack_type").isNotNull()).select("packet_id", "attack_type")
+    out = fresh_folder(s, "stream-alerts")
+    sinks.stream_alerts(found, out, fresh_folder(s, "stream-alerts-state")).awaitTermination()
+    return s.read.schema("packet_id BIGINT, attack_type STRING, batch BIGINT").parquet(out).drop("batch")
+
+
+def with_closed(sql: str) -> str:
+    return f"SELECT * FROM ({sql}) WHERE " + CLOSED.replace("FROM packets", "FROM events").replace("epoch_us(ts)", "epoch_us(events.ts)")
+
+
+QUERIES = {
+    "stream_transport_buckets": (
+        lambda s, d: numbered(run_to_end(buckets.transport_stream(stream(s, d), DURATION, "1 hour", T_LIMITS), "transport")).withColumn(
+            "avg_len", F.round("avg_len", 6)), with_closed(TRANSPORT)),
+    "stream_application_buckets": (
+        lambda s, d: numbered(run_to_end(buckets.application_stream(stream(s, d), DURATION, "1 hour", A_LIMITS), "application")),
+        with_closed(APPLICATION)),
+    "stream_packet_counts": (
+        lambda s, d: numbered(run_to_end(buckets.packet_counts(stream(s, d), DURATION, "1 hour"), "counts")),
+        with_closed(P + f"""SELECT (epoch_us(ts) // {HOURS * 3600 * 1_000_000})::BIGINT AS bucket, sensor_id, count(*) AS packets,
+        sum(packet_size)::BIGINT AS bytes FROM packets GROUP BY 1, 2""")),
+    "stream_trailing_rate": (
+        lambda s, d: run_to_end(stateful.stream_rates(tcp(s, d), ["src_ip"], DAY), "rates").drop("key"),
+        P + f"SELECT packet_id, {rate('src_ip', DAY)} AS rate FROM packets WHERE ip_proto = 6"),
+    "stream_distinct_so_far": (
+        lambda s, d: run_to_end(stateful.stream_distinct(tcp(s, d), ["src_ip"], "dport"), "distinct").drop("key"),
+        P + f"SELECT packet_id, {seen('src_ip', 'dport')} AS n_distinct FROM packets WHERE ip_proto = 6"),
+    "stream_greedy_suppress": (
+        lambda s, d: run_to_end(stateful.stream_suppress(tcp(s, d), ["src_ip"], DAY), "suppress").select(
+            "packet_id", F.col("flagged").cast("int").alias("flagged"), "anchor"),
+        suppressed_sql("ip_proto = 6", "src_ip", DAY * 1_000_000, True) + " SELECT packet_id, flagged::INT AS flagged, anchor FROM judged"),
+    "stream_sequence_machine": (
+        lambda s, d: run_to_end(stateful.stream_sequence_alerts(stream(s, d), 5, ("src_ip",)), "sequence").drop("key"),
+        machine_sql("ip_proto = 6", "src_ip", 5) + " SELECT * FROM hijack"),
+    "stream_approximate_rates": (
+        lambda s, d: run_to_end(stateful.approximate_rates(tcp(s, d), "src_ip", "24 hours", "6 hours", "1 hour"), "approximate")
+        .withColumn("bucket", F.floor(F.unix_micros("window_start") / F.lit(HOURS * 3600 * 1_000_000))).drop("window_start"),
+        P + f""", b AS (SELECT src_ip, unnest(generate_series((epoch_us(ts) // {HOURS * 3600 * 1_000_000}) - 3,
+          epoch_us(ts) // {HOURS * 3600 * 1_000_000}))::BIGINT AS bucket FROM packets WHERE ip_proto = 6)
+        SELECT src_ip, bucket, count(*) AS n FROM b WHERE (bucket + 4) * {HOURS * 3600 * 1_000_000}
+          <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM packets WHERE ip_proto = 6) - 3600000000 GROUP BY 1, 2"""),
+    "stream_alerts": (
+        alerts,
+        P + """SELECT * FROM (SELECT packet_id, CASE WHEN packet_size < 20 OR packet_size > 9000 THEN 'unusual_packet_size'
+        WHEN src_ip IS NOT NULL AND (ttl < 10 OR ttl > 255) THEN 'unusual_ttl' WHEN src_ip IS NOT NULL AND ip_flags % 2 = 1
+        THEN 'fragmented_packet' WHEN ip_proto = 6 AND tcp_flags = 2 THEN 'potential_syn_flood'
+        WHEN ip_proto = 6 AND sport = dport THEN 'same_port_attack' END AS attack_type FROM packets) WHERE attack_type IS NOT NULL"""),
+}

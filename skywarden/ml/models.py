@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from skywarden.ml.layers import NORMAL_LABELS, SPECS, LayerSpec, training_rows
+from skywarden.session import written
 
 log = logging.getLogger(__name__)
 
@@ -26,11 +27,15 @@ def classifier(spec: LayerSpec, kind: str = "boosted", rounds: int = 100, seed:
     if kind == "forest":
         return RandomForestClassifier(numTrees=rounds, seed=seed)
     boosted = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)
-    return boosted if spec.binary else OneVsRest(classifier=boosted)
+    return boosted if spec.binary else OneVsRest(classifier=boosted, parallelism=4)
 
 
 def train(rows: DataFrame, spec: LayerSpec, kind: str = "boosted", rounds: int = 100, id_column: str | None = None) -> PipelineModel:
-    """Fit one layer's pipeline on rows of ``training_rows``. ``id_column`` is kept out of the features."""
+    """Fit one layer's pipeline on rows of ``training_rows``. ``id_column`` is kept out of the features.
+
+    Boosting reads its input once per round, so the rows are written to the shared folder first.
+    """
+    rows = written(rows, "training")
     indexed = {c: f"{c}_code" for c in spec.text if c in rows.columns}
     skip = {spec.label, id_column}
     features = [indexed.get(c, c) for c in rows.columns if c not in skip]
