@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skywarden.catalog.aggregates import A_LIMITS, APPLICATION, DURATION, HOURS, T_LIMITS, TRANSPORT, numbered
-from skywarden.catalog.base import DAY, P, packets, rate, seen
+from skywarden.catalog.base import DAY, P, packets, rate
 from skywarden.catalog.blocks import machine_sql, suppressed_sql
 from skywarden.functions import scalars as X
 from skywarden.plans.analyser import suspicion
@@ -56,9 +56,9 @@ QUERIES = {
     "stream_trailing_rate": (
         lambda s, d: run_to_end(stateful.stream_rates(tcp(s, d), ["src_ip"], DAY), "rates").drop("key"),
         P + f"SELECT packet_id, {rate('src_ip', DAY)} AS rate FROM packets WHERE ip_proto = 6"),
-    "stream_distinct_so_far": (
-        lambda s, d: run_to_end(stateful.stream_distinct(tcp(s, d), ["src_ip"], "dport"), "distinct").drop("key"),
-        P + f"SELECT packet_id, {seen('src_ip', 'dport')} AS n_distinct FROM packets WHERE ip_proto = 6"),
+    "stream_first_sightings": (
+        lambda s, d: run_to_end(stateful.first_sightings(tcp(s, d), ["src_ip"], "dport"), "sightings"),
+        P + "SELECT DISTINCT src_ip, dport FROM packets WHERE ip_proto = 6"),
     "stream_greedy_suppress": (
         lambda s, d: run_to_end(stateful.stream_suppress(tcp(s, d), ["src_ip"], DAY), "suppress").select(
             "packet_id", F.col("flagged").cast("int").alias("flagged"), "anchor"),

@@ -1,143 +1,80 @@
 """Streaming forms of the ordered operators, one state per key.
 
-Input columns: a text ``key``, ``at`` (microseconds) and ``packet_id``. Rows of one trigger are put in (at, packet_id)
-order; a stream that arrives in time order gives the batch results. State survives restarts in the query's checkpoint.
+Rows of one trigger are put in (time, packet id) order; a stream that arrives in time order gives the batch results.
+State survives restarts in the query's checkpoint. Keys idle for longer than ``idle`` are forgotten; the default never
+forgets, which is what the batch operators do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skywarden.functions import scalars as X
 from skywarden.operators.ordered import to_micros
 from skywarden.operators.sequence import CONNECTION
 
+Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["at", "packet_id"], ignore_index=True)
 
-
-class TrailingRate(StatefulProcessor):
-    """Rate of the trailing window; the state is the times still inside it."""
-
-    def __init__(self, window: int) -> None:
-        self.window = window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "at BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = _ordered(rows)
-        old = np.fromiter((t[0] for t in self.times.get()), dtype=np.int64)
-        at = np.sort(np.concatenate([old, new["at"].to_numpy(dtype=np.int64)]), kind="stable")
+def _trailing_rate(window: int) -> Step:
+    """State: the times still inside the window."""
+    def step(key: tuple, new: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        old = np.asarray(state[0] if state else [], dtype=np.int64)
         mine = new["at"].to_numpy(dtype=np.int64)
-        # place of each new row among all times: times before it, stored ties, and earlier new ties
-        place = (np.searchsorted(old, mine, side="right") + np.arange(len(mine)) + 1)
-        rate = place - np.searchsorted(at, mine - self.window, side="left")
-        kept = at[at >= at[-1] - self.window]
-        self.times.put([(int(t),) for t in kept])
-        yield pd.DataFrame({"key": key[0], "packet_id": new["packet_id"], "rate": rate})
-
-    def close(self) -> None:
-        pass
-
-
-class SeenDistinct(StatefulProcessor):
-    """Distinct values so far. The set never expires unless a time to live is given, which changes results."""
-
-    def __init__(self, ttl_ms: int | None) -> None:
-        self.ttl = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", "value STRING", "seen BIGINT", self.ttl)
-        self.total = handle.getValueState("total", "n BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = _ordered(rows)
-        if self.ttl is None:
-            n = self.total.get()[0] if self.total.exists() else 0
-        else:
-            n = sum(1 for _ in self.values.keys())
-        counts = []
-        for at, value in zip(new["at"], new["value"]):
-            if not self.values.containsKey((value,)):
-                self.values.updateValue((value,), (int(at),))
-                n += 1
-            counts.append(n)
-        self.total.update((n,))
-        yield pd.DataFrame({"key": key[0], "packet_id": new["packet_id"], "n_distinct": counts})
-
-    def close(self) -> None:
-        pass
-
-
-class GreedySuppress(StatefulProcessor):
-    """Flag rows within the gap of the last kept row; the state is that row's time."""
-
-    def __init__(self, gap: int) -> None:
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.anchor = handle.getValueState("anchor", "at BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = _ordered(rows)
+        merged = np.sort(np.concatenate([old, mine]))
+        # place of a new row among all: stored times up to it, and the new rows before it
+        place = np.searchsorted(old, mine, side="right") + np.arange(1, len(mine) + 1)
+        rate = place - np.searchsorted(merged, mine - window, side="left")
+        kept = merged[merged >= merged[-1] - window]
+        return pd.DataFrame({"key": key[0], "packet_id": new["packet_id"], "rate": rate}), (kept.tolist(),)
+    return step
+
+
+def _greedy_suppress(gap: int) -> Step:
+    """State: the time of the last kept row."""
+    def step(key: tuple, new: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         times = new["at"].to_numpy(dtype=np.int64)
-        anchor = self.anchor.get()[0] if self.anchor.exists() else None
+        anchor = state[0] if state else None
         flagged, since = np.ones(len(times), dtype=bool), np.zeros(len(times), dtype=np.int64)
         at = 0
         while at < len(times):
             if anchor is not None:  # everything up to the end of the gap is flagged at once
-                end = int(np.searchsorted(times, anchor + self.gap, side="right"))
-                since[at:max(end, at)] = anchor
-                at = max(end, at)
-                if at == len(times):
-                    break
-            anchor = int(times[at])
-            flagged[at], since[at] = False, anchor
-            at += 1
-        self.anchor.update((anchor,))
-        yield pd.DataFrame({"key": key[0], "packet_id": new["packet_id"], "flagged": flagged, "anchor": since})
-
-    def close(self) -> None:
-        pass
-
-
-class SequenceMachine(StatefulProcessor):
-    """TCP sequence machine; the state of a connection is (expected, counter, established)."""
-
-    def __init__(self, threshold: int, ttl_ms: int | None) -> None:
-        self.threshold, self.ttl = threshold, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("connection", "expected BIGINT, counter BIGINT, established BOOLEAN", self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = _ordered(rows)
-        expected, counter, established = self.state.get() if self.state.exists() else (0, 0, False)
+                end = max(at, int(np.searchsorted(times, anchor + gap, side="right")))
+                since[at:end] = anchor
+                at = end
+            if at < len(times):
+                anchor = int(times[at])
+                flagged[at], since[at] = False, anchor
+                at += 1
+        out = pd.DataFrame({"key": key[0], "packet_id": new["packet_id"], "flagged": flagged, "anchor": since})
+        return out, (anchor,)
+    return step
+
+
+def _sequence(threshold: int) -> Step:
+    """State: (expected, counter, established) of the connection."""
+    def step(key: tuple, new: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        expected, counter, established = state or (0, 0, False)
         alerts = []
-        for packet, seq, size, resets in zip(new["packet_id"], new["tcp_seq"], new["size"], new["resets"]):
+        for packet, seq, size, resets in zip(*(new[c].tolist() for c in ("packet_id", "tcp_seq", "size", "resets"))):
             if resets:
-                expected, established = int(seq) + 1, True
+                expected, established = seq + 1, True
             elif established:
                 wrong = seq != expected
                 counter = counter + 1 if wrong else max(0, counter - 1)
-                if wrong and counter > self.threshold:
+                if wrong and counter > threshold:
                     alerts.append((packet, counter, expected, seq))
                 elif size:
-                    expected = int(seq) + int(size)
-        self.state.update((int(expected), int(counter), bool(established)))
+                    expected = seq + size
         out = pd.DataFrame(alerts, columns=["packet_id", "anomalies", "expected", "got"], dtype="int64")
         out.insert(0, "key", key[0])
-        yield out
-
-    def close(self) -> None:
-        pass
+        return out, (expected, counter, established)
+    return step
 
 
 def _keyed(packets: DataFrame, keys: list[str | Column], *more: Column) -> DataFrame:
@@ -145,32 +82,50 @@ def _keyed(packets: DataFrame, keys: list[str | Column], *more: Column) -> DataF
     return packets.select(text.alias("key"), X.micros().alias("at"), "packet_id", *more)
 
 
-def _run(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="ProcessingTime")
-
-
-def stream_rates(packets: DataFrame, keys: list[str | Column], window_s: float) -> DataFrame:
-    return _run(_keyed(packets, keys), TrailingRate(to_micros(window_s)), "key STRING, packet_id BIGINT, rate BIGINT")
+def _run(rows: DataFrame, step: Step, schema: str, state_schema: str, idle_ms: int | None) -> DataFrame:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(frames), ignore_index=True).sort_values(["at", "packet_id"], ignore_index=True)
+        out, after = step(key, new, state.get if state.exists else None)
+        state.update(after)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield out
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.groupBy("key").applyInPandasWithState(run, schema, state_schema, "append", timeout)
 
 
-def stream_distinct(packets: DataFrame, keys: list[str | Column], value: str | Column, ttl_ms: int | None = None) -> DataFrame:
-    rows = _keyed(packets, keys, X.col(value).cast("string").alias("value"))
-    return _run(rows, SeenDistinct(ttl_ms), "key STRING, packet_id BIGINT, n_distinct BIGINT")
+def stream_rates(packets: DataFrame, keys: list[str | Column], window_s: float, idle_ms: int | None = None) -> DataFrame:
+    return _run(_keyed(packets, keys), _trailing_rate(to_micros(window_s)), "key STRING, packet_id BIGINT, rate BIGINT",
+                "times ARRAY<BIGINT>", idle_ms)
 
 
-def stream_suppress(packets: DataFrame, keys: list[str | Column], gap_s: float, inclusive: bool = True) -> DataFrame:
+def stream_suppress(packets: DataFrame, keys: list[str | Column], gap_s: float, inclusive: bool = True,
+                    idle_ms: int | None = None) -> DataFrame:
     gap = to_micros(gap_s) - (0 if inclusive else 1)
-    return _run(_keyed(packets, keys), GreedySuppress(gap), "key STRING, packet_id BIGINT, flagged BOOLEAN, anchor BIGINT")
+    return _run(_keyed(packets, keys), _greedy_suppress(gap), "key STRING, packet_id BIGINT, flagged BOOLEAN, anchor BIGINT",
+                "anchor BIGINT", idle_ms)
 
 
 def stream_sequence_alerts(packets: DataFrame, threshold: int = 5, keys: tuple[str, ...] = CONNECTION,
-                           ttl_ms: int | None = None) -> DataFrame:
+                           idle_ms: int | None = None) -> DataFrame:
     resets = F.col("tcp_flags").bitwiseAND(F.lit(X.SYN | X.ACK)) != 0
-    rows = _keyed(packets.where(X.is_tcp()), list(keys), F.col("tcp_seq"), X.payload_size().alias("size"),
-                  X.flag(resets).alias("resets"))
+    rows = _keyed(packets.where(X.is_tcp()), list(keys), F.col("tcp_seq").cast("long").alias("tcp_seq"),
+                  X.payload_size().alias("size"), X.flag(resets).alias("resets"))
     schema = "key STRING, packet_id BIGINT, anomalies BIGINT, expected BIGINT, got BIGINT"
-    return _run(rows, SequenceMachine(threshold, ttl_ms), schema)
+    return _run(rows, _sequence(threshold), schema, "expected BIGINT, counter BIGINT, established BOOLEAN", idle_ms)
+
+
+def first_sightings(packets: DataFrame, keys: list[str], value: str, expires: str | None = None) -> DataFrame:
+    """Each (key, value) once, when first seen. The state is spread over (key, value), so no key grows in one place.
+
+    ``expires`` (an event-time delay) forgets sightings, and so reports a value again later.
+    """
+    if expires is None:
+        return packets.select(*keys, value).dropDuplicates([*keys, value])
+    return packets.withWatermark("ts", expires).select(*keys, value, "ts").dropDuplicatesWithinWatermark([*keys, value])
 
 
 def approximate_rates(packets: DataFrame, key: str, window: str, slide: str, delay: str) -> DataFrame:
