@@ -74,7 +74,8 @@ def flag(condition: Column) -> Column:
 
 
 def ipv4_to_int(ip: str | Column) -> Column:
-    octets = F.transform(F.split(col(ip), "[.]"), lambda x: x.cast("long"))
+    """IPv4 text as an integer; null for any other text."""
+    octets = F.transform(F.split(col(ip), "[.]"), lambda x: x.try_cast("long"))
     return F.aggregate(octets, F.lit(0).cast("long"), lambda total, octet: total * 256 + octet)
 
 
