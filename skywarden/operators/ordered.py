@@ -20,6 +20,7 @@ from skywarden.functions import scalars as X
 SECOND = 1_000_000
 LAST = 2**63 - 1  # sorts after every packet id at the same time
 DEFAULT_SLICE_S = 60
+RATE_SLICE = "spark.skywarden.rateSliceSeconds"  # session setting: shorter slices for very dense floods
 
 
 def to_micros(seconds: float) -> int:
@@ -70,8 +71,11 @@ def trailing_rates(packets: DataFrame, rules: Sequence[RateRule], carry: Sequenc
 
     All rules share one scan and one shuffle. Each row arrives at ``t`` and expires just after ``t + window``. Slices as
     long as the window let a slice count its own opening balance (every row alive at its start expires inside it), so
-    no second pass is needed. A flood too dense for one task per window passes a shorter ``slice_s``.
+    no second pass is needed. Where one window of one key is too much for a task, pass a shorter ``slice_s`` (or set it
+    for the session): slices are then opened with pre-aggregated totals, at the price of a second scan.
     """
+    setting = packets.sparkSession.conf.get(RATE_SLICE, None)
+    slice_s = float(setting) if slice_s is None and setting else slice_s
     wanted = F.array_compact(F.array(*[
         F.when(rule.where, F.struct(
             F.lit(i).alias("rule"),

@@ -126,13 +126,16 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     opens = F.when(F.coalesce(F.col("lo.at") - F.lag("hi").over(order) > gap, F.lit(True)), F.col("lo"))
     slices = slices.withColumn("opens", opens).withColumn(
         "session", F.last("opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sessions = slices.groupBy(*keys, "session").agg(F.max("hi").alias("end"), F.sum("n").alias("n"))
+    # rows of a key are already together: the session's end and size need no further shuffle
+    whole = Window.partitionBy(*keys, "session")
+    slices = slices.withColumns({"end": F.max("hi").over(whole), "total": F.sum("n").over(whole)})
     is_long = F.col("end") - F.col("session.at") > gap
-    short = sessions.where(~is_long).select(*keys, F.col("session.at").alias("at"), F.col("session.id").alias("id"))
+    short = slices.where(~is_long & F.col("opens").isNotNull()).select(
+        *keys, F.col("session.at").alias("at"), F.col("session.id").alias("id"))
 
     group = F.struct(*keys, F.col("session.at").alias("_session"))
-    longer = sessions.where(is_long).select(*keys, "session", (F.col("n") <= FOLD_ROWS).alias("few"))
-    long_slices = slices.join(longer, [*keys, "session"]).select(*keys, "_slice", "few", F.to_json(group).alias("gid"))
+    long_slices = slices.where(is_long).select(
+        *keys, "_slice", (F.col("total") <= FOLD_ROWS).alias("few"), F.to_json(group).alias("gid"))
     times = (rows.select(*keys, "_slice", "_at", "packet_id").join(long_slices, [*keys, "_slice"])
              .groupBy("gid", "few", F.col("_at").alias("at")).agg(F.min("packet_id").alias("id")))
     many = times.where(~F.col("few")).select("gid", "at", "id", F.col("at").alias("exit"))

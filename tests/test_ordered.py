@@ -42,6 +42,16 @@ def test_rate_counts_the_trailing_window(frames, slice_s):
     assert by_id(over, "exceeds") == {i: (n > 6,) for i, (n,) in want.items()}
 
 
+def test_short_slices_for_a_whole_session(spark, frames):
+    rows = frames(sample(8))
+    plain = by_id(ordered.rate_over(rows, ["src_ip"], 5), "rate")
+    spark.conf.set(ordered.RATE_SLICE, "0.5")
+    try:
+        assert by_id(ordered.rate_over(rows, ["src_ip"], 5), "rate") == plain
+    finally:
+        spark.conf.unset(ordered.RATE_SLICE)
+
+
 @pytest.mark.parametrize("slice_s", [1, 13])
 def test_distinct_counts(frames, slice_s):
     rows = sample(2)
