@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -76,21 +77,19 @@ def trailing_rates(packets: DataFrame, rules: Sequence[RateRule], carry: Sequenc
     """
     setting = packets.sparkSession.conf.get(RATE_SLICE, None)
     slice_s = float(setting) if slice_s is None and setting else slice_s
-    wanted = F.array_compact(F.array(*[
-        F.when(rule.where, F.struct(
-            F.lit(i).alias("rule"),
-            F.coalesce(X.col(rule.keys[0]), F.lit("")).alias("key1"),
-            (F.coalesce(X.col(rule.keys[1]), F.lit("")) if len(rule.keys) > 1 else F.lit("")).alias("key2"),
-            F.lit(to_micros(rule.window_s)).cast("long").alias("window")))
-        for i, rule in enumerate(rules)]))
+    def group(i: int, rule: RateRule) -> list[Column]:
+        keys = [F.coalesce(X.col(k), F.lit("")) for k in rule.keys] + [F.lit("")]
+        return [F.lit(i).alias("rule"), keys[0].alias("key1"), keys[1].alias("key2"),
+                F.lit(to_micros(rule.window_s)).cast("long").alias("window")]
+
     carried = F.struct(F.col("packet_id"), F.col("ts"), *[X.col(c) for c in carry])
-    any_rule = rules[0].where
-    for rule in rules[1:]:
-        any_rule = any_rule | rule.where
-    matches = (packets.where(any_rule)
-               .select(X.micros().alias("t"), F.col("packet_id").alias("id"), carried.alias("row"),
-                       F.explode(wanted).alias("m"))
-               .select("t", "id", "row", "m.*"))
+    base = [X.micros().alias("t"), F.col("packet_id").alias("id"), carried.alias("row")]
+    if len(rules) == 1:
+        matches = packets.where(rules[0].where).select(*base, *group(0, rules[0]))
+    else:
+        wanted = F.array_compact(F.array(*[F.when(r.where, F.struct(*group(i, r))) for i, r in enumerate(rules)]))
+        any_rule = reduce(lambda a, b: a | b, [r.where for r in rules])
+        matches = packets.where(any_rule).select(*base, F.explode(wanted).alias("m")).select("t", "id", "row", "m.*")
     moments = F.array(
         F.struct(F.col("t").alias("at"), F.col("id").alias("seq"), F.lit(1).alias("rate"), F.col("row").alias("row")),
         F.struct((F.col("t") + F.col("window")).alias("at"), F.lit(LAST).alias("seq"), F.lit(-1).alias("rate"),
@@ -99,9 +98,10 @@ def trailing_rates(packets: DataFrame, rules: Sequence[RateRule], carry: Sequenc
     events = matches.select(*keys, "window", F.explode(moments).alias("e")).select(*keys, "window", "e.*")
     if slice_s is None:
         events = events.withColumn("_slice", X.floor_div(F.col("at"), F.col("window")))
-        one = Window.partitionBy(*keys, "_slice")
-        running = one.orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        expiring = F.sum((F.col("rate") < 0).cast("int")).over(one)
+        order = Window.partitionBy(*keys, "_slice").orderBy("at", "seq")
+        running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        expiring = F.sum((F.col("rate") < 0).cast("int")).over(whole)
         counted = events.withColumn("rate", expiring + F.sum("rate").over(running)).drop("_slice")
     else:
         counted = running_totals(events.withColumn("step", F.lit(0)), keys, ["rate"], slice_s).drop("step")

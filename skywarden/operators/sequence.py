@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skywarden.functions import scalars as X
 from skywarden.operators.ordered import DEFAULT_SLICE_S, to_micros
+from skywarden.session import ship_to_workers
 
+ship_to_workers(__name__)
 CONNECTION = ("src_ip", "sport", "dst_ip", "dport")
 
 

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skywarden.functions import scalars as X
 from skywarden.operators.ordered import to_micros
+from skywarden.session import ship_to_workers
 
+ship_to_workers(__name__)
 FANOUT = 256
 FOLD_ROWS = 256  # sessions up to this many rows are folded as one array
 ENTRY = "gid string, at long, id long, exit long"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,6 +30,11 @@ def build_session(app: str = "skywarden", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship_to_workers(module: str) -> None:
+    """Send the module's functions to Python workers by value, so that executors need not have the package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or a local one where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

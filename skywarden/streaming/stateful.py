@@ -17,7 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from skywarden.functions import scalars as X
 from skywarden.operators.ordered import to_micros
 from skywarden.operators.sequence import CONNECTION
+from skywarden.session import ship_to_workers
 
+ship_to_workers(__name__)
 Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]]
 
 
