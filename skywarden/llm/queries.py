@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skywarden.llm import exact, html, ngram_join, packing, quality, substring, tokenfile, unigram, warc
+from skywarden.llm import exact, html, ngram_join, packing, quality, substring, suffix, tokenfile, unigram, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeated_strings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenfile.fresh(spark), WORD_BPE))
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op4_warc": (op4_warc, WARC_SQL),
     "op5_quality_rules": (op5_quality_rules, QUALITY_SQL),
     "op6_exact_dedup": (op6_exact_dedup, EXACT_SQL),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_token_files": (op8_token_files, None),
     "op9_html_extraction": (op9_html_extraction, None),
     "op10_sentencepiece": (op10_sentencepiece, None),
