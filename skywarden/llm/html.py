@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skywarden.llm import words
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 # fixed values: element kinds of HTML
@@ -122,8 +124,7 @@ def main_text(html: str | None) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), 500):
-            some = batch.slice(at, 500)
+        for some in words.slices(batch, "html"):
             texts = [main_text(x) for x in some["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([some["page_id"], some["url"], pa.array(texts, pa.string()),
                                               pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -53,7 +53,7 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
 
 def _digests(size: int):
     def digests(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in W.slices(whole, "text")):
             sets = shingle_sets(W.column_bytes(pa.chunked_array([batch["text"]])), size)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()),

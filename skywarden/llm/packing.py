@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from skywarden.llm import words
 from skywarden.llm.tokens import Encoder, space_chunks
 
 TOKENS = 2048
@@ -150,8 +151,7 @@ def _packer(path: str, limits: tuple[int, int, int]):
             held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in words.slices(batch, "text"):
                 loss = some["loss_tokens"].to_pylist()
                 for doc, ids, bearing in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"].to_pylist()), loss):
                     ids = np.append(ids, np.uint32(END))

@@ -35,6 +35,7 @@ LENGTH = 200
 SPAN = 100
 GRAM = 8
 BYTES_PER_STRING = 4  # at repeated anchors only
+BLOCK_BYTES = 2 << 20  # a block's arrays take some hundred bytes for each byte of text
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 TABLE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
 BASE = 0x9E3779B97F4A7C15
@@ -336,8 +337,8 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     each other's strings. Strings are judged on the input, not on what is left. Other columns are not looked at. A document's
     text must fit in a task's memory several times over.
     """
-    first = B.layout(docs, text, SPAN / 2)
-    plans = (first, B.layout(docs, text, BYTES_PER_STRING))
+    first = B.layout(docs, text, SPAN / 2, BLOCK_BYTES)
+    plans = (first, B.layout(docs, text, BYTES_PER_STRING, BLOCK_BYTES))
     texts = docs.select(B.block_of(F.col(doc_id), first), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     one = B.answered(texts.groupBy("block").applyInArrow(_ask(plans, 1), B.MESSAGE), B.merge_sketches(1, plans[0].width))
     two = B.answered(B.with_messages(texts, one, _ask(plans, 2), B.MESSAGE), B.merge_sketches(2, plans[1].width))

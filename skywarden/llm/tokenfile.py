@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from skywarden.llm import store
+from skywarden.llm import store, words
 from skywarden.llm.tokens import Encoder, word_chunks
 from skywarden.session import fresh_folder, written
 
@@ -55,8 +55,7 @@ def _writer(folder: str, path: str, end: int):
         length = total = docs = 0
         with store.committed(target, task.taskAttemptId()) as out, pa.ipc.new_file(out, SCHEMA) as file:
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    some = batch.slice(at, 500)
+                for some in words.slices(batch, "text"):
                     for doc, ids in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"].to_pylist())):
                         starts.append((doc, length, len(ids) + 1))
                         held += [ids, np.array([end], np.uint32)]

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skywarden.llm import words
+
 MARKER = "\u2581"
 PENALTY = 10.0
 LONG = 96
@@ -228,8 +230,7 @@ def _encoder(path: str):
         byte = np.zeros(len(model(path).pieces), bool)
         byte[list(model(path).kinds)] = True
         for batch in batches:
-            for at in range(0, max(batch.num_rows, 1), 500):
-                some = batch.slice(at, 500)
+            for some in words.slices(batch, "text"):
                 texts = some["text"].to_pylist()
                 ids = encode(path, texts)
                 same = [decode(path, i.tolist()) == (t or "").replace(MARKER, " ") for i, t in zip(ids, texts)]

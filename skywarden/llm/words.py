@@ -6,10 +6,12 @@ A word is a run of bytes other than space, tab, line feed, vertical tab, form fe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import xxhash
 
 CACHED_WORDS = 300_000
@@ -67,6 +69,15 @@ def window_hashes(h: np.ndarray, size: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text each, or one longer text; at least one part, also of an empty batch."""
+    sizes = np.array([x or 0 for x in pa.compute.binary_length(batch[column]).to_pylist()], np.int64)
+    part = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
 def column_bytes(column: pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()
