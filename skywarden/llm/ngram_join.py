@@ -12,7 +12,8 @@ estimate is the same for all sets that hold the shingle and never too low, so no
 
 Links are not expanded inside a group: members of a list are first compared with the list's smallest member; then, after
 these links were merged into components, only members of one list that are still in different components are compared.
-Every pair that can link is thus compared or already connected.
+Every pair that can link is thus compared or already connected. In the list of a pair's first common shingles, what lies before them
+bounds the overlap; members whose bound is too small for both sizes are not compared there.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ PERCENT = 90
 SHINGLE = 3
 BYTES_PER_SHINGLE = 6
 CLASSES = 4  # size classes per doubling, for the cost histogram
-KEYS = "kind int, key long, rep long, n int, cost double, body binary"
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -108,11 +108,11 @@ def _prefixes(plan: B.Layout, size: int, percent: int):
                 one, two = rank[:max(spare + 1 - single, 0)], rank[:max(spare + 2 - single, 0)]
                 if not len(one) and len(two) < 2:
                     continue
-                rows.append((rep, n, own[one].tobytes(), own[two].tobytes(), float(mine[one].astype(np.int64).sum()),
+                rows.append((rep, n, single, own[one].tobytes(), own[two].tobytes(), float(mine[one].astype(np.int64).sum()),
                              float(len(two) * (len(two) - 1) / 2), own.tobytes()))
-        cols = list(zip(*rows)) if rows else [[] for _ in range(7)]
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary())
-        names = ("rep", "n", "one", "two", "scan_cost", "subset_cost", "body")
+        cols = list(zip(*rows)) if rows else [[] for _ in range(8)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary())
+        names = ("rep", "n", "single", "one", "two", "scan_cost", "subset_cost", "body")
         return pa.table({name: pa.array(col, kind) for name, col, kind in zip(names, cols, kinds)})
     return prefixes
 
@@ -131,28 +131,25 @@ def boundary(prefixes: DataFrame) -> int:
 
 
 def _keys(cut: int, percent: int):
-    """(kind, key, rep, n): kind 2 for subsets of small sets, 1 for list entries."""
+    """(kind, key, rep, n, r): kind 2 for subsets of small sets, 1 for list entries.
+
+    ``r`` bounds the overlap of two sets whose first common shingles are the key: what lies before them is not common.
+    """
 
     def keys(batches):
         for batch in batches:
-            kind, key, rep, size = [], [], [], []
-            for r, n, one, two in zip(*(batch[c].to_pylist() for c in ("rep", "n", "one", "two"))):
+            rows: list[tuple] = []
+            for rep, n, single, one, two in zip(*(batch[c].to_pylist() for c in ("rep", "n", "single", "one", "two"))):
                 if n <= cut:
                     h = np.frombuffer(two, np.uint64)
-                    for a, b in combinations(np.sort(h), 2):
-                        kind.append(2)
-                        key.append(int.from_bytes(xxhash.xxh3_64_digest(a.tobytes() + b.tobytes()), "little", signed=True))
-                        rep.append(r)
-                        size.append(n)
+                    for i, j in combinations(range(len(h)), 2):
+                        pair = np.sort(h[[i, j]]).tobytes()
+                        rows.append((2, int.from_bytes(xxhash.xxh3_64_digest(pair), "little", signed=True), rep, n, n - single - j + 1))
                 if n > cut or 100 * n >= percent * cut:
-                    h = np.frombuffer(one, np.int64)
-                    kind += [1] * len(h)
-                    key += h.tolist()
-                    rep += [r] * len(h)
-                    size += [n] * len(h)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(rep, pa.int64()), pa.array(size, pa.int32())],
-                ["kind", "key", "rep", "n"])
+                    rows += [(1, key, rep, n, n - single - i) for i, key in enumerate(np.frombuffer(one, np.int64).tolist())]
+            cols = list(zip(*rows)) if rows else [[] for _ in range(5)]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "key", "rep", "n", "r"])
     return keys
 
 
@@ -197,27 +194,28 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         B.merge_sketches(1, plan.width))
     told = totals.unionByName(chosen, allowMissingColumns=True)
     prefixes = written(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        _prefixes(plan, size, percent), "rep long, n int, one binary, two binary, scan_cost double, subset_cost double, body binary"), "prefixes")
+        _prefixes(plan, size, percent), "rep long, n int, single int, one binary, two binary, scan_cost double, subset_cost double, body binary"), "prefixes")
     sets = prefixes.select("rep", "body")
-    entries = written(prefixes.select("rep", "n", "one", "two").mapInArrow(
-        _keys(boundary(prefixes), percent), "kind int, key long, rep long, n int"), "entries")
-
-    heads = entries.groupBy("kind", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("n_a"))
-    heads = written(heads.where("a <> last").select("kind", "key", "a", "n_a"), "heads")
-    fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    stars = (entries.select("kind", "key", F.col("rep").alias("b"), F.col("n").alias("n_b")).join(heads, ["kind", "key"])
+    entries = written(prefixes.select("rep", "n", "single", "one", "two").mapInArrow(
+        _keys(boundary(prefixes), percent), "kind int, key long, rep long, n int, r int"), "entries")
+
+    heads = entries.groupBy("kind", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("n_a"),
+                                              F.min_by("r", "rep").alias("r_a"))
+    heads = written(heads.where("a <> last").select("kind", "key", "a", "n_a", "r_a"), "heads")
+    fits = F.expr(f"{100 + percent} * least(r_a, r_b) >= {percent} * (n_a + n_b)")
+    stars = (entries.select("kind", "key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b")).join(heads, ["kind", "key"])
              .where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct())
     links = written(_linked(stars, sets, percent), "links")
     labels = components(links)
 
     # what is still apart: members of one list in different components
     named = (entries.join(labels, entries.rep == labels.node, "left")
-             .select("kind", "key", "rep", "n", F.coalesce("component", "rep").alias("component")))
+             .select("kind", "key", "rep", "n", "r", F.coalesce("component", "rep").alias("component")))
     named = written(named, "named")
     apart = (named.groupBy("kind", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("kind", "key"))
     apart = written(named.join(written(apart, "apart"), ["kind", "key"]), "members")
-    left, right = (apart.select("kind", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component"))) for s in "ab")
+    left, right = (apart.select("kind", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "r", "component"))) for s in "ab")
     rest = (left.join(right, ["kind", "key"]).where((F.col("component_a") < F.col("component_b")) & fits)
             .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
     more = written(_linked(rest, sets, percent), "links")
