@@ -31,7 +31,7 @@ def hits_sql(*names: str) -> str:
 
 
 def best_sql(*names: str) -> str:
-    return (f"(SELECT packet_id, detector AS attack_type, severity, details FROM {hits_sql(*names)} "
+    return (f"(SELECT packet_id, detector AS attack_type, severity, details FROM {hits_sql(*names)} WHERE severity > 0 "
             "QUALIFY row_number() OVER (PARTITION BY packet_id ORDER BY severity DESC, position) = 1)")
 
 

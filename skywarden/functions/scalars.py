@@ -100,17 +100,22 @@ def any_positive(*columns: str) -> Column:
     return flag(F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in columns]) > 0)
 
 
-def ratio_text(part: Column, whole: Column) -> Column:
-    """``part / whole`` (0..1, integers) with two decimals, rounded as the binary double rounds.
+def two_decimals(x: Column) -> Column:
+    """Text of a double that is not negative with two decimals, rounded as its binary value rounds, exact halves to even.
 
-    A ratio half way between two texts follows the nearest double, so those hundred cases come from a table.
+    The double is split into two parts whose products with 200 are exact, so the distance to the half way point has the right sign.
     """
-    halves = F.array(*[F.lit(f"{k / 200:.2f}") for k in range(1, 200, 2)])
-    doubled = part * F.lit(200)
-    odd = (doubled % whole == 0) & (F.floor(doubled / whole) % 2 == 1)
-    position = F.floor((F.floor(doubled / whole) + 1) / 2).cast("int")
-    return F.when(odd, F.element_at(halves, F.greatest(position, F.lit(1)))).otherwise(
-        F.format_string("%.2f", (part / whole).cast("double")))
+    whole = F.floor(x * 100)
+    scaled = x * F.lit(134217729.0)
+    high = scaled - (scaled - x)
+    beyond = (high * 200 - (2 * whole + 1).cast("double")) + (x - high) * 200
+    n = whole + F.when((beyond > 0) | ((beyond == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
+def ratio_text(part: Column, whole: Column) -> Column:
+    """``part / whole`` with two decimals."""
+    return two_decimals((part / whole).cast("double"))
 
 
 # --- labels ---------------------------------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Lookups in rule, gateway and fleet tables."""
+"""Lookups in rule, gateway and fleet tables. Spark picks the join by the table's size."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skywarden.functions import scalars as X
 
-BROADCAST_ROWS = 100_000
-
 
 def name_of(code: str | Column, names: dict[int, str], default: Column | str = "Unknown") -> Column:
     """Name of a code in a small fixed table, as an expression (no join, no shuffle)."""
@@ -24,26 +22,21 @@ def rule_table(spark: SparkSession, names: dict, columns: tuple[str, str]) -> Da
     return spark.createDataFrame(list(names.items()), list(columns))
 
 
-def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a table found to have at most ``rows`` rows; beyond that Spark picks the join."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def with_service(packets: DataFrame, services: DataFrame, port: str = "dport") -> DataFrame:
     """Left join of a (port, service) table; unknown ports are ``Unknown``."""
-    known = broadcast_if_small(services.select(F.col("port").alias(port), "service"))
+    known = services.select(F.col("port").alias(port), "service")
     return packets.join(known, port, "left").withColumn("service", F.coalesce("service", F.lit("Unknown")))
 
 
 def outside_gateways(packets: DataFrame, gateways: DataFrame, subnet: str = "192.168.4.") -> DataFrame:
     """Packets whose source is no known gateway and not in the expected subnet."""
-    known = broadcast_if_small(gateways.select(F.col("ip").alias("src_ip")).distinct())
+    known = gateways.select(F.col("ip").alias("src_ip")).distinct()
     return packets.where(~F.startswith(F.col("src_ip"), F.lit(subnet))).join(known, "src_ip", "left_anti")
 
 
 def with_fleet(alerts: DataFrame, fleet: DataFrame) -> DataFrame:
     """Add ``src_role``, ``dst_role`` and ``involves_fleet`` from a (ip, role) table."""
-    fleet = broadcast_if_small(fleet.dropDuplicates(["ip"]))
+    fleet = fleet.dropDuplicates(["ip"])
     for side in ("src", "dst"):
         alerts = alerts.join(fleet.select(F.col("ip").alias(f"{side}_ip"), F.col("role").alias(f"{side}_role")),
                              f"{side}_ip", "left")

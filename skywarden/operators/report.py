@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skywarden.functions import scalars as X
-from skywarden.operators.ordered import running_counts
+from skywarden.operators.ordered import running_counts, to_micros
 
 
 def totals(log: DataFrame, stored: Column | None = None) -> DataFrame:
@@ -54,22 +54,22 @@ def stream_size_stats(packets: DataFrame, small: int = 100, slice_s: float = 60)
         "packet_count": F.lit(1), "small_count": X.flag(F.col("packet_size") < small)}, ["packet_size"], slice_s)
 
 
-SMOOTHING_ROWS = 64  # older rows weigh less than one part in 2**64, below what a double holds
+def stream_state(packets: DataFrame, small: int = 100, slice_s: float = 60) -> DataFrame:
+    """Final state of each ``src_ip:sport`` stream: counts, and the size smoothed by ``(smoothed + size) / 2`` over all packets.
 
-
-def stream_state(packets: DataFrame, small: int = 100) -> DataFrame:
-    """Final state of each ``src_ip:sport`` stream: counts, and the size smoothed by ``(smoothed + size) / 2``.
-
-    Smoothing halves the past at each packet, so the last 64 packets settle it. The row-number limit is applied before
-    the shuffle; no stream is collected.
+    A packet weighs 1/2 for each packet from itself to the end, the first one counts once more. Weights inside a time slice
+    and the packets of later slices are found apart, so no stream is in one task and none is cut.
     """
-    stream = ["src_ip", "sport"]
-    newest = Window.partitionBy(*stream).orderBy(F.desc("ts"), F.desc("packet_id"))
-    tail = (packets.select(*stream, "ts", "packet_id", "packet_size").withColumn("place", F.row_number().over(newest))
-            .where(F.col("place") <= SMOOTHING_ROWS).groupBy(*stream)
-            .agg(F.sort_array(F.collect_list(F.struct("ts", "packet_id", "packet_size"))).alias("tail")))
-    first = F.get("tail", F.lit(0))["packet_size"].cast("double")
-    smoothed = F.aggregate("tail", first, lambda a, x: (a + x["packet_size"].cast("double")) / 2)
-    counts = packets.groupBy(*stream).agg(
-        F.count("*").alias("packet_count"), F.count_if(F.col("packet_size") < small).alias("small_count"))
-    return counts.join(tail.select(*stream, smoothed.alias("smoothed_size")), stream)
+    stream, half = ["src_ip", "sport"], F.lit(0.5)
+    place = F.struct("ts", "packet_id", F.col("packet_size").cast("double").alias("size"))
+    newest = Window.partitionBy(*stream, "_slice").orderBy(F.desc("ts"), F.desc("packet_id"))
+    rows = packets.select(*stream, "ts", "packet_id", "packet_size", X.floor_div(X.micros(), to_micros(slice_s)).alias("_slice"))
+    slices = rows.withColumn("_place", F.row_number().over(newest)).groupBy(*stream, "_slice").agg(
+        F.sum(F.col("packet_size") * F.pow(half, "_place")).alias("value"), F.count("*").alias("n"),
+        F.count_if(F.col("packet_size") < small).alias("small"), F.min(place).alias("first"))
+    later = F.sum("n").over(Window.partitionBy(*stream).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1))
+    totals = slices.withColumn("later", F.coalesce(later, F.lit(0))).groupBy(*stream).agg(
+        F.sum("n").alias("packet_count"), F.sum("small").alias("small_count"),
+        F.sum(F.col("value") * F.pow(half, "later")).alias("value"), F.min("first").alias("first"))
+    smoothed = F.col("value") + F.col("first.size") * F.pow(half, "packet_count")
+    return totals.select(*stream, "packet_count", "small_count", smoothed.alias("smoothed_size"))

@@ -75,11 +75,14 @@ def _judge(threshold: int):
 
 def sequence_alerts(packets: DataFrame, threshold: int = 5, keys: Sequence[str] = CONNECTION,
                     strict_synack: bool = False, slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
-    """(packet_id, anomalies, expected, got) of each alert. ``strict_synack`` wants both SYN and ACK to establish."""
+    """(packet_id, anomalies, expected, got) of each alert. ``strict_synack`` wants both SYN and ACK to establish.
+
+    Rows without a sequence number say nothing and are left out.
+    """
     mask = X.SYN | X.ACK
     bits = F.col("tcp_flags").bitwiseAND(F.lit(mask))
     resets = (bits == mask if strict_synack else bits != 0)
-    rows = packets.where(X.is_tcp()).select(
+    rows = packets.where(X.is_tcp() & F.col("tcp_seq").isNotNull()).select(
         F.to_json(F.struct(*keys)).alias("conn"), X.micros().alias("at"), "packet_id", "tcp_seq",
         X.payload_size().alias("size"), X.flag(resets).alias("resets"))
     # a row that neither judges nor establishes for a judged row cannot matter: connections without judged rows go first

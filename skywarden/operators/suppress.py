@@ -115,9 +115,11 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     """Add ``flagged`` and ``anchor_ts``, the kept row that silences a flagged one (its own time for a kept row).
 
     Inclusive: flagged when at most ``gap_s`` after the anchor; exclusive: less than ``gap_s``. Rows at one time count
-    by packet id. ``levels`` composed levels keep every group bounded; results do not depend on it.
+    by packet id. Null keys equal each other. ``levels`` composed levels keep every group bounded; results do not depend on it.
     """
-    keys = list(keys)
+    # one key column that is never null: rows with null keys form groups of their own
+    named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    packets, keys = packets.withColumn("_key", F.md5(named)), ["_key"]
     gap = to_micros(gap_s) - (0 if inclusive else 1)
     slice_of = X.floor_div(F.col("_at"), gap)
     rows = packets.withColumn("_at", X.micros()).withColumn("_slice", slice_of)
@@ -159,4 +161,4 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     return (rows.join(near, [*keys, "_slice"]).withColumn("_anchor", chosen)
             .withColumns({"flagged": F.col("_anchor.id") != F.col("packet_id"),
                           "anchor_ts": F.timestamp_micros(F.col("_anchor.at"))})
-            .drop("_at", "_slice", "own", "before", "_anchor"))
+            .drop("_key", "_at", "_slice", "own", "before", "_anchor"))

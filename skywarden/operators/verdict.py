@@ -38,9 +38,12 @@ def all_hits(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """One row per packet with hits: the most severe, first listed on ties. Only hits are shuffled, by packet."""
+    """One row per packet with hits: the most severe, first listed on ties. A hit of severity 0 decides nothing.
+
+    Only hits are shuffled, by packet.
+    """
     best = F.max(F.struct(F.col("severity"), (-F.col("position")).alias("order"), F.col("detector"), F.col("details")))
-    return (found.groupBy("packet_id").agg(best.alias("best"))
+    return (found.where(F.col("severity") > 0).groupBy("packet_id").agg(best.alias("best"))
             .select("packet_id", F.col("best.detector").alias("attack_type"), "best.severity", "best.details"))
 
 

@@ -69,7 +69,7 @@ def session_replay(packets: DataFrame, fleet: Sequence[str], gap_s: float = 2) -
     again = greedy_suppress(data, ["src_ip", "dst_ip", "hash"], gap_s).where("flagged")
     gap = (X.micros("ts") - X.micros("anchor_ts")) / 1e6
     return hits(again, "SESSION_REPLAY", 4, F.lit(7), X.text(
-        "replay_detected,hash:", F.left("hash", F.lit(8)), ",time_diff:", F.format_string("%.2f", gap), "s"))
+        "replay_detected,hash:", F.left("hash", F.lit(8)), ",time_diff:", X.two_decimals(gap), "s"))
 
 
 def drone_transport_hits(packets: DataFrame, fleet: Sequence[str], limits: Limits | None = None, ports: int = 10,

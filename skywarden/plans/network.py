@@ -71,7 +71,7 @@ def network_log(packets: DataFrame, target_mac: str = "", limits: Limits | None
                       _mac_hits(rates, mac_limit)])
     marks = found.unionByName(rates.select("packet_id", F.col("n_distinct").alias("packet_rate")), allowMissingColumns=True)
     marks = marks.unionByName(sampled(packets, every).withColumn("is_sampled", F.lit(1)), allowMissingColumns=True)
-    best = F.max(F.struct("severity", (-F.col("position")).alias("order"), "detector")).alias("best")
+    best = F.max(F.when(F.col("severity") > 0, F.struct("severity", (-F.col("position")).alias("order"), "detector"))).alias("best")
     # one shuffle by packet gathers verdict, flags, MAC rate and sampling mark
     by_packet = marks.groupBy("packet_id").agg(
         best, *[F.max(F.when(F.col("detector") == d, 1).otherwise(0)).alias(d.lower()) for d in DETECTORS],

@@ -114,7 +114,7 @@ def stream_suppress(packets: DataFrame, keys: list[str | Column], gap_s: float,
 def stream_sequence_alerts(packets: DataFrame, threshold: int = 5, keys: tuple[str, ...] = CONNECTION,
                            idle_ms: int | None = None) -> DataFrame:
     resets = F.col("tcp_flags").bitwiseAND(F.lit(X.SYN | X.ACK)) != 0
-    rows = _keyed(packets.where(X.is_tcp()), list(keys), F.col("tcp_seq").cast("long").alias("tcp_seq"),
+    rows = _keyed(packets.where(X.is_tcp() & F.col("tcp_seq").isNotNull()), list(keys), F.col("tcp_seq").cast("long").alias("tcp_seq"),
                   X.payload_size().alias("size"), X.flag(resets).alias("resets"))
     schema = "key STRING, packet_id BIGINT, anomalies BIGINT, expected BIGINT, got BIGINT"
     return _run(rows, _sequence(threshold), schema, "expected BIGINT, counter BIGINT, established BOOLEAN", idle_ms)

@@ -77,11 +77,24 @@ def test_network_log_keeps_attacks_target_and_samples(frames):
 
 
 def test_smoothed_stream_size(frames):
-    sizes = [100, 50, 900, 30] * 40
+    sizes = [100, 50, 900, 30] * 250
     rows = [{"at": i, "src_ip": "a", "sport": 1, "packet_size": n} for i, n in enumerate(sizes)]
     smoothed = sizes[0]
     for n in sizes:
         smoothed = (smoothed + n) / 2
     got = report.stream_state(frames(rows)).first()
-    assert (got.packet_count, got.small_count) == (160, 80)
+    assert (got.packet_count, got.small_count) == (1000, 500)
     assert abs(got.smoothed_size - smoothed) < 1e-9
+
+
+def test_two_decimals_round_as_binary_doubles(spark):
+    values = [0.0, 0.125, 0.375, 1.005, 1.115, 2.675, 0.005, 0.015, 99.995, 1234567.125, 0.994999, 0.995, 3.0, 12.34]
+    values += [k / 200 for k in range(1, 400, 2)] + [i / 1e6 for i in range(5000, 9_000_000, 77_003)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.two_decimals(F.col("x")).alias("t")).collect()
+    assert [r.t for r in rows] == [f"{r.x:.2f}" for r in rows]
+
+
+def test_severity_zero_is_no_verdict(spark):
+    hits = spark.createDataFrame([(1, "A", 0, 0.0, "a"), (2, "A", 0, 0.0, "a"), (2, "B", 1, 3.0, "b")],
+                                 "packet_id long, detector string, position int, severity double, details string")
+    assert [(r.packet_id, r.attack_type) for r in verdict.resolve(hits).collect()] == [(2, "B")]

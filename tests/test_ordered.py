@@ -141,3 +141,15 @@ def test_sequence_counter_floor_and_limit(frames):
     got = by_id(sequence_alerts(frames([opening, *wrong]), keys=["src_ip"]), "anomalies", "expected")
     assert got == {6: (6, 1), 7: (7, 1)}
     assert by_id(sequence_alerts(frames(wrong), keys=["src_ip"])) == {}
+
+
+def test_suppression_keeps_rows_with_null_keys(frames):
+    rows = [{"at": t, "src_ip": ip} for t, ip in ((0, None), (0.5, None), (1.2, None), (0, "a"), (0.4, "a"))]
+    got = by_id(greedy_suppress(frames(rows), ["src_ip", "ssid"], 1), "flagged")
+    assert [got[i] for i in range(5)] == [(False,), (True,), (False,), (False,), (True,)]
+
+
+def test_sequence_rows_without_a_number_are_left_out(frames):
+    opening = {"at": 0, "src_ip": "a", "ip_proto": 6, "tcp_flags": 2, "tcp_seq": 0}
+    wrong = [{"at": i + 1, "src_ip": "a", "ip_proto": 6, "tcp_flags": 0, "tcp_seq": None if i == 2 else 50} for i in range(7)]
+    assert by_id(sequence_alerts(frames([opening, *wrong]), keys=["src_ip"]), "anomalies", "expected") == {7: (6, 1)}
