@@ -7,13 +7,15 @@ and the ids equal those of the whole text.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 600_000
+# fixed values: white space other than space and line feed
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=4)
@@ -25,10 +27,12 @@ def tokenizer(path: str):
 
 
 def space_chunks(text: str) -> list[str]:
-    """Cuts before each single space that stands between characters other than white space.
+    """Cuts before each single space and around each single line feed that stand between other characters.
 
     There a word with its leading space begins, whatever stands before and after.
     """
+    if not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or any(c in text for c in OTHER_SPACE)):
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     parts = text.split(" ")
     out = parts[:1]
     for part in parts[1:]:
@@ -41,28 +45,36 @@ def space_chunks(text: str) -> list[str]:
 
 
 def word_chunks(text: str) -> list[str]:
-    """Words between ASCII white space, which this kind of vocabulary drops."""
-    return [w.decode() for w in text.encode("utf-8", "replace").split()]
+    """Words between white space, which this kind of vocabulary drops."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # not white space to the vocabulary
+        return [w.decode() for w in text.encode("utf-8", "replace").split()]
+    return text.split()
 
 
 class Encoder:
-    """Ids of texts; ``kept`` is the worker's memory of chunks."""
+    """Ids of texts; ``kept`` is the worker's memory of chunks and their ids as bytes."""
 
-    memories: dict[str, dict[str, tuple[int, ...]]] = {}
+    memories: dict[str, dict[str, bytes]] = {}
 
     def __init__(self, path: str, chunks: Callable[[str], list[str]]):
         self.path, self.chunks = path, chunks
-        self.kept = Encoder.memories.setdefault(path, {})
+        self.kept = Encoder.memories.setdefault(path, {"": b""})
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one."""
         cut = [self.chunks(text) if text else [] for text in texts]
-        if len(self.kept) >= CACHED_CHUNKS:
-            self.kept.clear()
         kept = self.kept
-        missing = list({c for chunks in cut for c in chunks if c not in kept})
+        if len(kept) >= CACHED_CHUNKS:
+            kept.clear()
+            kept[""] = b""
+        found = [list(map(kept.get, chunks)) for chunks in cut]
+        places = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in found]
+        missing = list({chunks[i] for chunks, own in zip(cut, places) for i in own})
         for at in range(0, len(missing), 4096):
             some = missing[at:at + 4096]
-            for chunk, found in zip(some, tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False)):
-                kept[chunk] = tuple(found.ids)
-        return [np.fromiter(chain.from_iterable(map(kept.__getitem__, chunks)), np.uint32) for chunks in cut]
+            for chunk, result in zip(some, tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False)):
+                kept[chunk] = array("I", result.ids).tobytes()
+        for chunks, own, ids in zip(cut, places, found):
+            for i in own:
+                ids[i] = kept[chunks[i]]
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
