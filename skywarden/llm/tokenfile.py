@@ -1,8 +1,8 @@
 """Token ids in Arrow files of equal-length sequences.
 
 The ids of all documents, in ascending order of their identifiers, are one stream. A file holds a range of it, cut into rows
-of ``LENGTH`` ids: ``tokens`` and ``mask`` are fixed-size lists (mask 1 for an id, 0 for padding, which only a file's last row
-has), ``starts`` lists the documents that begin in the row with their place in it and their number of ids. Files
+of ``LENGTH`` ids: ``tokens`` and ``mask`` are fixed-size lists (the mask has a bit for each place, lowest first: 1 for an id, 0 for
+padding, which only a file's last row has; ids have 16 bits where the vocabulary allows), ``starts`` lists the documents that begin in the row with their place in it and their number of ids. Files
 are in Arrow's random-access format, uncompressed, so a mapped file gives any sequence without a copy.
 
 A range partition by identifier makes a file of each task; files are streamed out a batch of rows at a time and appear
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skywarden.llm import store, words
-from skywarden.llm.tokens import Encoder, word_chunks
+from skywarden.llm.tokens import Encoder, tokenizer, word_chunks
 from skywarden.session import fresh_folder, written
 
 LENGTH = 2048
@@ -29,31 +29,37 @@ ROWS = 64
 END = 2
 FILE_BYTES = 16 << 20
 START = pa.struct([("doc_id", pa.int64()), ("place", pa.int32()), ("n_tokens", pa.int64())])
-SCHEMA = pa.schema([("tokens", pa.list_(pa.uint32(), LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH)), ("starts", pa.list_(START))])
 INDEX = "part int, path string, n_tokens long, n_docs long"
 
 
-def _rows(ids: np.ndarray, starts: list[tuple[int | None, int, int]]) -> pa.RecordBatch:
+def schema_for(vocabulary: int) -> pa.Schema:
+    """Fields of a file whose ids are below ``vocabulary``."""
+    kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([("tokens", pa.list_(kind, LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH // 8)), ("starts", pa.list_(START))])
+
+
+def _rows(ids: np.ndarray, starts: list[tuple[int | None, int, int]], schema: pa.Schema) -> pa.RecordBatch:
     """Sequences from ids (the last one padded) and the documents that start in them, by place in ``ids``."""
     n = -(-len(ids) // LENGTH)
-    tokens, mask = np.zeros(n * LENGTH, np.uint32), np.zeros(n * LENGTH, np.uint8)
+    tokens, mask = np.zeros(n * LENGTH, schema.field("tokens").type.value_type.to_pandas_dtype()), np.zeros(n * LENGTH, np.uint8)
     tokens[:len(ids)], mask[:len(ids)] = ids, 1
     own: list[list[dict]] = [[] for _ in range(n)]
     for doc, at, size in starts:
         own[at // LENGTH].append({"doc_id": doc, "place": at % LENGTH, "n_tokens": size})
     return pa.RecordBatch.from_arrays(
-        [pa.FixedSizeListArray.from_arrays(pa.array(tokens), LENGTH), pa.FixedSizeListArray.from_arrays(pa.array(mask), LENGTH),
-         pa.array(own, pa.list_(START))], schema=SCHEMA)
+        [pa.FixedSizeListArray.from_arrays(pa.array(tokens), LENGTH), pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(mask, bitorder="little")), LENGTH // 8),
+         pa.array(own, pa.list_(START))], schema=schema)
 
 
 def _writer(folder: str, path: str, end: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encoder = TaskContext.get(), Encoder(path, word_chunks)
+        schema = schema_for(tokenizer(path).get_vocab_size())
         target = f"{folder}/part-{task.partitionId():07d}.arrow"
         held: list[np.ndarray] = []
         starts: list[tuple[int | None, int, int]] = []
         length = total = docs = 0
-        with store.committed(target, task.taskAttemptId()) as out, pa.ipc.new_file(out, SCHEMA) as file:
+        with store.committed(target, task.taskAttemptId()) as out, pa.ipc.new_file(out, schema) as file:
             for batch in batches:
                 for some in words.slices(batch, "text"):
                     for doc, ids in zip(some["doc_id"].to_pylist(), encoder.encode(some["text"].to_pylist())):
@@ -65,11 +71,11 @@ def _writer(folder: str, path: str, end: int):
                     if length >= ROWS * LENGTH:
                         stream = np.concatenate(held)
                         whole = len(stream) // LENGTH * LENGTH
-                        file.write_batch(_rows(stream[:whole], [s for s in starts if s[1] < whole]))
+                        file.write_batch(_rows(stream[:whole], [s for s in starts if s[1] < whole], schema))
                         held, starts = [stream[whole:]], [(d, p - whole, n) for d, p, n in starts if p >= whole]
                         length -= whole
             if length:
-                file.write_batch(_rows(np.concatenate(held), starts))
+                file.write_batch(_rows(np.concatenate(held), starts, schema))
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([target]),
                                               pa.array([total], pa.int64()), pa.array([docs], pa.int64())],
@@ -106,11 +112,11 @@ def opened(uri: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence(file: pa.ipc.RecordBatchFileReader, batch: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of a sequence, as views of the file."""
+    """Ids and mask bits of a sequence, as views of the file."""
     found = file.get_batch(batch)
     first = found.column("tokens").offset + row
-    return tuple(found.column(name).values.to_numpy(zero_copy_only=True)[first * LENGTH:(first + 1) * LENGTH]
-                 for name in ("tokens", "mask"))
+    return tuple(found.column(name).values.to_numpy(zero_copy_only=True)[first * size:(first + 1) * size]
+                 for name, size in (("tokens", LENGTH), ("mask", LENGTH // 8)))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +131,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
                 def take(at: int, n: int) -> int:
                     some = tokens[at:at + n]
-                    rows[-1][3] = zlib.crc32(some, rows[-1][3])
+                    rows[-1][3] = zlib.crc32(some.astype("<u4"), rows[-1][3])
                     return n - len(some)
                 if left:
                     left = take(0, left)
