@@ -36,11 +36,11 @@ class Layout:
     width: int
 
 
-def layout(df: DataFrame, text: str, bytes_per_item: float, block_bytes: int = BLOCK_BYTES) -> Layout:
-    """Sizes from the total length of the texts; one narrow aggregate over the table."""
+def layout(df: DataFrame, text: str, bytes_per_item: float, block_bytes: int = BLOCK_BYTES, per_task: int = 2) -> Layout:
+    """Sizes from the total length of the texts; one narrow aggregate over the table. There are at least ``per_task`` blocks a task."""
     total = df.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(2 * tasks, math.ceil(total / block_bytes))
+    blocks = max(per_task * tasks, math.ceil(total / block_bytes))
     buckets = max(tasks, blocks // 4)
     items = total / bytes_per_item / buckets
     return Layout(blocks, buckets, 1 << max(12, math.ceil(math.log2(CELLS_PER_ITEM * max(items, 1)))))

@@ -301,18 +301,22 @@ def _remove(plans: tuple[B.Layout, B.Layout]):
         s, replies = found.strings, B.received(answers, 3)
         n = len(s.data)
         edge = np.zeros(n + 1, np.int32)
+        first = found.starts[found.run_at].tolist()
         for bucket, runs in found.runs.items():
             keys = sorted(runs)
             sizes = [len(a) + len(b) - LENGTH + 1 for a, b in keys]
             flags = np.unpackbits(np.frombuffer(replies[bucket][0], np.uint8), count=sum(sizes)).astype(bool)
             at = 0
             for key, size in zip(keys, sizes):
-                which = np.flatnonzero(flags[at:at + size])
+                mine = flags[at:at + size]
                 at += size
+                # stretches of repeated strings, as offsets from the run's first string
+                turns = np.flatnonzero(np.diff(mine, prepend=False, append=False)).tolist() if not mine.all() else (0, size)
                 for run in runs[key]:
-                    start = found.starts[found.run_at[run]] + which
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + LENGTH, -1)
+                    start = first[run]
+                    for a, b in zip(turns[::2], turns[1::2]):
+                        edge[start + a] += 1
+                        edge[start + b - 1 + LENGTH] -= 1
         gone = np.cumsum(edge[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -337,8 +341,8 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     each other's strings. Strings are judged on the input, not on what is left. Other columns are not looked at. A document's
     text must fit in a task's memory several times over.
     """
-    first = B.layout(docs, text, SPAN / 2, BLOCK_BYTES)
-    plans = (first, B.layout(docs, text, BYTES_PER_STRING, BLOCK_BYTES))
+    first = B.layout(docs, text, SPAN / 2, BLOCK_BYTES, 1)
+    plans = (first, B.layout(docs, text, BYTES_PER_STRING, BLOCK_BYTES, 1))
     texts = docs.select(B.block_of(F.col(doc_id), first), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     one = B.answered(texts.groupBy("block").applyInArrow(_ask(plans, 1), B.MESSAGE), B.merge_sketches(1, plans[0].width))
     two = B.answered(B.with_messages(texts, one, _ask(plans, 2), B.MESSAGE), B.merge_sketches(2, plans[1].width))
