@@ -108,7 +108,8 @@ SQL = {
     + hit("CONNECTION_HIJACK", "8", "'seq_anomalies:' || anomalies || ',expected:' || expected || ',got:' || got", "true", "hijack"),
     "session_replay": suppressed_sql(f"{TRANSPORT} AND payload IS NOT NULL AND octet_length(payload) > 0",
                                      "src_ip || '|' || dst_ip || '|' || md5(payload)", 10 * DAY * 1_000_000, True)
-    + " SELECT packet_id FROM judged WHERE flagged",
+    + hit("SESSION_REPLAY", "7", "'replay_detected,hash:' || left(md5(payload), 8) || ',time_diff:' || "
+          "printf('%.2f', (epoch_us(ts) - anchor) / 1e6::DOUBLE) || 's'", "flagged", "(judged JOIN packets USING (packet_id))"),
     "mavlink_injection": MAVLINK + hit(
         "MAVLINK_INJECTION", "CASE WHEN n > 3 THEN least(8 + n // 10, 10) ELSE 9 END",
         f"""CASE WHEN n > 3 THEN 'rate:' || n || '{PER1},cmd:' || {NAMES} || ',sys_id:' || sys
@@ -161,7 +162,7 @@ SPARK = {
     "drone_udp_flood": lambda s, d: found(drone_transport.transport_floods(packets(s, d), FLEET, {"UDP_FLOOD": (D3, 5)}, "UDP_FLOOD")),
     "drone_port_scan": lambda s, d: found(drone_transport.port_scan(packets(s, d), FLEET, 10)),
     "connection_hijack": lambda s, d: found(drone_transport.connection_hijack(packets(s, d), FLEET, 2, ("src_ip", "dst_ip"))),
-    "session_replay": lambda s, d: drone_transport.session_replay(packets(s, d), FLEET, 10 * DAY).select("packet_id"),
+    "session_replay": lambda s, d: found(drone_transport.session_replay(packets(s, d), FLEET, 10 * DAY)),
     "mavlink_injection": lambda s, d: found(drone_application.mavlink_injection(app(s, d), (DAY, 3), (D3, 4))),
     "http_attack": lambda s, d: found(drone_application.http_attack(app(s, d), {"HTTP_ATTACK": (DAY, 1)})),
     "mqtt_hijacking": lambda s, d: found(drone_application.mqtt_hijacking(app(s, d), {"MQTT_HIJACKING": (D3, 1)})),

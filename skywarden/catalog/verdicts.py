@@ -10,7 +10,7 @@ from skywarden.catalog.aggregates import ALERTS
 from skywarden.catalog.base import APPLICATION, DAY, FLEET, GATEWAYS, IN_FLEET, LINK, P, SIZE, TARGET_IP, TARGET_MAC, TRANSPORT, packets, running
 from skywarden.functions import scalars as X
 from skywarden.operators import report
-from skywarden.operators.verdict import combine_layers, resolve
+from skywarden.operators.verdict import alert_table, combine_layers, resolve
 from skywarden.plans import (analyser, drone_application, drone_internet, drone_network, drone_transport, internet, network,
                              transport)
 
@@ -36,13 +36,13 @@ def best_sql(*names: str) -> str:
 
 
 def log_sql(columns: str, rows: str, *names: str) -> str:
-    return P + f"""SELECT {columns}, coalesce(b.attack_type, 'NORMAL') AS attack_type, coalesce(b.severity, 0.0) AS severity,
+    return P + f"""SELECT {columns}, epoch_us(ts) AS ts, coalesce(b.attack_type, 'NORMAL') AS attack_type, coalesce(b.severity, 0.0) AS severity,
       coalesce(b.details, '') AS details FROM packets p LEFT JOIN {best_sql(*names)} b ON p.packet_id = b.packet_id WHERE {rows}"""
 
 
 def plain(df):
-    """Log rows without the time, severities rounded."""
-    return df.drop("ts").withColumn("severity", F.round("severity", 6))
+    """Log rows with the time in microseconds, severities rounded."""
+    return df.withColumns({"ts": F.unix_micros("ts"), "severity": F.round("severity", 6)})
 
 
 NETWORK_SQL = ("arp_spoofing", "deauth_attack", "evil_twin", "mac_flooding")
@@ -101,21 +101,25 @@ INTERNET_LOG = P + f""", f AS (SELECT packet_id, {FLAGS} FROM {hits_sql(*INTERNE
 def layer_alerts(s, d):
     """Alerts of every layer, one row per packet and layer."""
     p = packets(s, d)
-    general = internet.internet_alerts(p, **INTERNET).select("packet_id", F.col("alert").alias("attack_type"))
     return combine_layers({
-        "network": network.network_alerts(p, **NETWORK).select("packet_id", "attack_type"), "internet": general,
-        "drone_network": resolve(drone_network.drone_network_hits(p, FLEET[:1], **LINK_LIMITS)).select("packet_id", "attack_type"),
-        "drone_internet": resolve(drone_internet.drone_internet_hits(p, FLEET, GATEWAYS, **L3_LIMITS)).select("packet_id", "attack_type"),
-        "drone_transport": resolve(drone_transport.drone_transport_hits(p, FLEET, **L4_LIMITS)).select("packet_id", "attack_type"),
-        "drone_application": resolve(drone_application.drone_application_hits(p, FLEET, **L7_LIMITS)).select("packet_id", "attack_type"),
+        "network": network.network_alerts(p, **NETWORK), "internet": internet.internet_findings(p, **INTERNET),
+        "drone_network": resolve(drone_network.drone_network_hits(p, FLEET[:1], **LINK_LIMITS)),
+        "drone_internet": resolve(drone_internet.drone_internet_hits(p, FLEET, GATEWAYS, **L3_LIMITS)),
+        "drone_transport": resolve(drone_transport.drone_transport_hits(p, FLEET, **L4_LIMITS)),
+        "drone_application": resolve(drone_application.drone_application_hits(p, FLEET, **L7_LIMITS)),
     })
 
 
+def all_alerts(s, d):
+    table = alert_table(packets(s, d), layer_alerts(s, d))
+    return table.withColumns({"ts": F.unix_micros("ts"), "severity": F.round("severity", 6)})
+
+
 LAYERS = {"network": NETWORK_SQL, "drone_network": LINK_SQL, "drone_internet": L3_SQL, "drone_transport": L4_SQL, "drone_application": L7_SQL}
-LAYER_ALERTS = ("SELECT layer, attack_type, count(*) AS n FROM (" + " UNION ALL ".join(
-    [f"SELECT '{layer}' AS layer, attack_type FROM {best_sql(*names)}" for layer, names in LAYERS.items()]
-    + [f"SELECT 'internet', alert FROM (SELECT packet_id, concat_ws('+', {NAMES}) AS alert FROM (SELECT packet_id, {FLAGS} FROM {hits_sql(*INTERNET_SQL)} GROUP BY 1))"])
-    + ") GROUP BY 1, 2")
+EVERY_ALERT = ("(" + " UNION ALL ".join(
+    [f"SELECT '{layer}' AS layer, packet_id, attack_type, severity, details FROM {best_sql(*names)}" for layer, names in LAYERS.items()]
+    + [f"SELECT 'internet', packet_id, alert, 1.0, '' FROM (SELECT packet_id, concat_ws('+', {NAMES}) AS alert FROM (SELECT packet_id, {FLAGS} FROM {hits_sql(*INTERNET_SQL)} GROUP BY 1))"])
+    + ")")
 
 
 def hybrid(s, d):
@@ -150,17 +154,20 @@ QUERIES = {
         log_sql("""p.packet_id, src_ip, dst_ip, ttl, ip_id, ip_proto AS protocol, (ip_flags % 2 = 1 OR ip_frag > 0)::INT
         AS is_fragmented""", IN_FLEET, *L3_SQL)),
     "drone_transport_log": (
-        lambda s, d: plain(drone_transport.drone_transport_log(packets(s, d), FLEET, **L4_LIMITS)).withColumn(
-            "details", F.regexp_replace("details", "time_diff:.*", "time_diff")),
+        lambda s, d: plain(drone_transport.drone_transport_log(packets(s, d), FLEET, **L4_LIMITS)),
         log_sql(f"""p.packet_id, src_ip, dst_ip, sport AS src_port, dport AS dst_port,
         CASE ip_proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, coalesce(tcp_flags, 0) AS tcp_flags,
-        coalesce(tcp_seq, 0)::BIGINT AS sequence_num, {SIZE}::INT AS payload_size""", TRANSPORT, *L4_SQL).replace(
-            "coalesce(b.details, '') AS details", "regexp_replace(coalesce(b.details, ''), 'time_diff:.*', 'time_diff') AS details")),
+        coalesce(tcp_seq, 0)::BIGINT AS sequence_num, {SIZE}::INT AS payload_size""", TRANSPORT, *L4_SQL)),
     "drone_application_log": (
-        lambda s, d: plain(drone_application.drone_application_log(packets(s, d), FLEET, **L7_LIMITS)).drop("payload_sample"),
-        log_sql(f"""p.packet_id, src_ip, dst_ip, sport AS src_port, dport AS dst_port, CASE ip_proto WHEN 6 THEN 'TCP' ELSE 'UDP' END
+        lambda s, d: plain(drone_application.drone_application_log(packets(s, d), FLEET, **L7_LIMITS)).withColumn(
+            "payload_sample", F.when(F.col("protocol") == "TCP", F.col("payload_sample"))),  # SQL cannot decode the bytes of the others
+        log_sql(f"""p.packet_id, CASE WHEN ip_proto = 6 THEN replace(left(coalesce(payload_words, ''), 50), chr(10), '\\n') END AS payload_sample, src_ip, dst_ip, sport AS src_port, dport AS dst_port, CASE ip_proto WHEN 6 THEN 'TCP' ELSE 'UDP' END
         AS protocol, {D.service(S.APP_PORTS)} AS service_targeted""", APPLICATION, *L7_SQL)),
-    "alerts_by_layer": (lambda s, d: report.breakdown(layer_alerts(s, d), "layer", "attack_type"), LAYER_ALERTS),
+    "alerts_by_layer": (lambda s, d: report.breakdown(layer_alerts(s, d), "layer", "attack_type"),
+                        f"SELECT layer, attack_type, count(*) AS n FROM {EVERY_ALERT} GROUP BY 1, 2"),
+    "alerts_of_all_layers": (all_alerts, P + f"""SELECT epoch_us(ts) AS ts, a.packet_id, layer, attack_type, round(severity::DOUBLE, 6) AS severity,
+        details, coalesce(lower(src_mac), '') AS src_mac, coalesce(lower(dst_mac), '') AS dst_mac, src_ip, dst_ip
+        FROM {EVERY_ALERT} a JOIN packets p ON p.packet_id = a.packet_id"""),
     "hybrid_verdict": (
         hybrid,
         ALERTS + """ SELECT packet_id, coalesce(attack_type, 'network_attack') AS attack_type,

@@ -149,11 +149,10 @@ def _after(events: DataFrame, keys: Sequence[str], totals: Sequence[str], slice_
 
 
 def seen_distinct(packets: DataFrame, keys: Sequence[str], value: str, carry: Sequence[str | Column] = (),
-                  also: Column | None = None, at_least: int = 0, slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
+                  also: Column | None = None, slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
     """``n_distinct``: distinct values of the key so far, never expiring; ``n_also`` counts values meeting ``also``.
 
-    First sightings are found by a map-side aggregate. Keys that end below ``at_least`` distinct values are dropped
-    before any row is shuffled for the running count.
+    First sightings are found by a map-side aggregate; rows meet them by (key, slice), never by the bare key.
     """
     keys = list(keys)
     first = F.min(F.struct(X.micros().alias("at"), F.col("packet_id").alias("seq"))).alias("first")
@@ -162,11 +161,7 @@ def seen_distinct(packets: DataFrame, keys: Sequence[str], value: str, carry: Se
     starts = firsts.withColumn(value, F.col("value")).select(
         *keys, "first.at", "first.seq", F.lit(0).alias("step"), F.lit(1).alias("n_distinct"),
         *([X.flag(also).alias("n_also")] if also is not None else []))
-    rows = packets
-    if at_least > 1:
-        busy = firsts.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select(*keys)
-        rows, starts = rows.join(busy, keys, "left_semi"), starts.join(busy, keys, "left_semi")
-    events = _probes(rows, keys, carry, totals).unionByName(starts, allowMissingColumns=True)
+    events = _probes(packets, keys, carry, totals).unionByName(starts, allowMissingColumns=True)
     return _after(events, keys, totals, slice_s)
 
 
@@ -197,13 +192,22 @@ def distinct_over(packets: DataFrame, keys: Sequence[str], value: str, window_s:
 
 # --- bindings -------------------------------------------------------------------------------------------------------
 
-def first_binding(packets: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Add ``first_<value>``: the values of the key's first row. One row per key is joined back."""
+def first_binding(packets: DataFrame, keys: Sequence[str], values: Sequence[str],
+                  slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
+    """Add ``first_<value>``: the values of the key's first row. Null keys equal each other.
+
+    First rows come from a map-side aggregate by (key, slice); each slice gets the key's one as an extra row, so rows are
+    shuffled by (key, slice) and a busy key is spread over its slices.
+    """
     keys = list(keys)
+    rows = packets.withColumn("_slice", X.floor_div(X.micros(), to_micros(slice_s)))
     earliest = F.min(F.struct(F.col("ts"), F.col("packet_id"), *[F.col(v) for v in values]))
-    first = packets.groupBy(*keys).agg(earliest.alias("first")).select(
-        *keys, *[F.col(f"first.{v}").alias(f"first_{v}") for v in values])
-    return packets.join(first, keys)
+    firsts = rows.groupBy(*keys, "_slice").agg(earliest.alias("_first"))
+    opening = firsts.select(*keys, "_slice", F.min("_first").over(Window.partitionBy(*keys)).alias("_first"), F.lit(0).alias("_kind"))
+    both = opening.unionByName(rows.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bound = both.withColumn("_first", F.first("_first").over(inside)).where(F.col("_kind") == 1)
+    return bound.select(*packets.columns, *[F.col(f"_first.{v}").alias(f"first_{v}") for v in values])
 
 
 def running_counts(packets: DataFrame, keys: Sequence[str], amounts: dict[str, Column],

@@ -7,8 +7,9 @@ is no alert and has payload sets the expected number to ``seq + payload size``.
 
 An alert feeds back into the expected number, so the tail of an attacked connection has to be read in order. Up to the
 first alert it does not: the expected number comes from the rows before, so wrong rows can be counted with built-in
-windows, cut by time slice. Connections with too few of them can never alert and are dropped. What is left is streamed
-through Arrow batches in sorted order with one small state; no group is collected.
+windows, cut by time slice. Connections with too few of them can never alert and are dropped. Of several establishing rows in
+a row only the last matters. What is left is streamed through Arrow batches in sorted order with one small state; no group is
+collected.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ CONNECTION = ("src_ip", "sport", "dst_ip", "dport")
 
 
 def _with_state_before(rows: DataFrame, slice_s: float) -> DataFrame:
-    """Add ``expected`` and ``established`` as they stand before each row if no alert came earlier."""
+    """Add ``expected`` and ``established`` as they stand before each row if no alert came earlier.
+
+    ``next_resets`` says whether the next row of the slice establishes; null at the slice's end.
+    """
     rows = rows.withColumn("_slice", X.floor_div(F.col("at"), to_micros(slice_s)))
     ends = rows.groupBy("conn", "_slice").agg(
         F.max(F.when(F.col("sets").isNotNull(), F.struct("at", "packet_id", "sets"))).alias("tail"),
@@ -41,6 +45,7 @@ def _with_state_before(rows: DataFrame, slice_s: float) -> DataFrame:
     return both.withColumns({
         "expected": F.last("sets", ignorenulls=True).over(earlier),
         "established": F.coalesce(F.max("resets").over(earlier), F.lit(0)) == 1,
+        "next_resets": F.lead("resets").over(Window.partitionBy("conn", "_slice").orderBy("_kind", "at", "packet_id")),
     }).where("_kind = 1").drop("_kind", "_slice")
 
 
@@ -94,6 +99,7 @@ def sequence_alerts(packets: DataFrame, threshold: int = 5, keys: Sequence[str]
     wrong = (F.col("resets") == 0) & F.col("established") & (F.col("tcp_seq") != F.col("expected"))
     suspects = (state.where(wrong).groupBy("conn").agg(F.count("*").alias("n"))
                 .where(F.col("n") > threshold).select("conn"))
-    ordered = (rows.join(suspects, "conn", "left_semi").repartition("conn")
+    needed = state.where((F.col("resets") == 0) | ~F.col("next_resets").eqNullSafe(F.lit(1)))
+    ordered = (needed.select(*rows.columns).join(suspects, "conn", "left_semi").repartition("conn")
                .sortWithinPartitions("conn", "at", "packet_id"))
     return ordered.mapInArrow(_judge(threshold), "packet_id long, anomalies long, expected long, got long")

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skywarden.functions import scalars as X
+
 HIT = ["packet_id", "detector", "position", "severity", "details"]
 
 
@@ -61,6 +63,14 @@ def combine_layers(alerts: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
+def alert_table(packets: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Alerts of any layers with the packet's time and addresses: ts, packet_id, layer, attack_type, severity, details,
+    src_mac, dst_mac, src_ip, dst_ip. Only these columns of the packets are shuffled, once, by packet."""
+    where = packets.select("packet_id", "ts", *[X.lower_mac(c).alias(c) for c in ("src_mac", "dst_mac")], "src_ip", "dst_ip")
+    found = alerts.select("packet_id", "layer", "attack_type", "severity", "details")
+    return found.join(where, "packet_id").select("ts", *found.columns, *where.columns[2:])
+
+
 def hybrid_verdict(rule: Column, prediction: Column, confidence: Column, layer: str, floor: float = 0.7) -> Column:
     """The rule's (attack_type, confidence) if any, else a confident model's, else null."""
     model = F.when((prediction == 1) & (confidence > floor), F.struct(

@@ -23,7 +23,7 @@ def many_macs(packets: DataFrame, fleet: Sequence[str], limit: int = 3) -> DataF
     """Rows of a source IP seen with more than ``limit`` MACs so far."""
     rows = scope.fleet_scope(packets, fleet).select(
         "packet_id", "ts", "src_ip", F.coalesce("src_mac", F.lit("unknown")).alias("mac"))
-    seen = seen_distinct(rows, ["src_ip"], "mac", ["src_ip"], at_least=limit + 1).where(F.col("n_distinct") > limit)
+    seen = seen_distinct(rows, ["src_ip"], "mac", ["src_ip"]).where(F.col("n_distinct") > limit)
     return hits(seen, "IP_SPOOFING", 0, F.least(F.col("n_distinct") + 5, F.lit(10)),
                 X.text("ip:", F.col("src_ip"), ",macs:", F.col("n_distinct")))
 

@@ -50,7 +50,7 @@ def port_scan(packets: DataFrame, fleet: Sequence[str], limit: int = 10, keys: S
     probes = scope.fleet_transport_scope(packets, fleet).where(X.is_udp() | X.has_bits("tcp_flags", X.SYN)).select(
         "packet_id", "ts", "src_ip", "dst_ip", "dport")
     known = F.col("value").isin(list(S.DRONE_PORTS))
-    seen = seen_distinct(probes, keys, "dport", also=known, at_least=limit + 1).where(F.col("n_distinct") > limit)
+    seen = seen_distinct(probes, keys, "dport", also=known).where(F.col("n_distinct") > limit)
     return hits(seen, "PORT_SCAN", 2, X.capped_ratio(F.col("n_distinct"), 2),
                 X.text("ports_scanned:", F.col("n_distinct"), ",drone_ports:", F.col("n_also")))
 

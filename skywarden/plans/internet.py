@@ -39,7 +39,7 @@ def port_scan(packets: DataFrame, limit: int = 20) -> DataFrame:
     """Rows of sources with more than ``limit`` destination ports so far; rows without a port count as port 0."""
     rows = scope.ip_packets(packets).select(
         "packet_id", "ts", "src_ip", F.coalesce(X.transport_port("dport"), F.lit(0)).alias("port"))
-    seen = seen_distinct(rows, ["src_ip"], "port", at_least=limit + 1).where(F.col("n_distinct") > limit)
+    seen = seen_distinct(rows, ["src_ip"], "port").where(F.col("n_distinct") > limit)
     return hits(seen, "PORT_SCAN", 4, F.lit(1), F.lit(""))
 
 
@@ -65,3 +65,9 @@ def internet_log(packets: DataFrame, limits: Limits | None = None, ports: int =
 def internet_alerts(packets: DataFrame, limits: Limits | None = None, ports: int = 20) -> DataFrame:
     """(packet_id, alert) of packets with any flag; only hits are shuffled."""
     return flags_by_packet(internet_hits(packets, limits, ports), DETECTORS).select("packet_id", alert_text().alias("alert"))
+
+
+def internet_findings(packets: DataFrame, limits: Limits | None = None, ports: int = 20) -> DataFrame:
+    """The alerts in the shape of the other layers; an alert of this layer has severity 1 and no details."""
+    return internet_alerts(packets, limits, ports).select(
+        "packet_id", F.col("alert").alias("attack_type"), F.lit(1.0).alias("severity"), F.lit("").alias("details"))

@@ -33,7 +33,7 @@ def evil_twin(packets: DataFrame, limit: int = 1) -> DataFrame:
     """Beacons whose network name was seen with more than ``limit`` BSSIDs so far."""
     beacons = packets.where(X.is_beacon() & (F.col("ssid") != "") & (F.col("bssid") != "")).select(
         "packet_id", "ts", "ssid", F.lower("bssid").alias("bssid"))
-    seen = seen_distinct(beacons, ["ssid"], "bssid", at_least=limit + 1).where(F.col("n_distinct") > limit)
+    seen = seen_distinct(beacons, ["ssid"], "bssid").where(F.col("n_distinct") > limit)
     return hits(seen, "EVIL_TWIN", 2, F.lit(0.7), F.lit(""))
 
 

@@ -153,3 +153,17 @@ def test_sequence_rows_without_a_number_are_left_out(frames):
     opening = {"at": 0, "src_ip": "a", "ip_proto": 6, "tcp_flags": 2, "tcp_seq": 0}
     wrong = [{"at": i + 1, "src_ip": "a", "ip_proto": 6, "tcp_flags": 0, "tcp_seq": None if i == 2 else 50} for i in range(7)]
     assert by_id(sequence_alerts(frames([opening, *wrong]), keys=["src_ip"]), "anomalies", "expected") == {7: (6, 1)}
+
+
+def test_first_binding_keeps_null_keys_and_does_not_depend_on_slices(frames):
+    rows = [{"at": t, "src_ip": ip, "dport": p} for t, ip, p in ((5, None, 1), (70, None, 2), (3, "a", None), (200, "a", 4))]
+    for slice_s in (1, 60, 1000):
+        got = by_id(ordered.first_binding(frames(rows), ["src_ip"], ["dport"], slice_s), "first_dport")
+        assert got == {0: (1,), 1: (1,), 2: (None,), 3: (None,)}
+
+
+def test_sequence_machine_over_many_slices(frames):
+    rows = sample(9, n=200)
+    want = machine(rows, 2, ("src_ip",))
+    for slice_s in (0.5, 10_000):
+        assert by_id(sequence_alerts(frames(rows), 2, ["src_ip"], slice_s=slice_s), "anomalies", "expected", "got") == want

@@ -43,3 +43,10 @@ def test_payload_is_not_shuffled(spark):
     for line in text.splitlines():
         if "Exchange hashpartitioning" in line:
             assert "payload" not in line
+
+
+@pytest.mark.parametrize("name", ["arp_spoofing", "ip_spoofing", "evil_twin", "port_scan", "many_macs_per_ip", "drone_port_scan"])
+def test_no_row_is_joined_by_the_bare_key(spark, name):
+    text = plan(entry.queries()[name](spark, SF))
+    assert "Join" not in text
+    assert any("_slice" in line for line in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text))
