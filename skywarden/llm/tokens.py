@@ -2,7 +2,8 @@
 
 Both vocabularies split a text into words before they merge pairs, and no word reaches over the places where ``chunks``
 cuts. A chunk's ids are remembered, so that the library runs once for each distinct chunk in a worker's bounded memory
-and the ids equal those of the whole text.
+and the ids equal those of the whole text. New chunks that begin with their only space are encoded many at a time: a byte-level
+vocabulary begins a new word there, so the ids that begin with a space tell the chunks apart.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import lru_cache
 import numpy as np
 
 CACHED_CHUNKS = 600_000
+GROUP = 512  # chunks encoded as one text
+SPACE = "\u0120"  # fixed value: how byte-level vocabularies write a space
 # fixed values: white space other than space and line feed
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -26,6 +29,15 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def leading(path: str) -> np.ndarray:
+    """For each id, whether its bytes begin with a space."""
+    ids = tokenizer(path).get_vocab()
+    out = np.zeros(max(ids.values()) + 1, bool)
+    out[[i for piece, i in ids.items() if piece.startswith(SPACE)]] = True
+    return out
+
+
 def space_chunks(text: str) -> list[str]:
     """Cuts before each single space and around each single line feed that stand between other characters.
 
@@ -69,12 +81,37 @@ class Encoder:
             kept[""] = b""
         found = [list(map(kept.get, chunks)) for chunks in cut]
         places = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in found]
-        missing = list({chunks[i] for chunks, own in zip(cut, places) for i in own})
-        for at in range(0, len(missing), 4096):
-            some = missing[at:at + 4096]
-            for chunk, result in zip(some, tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False)):
-                kept[chunk] = array("I", result.ids).tobytes()
+        self._learn(list({chunks[i] for chunks, own in zip(cut, places) for i in own}))
         for chunks, own, ids in zip(cut, places, found):
             for i in own:
                 ids[i] = kept[chunks[i]]
         return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
+
+    def _learn(self, chunks: list[str]) -> None:
+        alone = self._learn_together(chunks) if self.chunks is space_chunks else chunks
+        for at in range(0, len(alone), 4096):
+            some = alone[at:at + 4096]
+            for chunk, result in zip(some, self._results(some)):
+                self.kept[chunk] = array("I", result.ids).tobytes()
+
+    def _learn_together(self, chunks: list[str]) -> list[str]:
+        """Learn chunks with one space, in front, in groups; the others, and groups whose ids do not tell them apart, are returned."""
+        led, alone = [], []
+        for chunk in chunks:
+            (led if chunk[0] == " " and chunk.split() == [chunk[1:]] else alone).append(chunk)
+        groups = [led[at:at + GROUP] for at in range(0, len(led), GROUP)]
+        for at in range(0, len(groups), 16):
+            some = groups[at:at + 16]
+            for group, result in zip(some, self._results(["".join(group) for group in some])):
+                ids = np.array(result.ids, np.uint32)
+                starts = np.flatnonzero(leading(self.path)[ids])
+                if len(starts) != len(group):
+                    alone += group
+                    continue
+                body, edges = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for chunk, a, b in zip(group, edges, edges[1:]):
+                    self.kept[chunk] = body[a:b]
+        return alone
+
+    def _results(self, texts: list[str]) -> list:
+        return tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)

@@ -169,3 +169,14 @@ def test_packed_cells_come_back():
     cells = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 1000, dtype=np.uint32))
     assert (blocks.unpacked(blocks.packed(cells)) == cells).all()
     assert len(blocks.unpacked(blocks.packed(cells[:0]))) == 0
+
+
+def test_grouped_chunks_have_the_ids_of_whole_texts(monkeypatch):
+    rng = random.Random(1)
+    bits = ["a", "foo", " ", " ", "  ", "\n", "\t", "<|endoftext|>", "'s", "\u0120", "\xa0", "\x1c", "123", "!!", "\u6f22", "\0"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(300)]
+    for group in (1, 3, 512):
+        monkeypatch.setattr(tokens, "GROUP", group)
+        monkeypatch.setattr(tokens.Encoder, "memories", {})
+        for text, ids in zip(texts, tokens.Encoder(BYTE_BPE, tokens.space_chunks).encode(texts)):
+            assert ids.tolist() == tokens.tokenizer(BYTE_BPE).encode(text, add_special_tokens=False).ids
