@@ -25,7 +25,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingle similarity, the one with the smallest id."""
+    """Of documents linked by 5-word shingles at a Jaccard similarity of 0.8, the one with the smallest id."""
     return ngram_join.one_per_component(docs)
 
 

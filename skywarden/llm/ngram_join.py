@@ -1,6 +1,6 @@
 """N-gram Jaccard join by size: subsets of small sets, inverted lists for large ones.
 
-A document's set holds its distinct 3-word shingles as 64-bit hashes; equal sets are one representative. Sets that reach
+A document's set holds its distinct word shingles as 64-bit hashes; equal sets are one representative. Sets that reach
 similarity t share at least ceil(t * n) shingles, so under any common order of shingles, here rarest first, their first
 n - ceil(t * n) + k shingles have k in common. Small sets enumerate the 2-subsets of that prefix (k = 2) and meet in
 equal subsets; large sets, and small ones near the boundary, look up the inverted lists of their prefix (k = 1). Shingles
@@ -30,8 +30,10 @@ from skywarden.llm import words as W
 from skywarden.llm.components import components
 from skywarden.session import written
 
-PERCENT = 90
+PERCENT = 90  # contract of op3
 SHINGLE = 3
+STAGE_PERCENT = 80  # near duplicates elsewhere
+STAGE_SHINGLE = 5
 BYTES_PER_SHINGLE = 6
 CLASSES = 4  # size classes per doubling, for the cost histogram
 
@@ -227,9 +229,10 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return joined.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = STAGE_SHINGLE,
+                      percent: int = STAGE_PERCENT) -> DataFrame:
     """The documents without those that link to a smaller one; columns as they were."""
-    found = link_components(docs, doc_id, text)
+    found = link_components(docs, doc_id, text, size, percent)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     keep = written(keep, "kept")
     return docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep"]), "left_semi")

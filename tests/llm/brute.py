@@ -39,8 +39,8 @@ def shingles(text, size=3):
     return frozenset(tuple(w[i:i + size]) for i in range(len(w) - size + 1))
 
 
-def components(rows, percent=90):
-    sets = [(doc, shingles(text)) for doc, text in rows]
+def components(rows, percent=90, size=3):
+    sets = [(doc, shingles(text, size)) for doc, text in rows]
     label = {doc: doc for doc, _ in sets if doc is not None}
     links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i]
              if x and y and a is not None and b is not None and 100 * len(x & y) >= percent * len(x | y)]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -31,3 +33,19 @@ def test_stages_keep_what_brute_force_keeps(spark, messy_rows, tmp_path):
     assert all(r.n == r["all"] for r in found.values())
     assert {d: found[d].n for d in untouched} == untouched
     assert any(expected.values())
+
+
+def test_near_stage_links_five_word_shingles_from_four_fifths(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for n, changes in ((200, 4), (200, 5), (1000, 20), (1000, 23), (60, 1), (60, 2), (4, 1)):
+        words = [f"n{rng.randrange(10 ** 6)}" for _ in range(n)]
+        rows.append((len(rows), " ".join(words)))
+        for i in range(changes):
+            words[(2 * i + 1) * n // (2 * changes)] = f"x{i}"
+        rows.append((len(rows), " ".join(words)))
+    kept = [doc for doc, _, component in brute.components(rows, 80, 5) if doc == component]
+    assert 1 not in kept and 5 not in kept and 3 in kept
+    assert {1, 5} <= {doc for doc, _, component in brute.components(rows) if doc == component}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == kept
