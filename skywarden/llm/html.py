@@ -23,6 +23,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 # fixed values: element kinds of HTML
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math"}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -48,25 +49,18 @@ def nodes_of(html: str) -> list[Node]:
     """Text nodes in page order. ``block`` numbers the blocks: inline elements do not begin one."""
     paths: dict[tuple[int, str], int] = {}
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, outside, inside
-    found, block, at, raw = [], 0, 0, ""
+    found, block, at = [], 0, 0
 
     def add(text: str) -> None:
-        if text and not raw:
+        if text:
             _, path, outside, inside = stack[-1]
             found.append(Node(path, outside, inside, block, unescape(text)))
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         closing, tag, rest = m[1], (m[2] or "").lower(), m[3] or ""
-        if raw and not (closing and tag == raw):
-            continue
-        if m.start() < at:
-            continue
         add(html[at:m.start()])
         at = m.end()
         if not tag:
             continue
-        if raw:
-            raw = ""
-            continue
         if tag not in INLINE:
             block += 1
         if closing:
@@ -76,7 +70,9 @@ def nodes_of(html: str) -> list[Node]:
                     break
             continue
         if tag in RAW:
-            raw = tag if not rest.endswith("/") else ""
+            if not rest.endswith("/"):  # what is inside is not read as tags
+                end = RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
             continue
         if tag in VOID or rest.endswith("/"):
             continue

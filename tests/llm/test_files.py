@@ -136,6 +136,12 @@ def test_odd_pages(page):
     assert html.main_text(page) == ("plain" if page == "plain" else html.main_text(page))
 
 
+@pytest.mark.parametrize("body", ['for(var i=0;i<n;i++){s+="x"}', "<!-- hidden", 'if(a<b&&c>d)x="<p>"', "x='</scripts>'"])
+def test_script_bodies_are_not_read_as_tags(body):
+    page = f"<script>{body}</script><article><p>Hello.</p></article><SCRIPT>{body}</Script ><style>a<b{{}}</style><article><p>You.</p></article>"
+    assert html.main_text(page) == "Hello. You."
+
+
 def test_extract_returns_every_row(spark):
     rows = [(1, "u", MARKED_PAGE), (None, None, None), (2, "u", ""), (2, "u", "")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))
