@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from skywarden.llm import words
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 # fixed values: element kinds of HTML
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math"}
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
@@ -29,14 +29,25 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 OUTSIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "head", "object", "canvas",
            "audio", "video", "input"}
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adverts?|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|"
-                    r"cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|commentlist|replies|reply|"
-                    r"respond|disqus)(?:$|[\s_-])", re.I)
+MARK = re.compile(r"ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|cookie\w*|consent|"
+                  r"notice|popup|modal|newsletter|subscribe|share|social|related|comments?|commentlist|replies|reply|respond|disqus", re.I)
+PART = {"area", "bar", "block", "box", "buttons", "container", "form", "icons", "items", "links", "list", "posts", "section", "slot",
+        "unit", "widget", "wrap", "wrapper"}
+UNMARKED = {"html", "body", "article", "main"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SHARE = 0.5
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
+def marked(names: str) -> bool:
+    """Whether a whole name (of a class, say) is that of a menu, an advert and so on: ``ad``, ``cookie-notice``, ``share-buttons``."""
+    for name in names.split():
+        first, *others = [x for x in re.split("[_-]", name) if x] or [""]
+        if MARK.fullmatch(first) and all(MARK.fullmatch(x) or x.lower() in PART for x in others):
+            return True
+    return False
+
+
 class Node:
     """Text of one block piece: its path, whether the path is outside the article or inside a marked one, and its text."""
     __slots__ = ("path", "outside", "inside", "block", "text")
@@ -48,13 +59,19 @@ class Node:
 def nodes_of(html: str) -> list[Node]:
     """Text nodes in page order. ``block`` numbers the blocks: inline elements do not begin one."""
     paths: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, outside, inside
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]  # tag, path, outside, inside, marks
+    held: list[int] = []  # characters in each element with a marked name
+    marks_of: list[tuple[int, ...]] = []
     found, block, at = [], 0, 0
 
     def add(text: str) -> None:
         if text:
-            _, path, outside, inside = stack[-1]
+            _, path, outside, inside, marks = stack[-1]
             found.append(Node(path, outside, inside, block, unescape(text)))
+            marks_of.append(marks)
+            if marks and not outside:
+                for mark in marks:
+                    held[mark] += len(found[-1].text.strip())
     while m := TOKEN.search(html, at):
         closing, tag, rest = m[1], (m[2] or "").lower(), m[3] or ""
         add(html[at:m.start()])
@@ -79,11 +96,17 @@ def nodes_of(html: str) -> list[Node]:
         while stack[-1][0] in CLOSED_BY.get(tag, ()):
             stack.pop()
         names = " ".join(x.strip("\"'") for x in NAMES.findall(rest))
-        _, parent, outside, inside = stack[-1]
+        _, parent, outside, inside, marks = stack[-1]
         path = paths.setdefault((parent, tag), len(paths) + 1)
-        outside = outside or tag in OUTSIDE or bool(names and MARKED.search(names))
-        stack.append((tag, path, outside, inside or tag in ("article", "main")))
+        if names and tag not in UNMARKED and marked(names):
+            marks = (*marks, len(held))
+            held.append(0)
+        stack.append((tag, path, outside or tag in OUTSIDE, inside or tag in ("article", "main"), marks))
     add(html[at:])
+    if held:  # an element that holds most of the page's text is no menu, whatever its name
+        half = sum(len(n.text.strip()) for n in found if not n.outside) / 2
+        for node, marks in zip(found, marks_of):
+            node.outside = node.outside or any(held[mark] <= half for mark in marks)
     return found
 
 

@@ -142,6 +142,17 @@ def test_script_bodies_are_not_read_as_tags(body):
     assert html.main_text(page) == "Hello. You."
 
 
+@pytest.mark.parametrize("head, tail", [
+    ("<body class='has-sidebar'>", "</body>"), ("<body class='single-post right-sidebar'><main class=menu>", "</main>"),
+    ("<div class='no-comments'>", "</div>"), ("<div class='entry-content share-enabled'>", "</div>"),
+    ("<div class=header>", "</div>"), ("<html id=nav><div class='menu-open' data-id=ad>", "</div>")])
+def test_names_of_wrappers_take_no_text(head, tail):
+    long = "A sentence of the article, with commas, that goes on for a while. " * 3
+    advert = "<div class='ad-box'>Buy.</div><div id=comments><p>So it is.</p></div><div class='x SHARE_buttons'>Tell, all.</div>"
+    for inner in (f"<p>{long}</p><p>{long}</p>", f"<article><p>{long}</p><p>{long}</p></article>"):
+        assert html.main_text(f"{head}{advert}{inner}{tail}") == f"{long}{long}".strip()
+
+
 def test_extract_returns_every_row(spark):
     rows = [(1, "u", MARKED_PAGE), (None, None, None), (2, "u", ""), (2, "u", "")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))
