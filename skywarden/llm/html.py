@@ -1,9 +1,10 @@
 """Main text of HTML pages by tag-path ratios.
 
-Every text node has a tag path from the root. For each path of a page, text length and punctuation are added up and divided by
-the number of nodes; the fused ratio of a node is its path's length ratio weighted by its punctuation, averaged (geometrically)
-with the same smoothed over neighbouring nodes in page order. Nodes over a share of the page's mean ratio are content. Paths through elements that never
-hold the article (menus, headers, footers, asides, forms, adverts, notices, comments) have ratio 0, and where the page
+Every block of text has a tag path of block elements from the root; inline elements belong to the block around them. For each path
+of a page, text length and punctuation are added up and divided by the number of blocks; the fused ratio of a block is its path's
+length ratio weighted by its punctuation, averaged (geometrically) with the same smoothed over neighbouring blocks in page order.
+Blocks over a share of the page's mean ratio are content, and so are headings and short blocks among them. Paths through elements
+that never hold the article (menus, headers, footers, asides, forms, adverts, notices, comments) have ratio 0, and where the page
 marks its article, paths inside it pass and others do not.
 """
 
@@ -34,6 +35,7 @@ MARK = re.compile(r"ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|men
 PART = {"area", "bar", "block", "box", "buttons", "container", "form", "icons", "items", "links", "list", "posts", "section", "slot",
         "unit", "widget", "wrap", "wrapper"}
 UNMARKED = {"html", "body", "article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SHARE = 0.5
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -48,30 +50,42 @@ def marked(names: str) -> bool:
     return False
 
 
+class Element:
+    """An element: its tag path of block elements, the block element it is or stands in (``box``), and the one below root, html and
+    body (``top``). Flags hold for what is inside too, but ``named`` (a marked name) and ``holds`` (content directly inside)."""
+    __slots__ = ("tag", "up", "path", "box", "top", "outside", "inside", "heading", "named", "holds", "size")
+
+    def __init__(self, tag: str, up: Element | None, path: int, named: bool):
+        block = up is None or tag not in INLINE
+        self.tag, self.up, self.path, self.named, self.holds, self.size = tag, up, path, named, False, 0
+        self.box: Element = self if block else up.box
+        self.top: Element | None = up and (up.top or (self if block and tag not in ("html", "body") else None))
+        self.outside = tag in OUTSIDE or up is not None and up.outside
+        self.inside = tag in ("article", "main") or up is not None and up.inside
+        self.heading = tag in HEADINGS or up is not None and up.heading
+
+
 class Node:
-    """Text of one block piece: its path, whether the path is outside the article or inside a marked one, and its text."""
-    __slots__ = ("path", "outside", "inside", "block", "text")
+    """A block of text, or the part of it that is outside the article, and the element it begins in."""
+    __slots__ = ("element", "path", "outside", "text")
 
-    def __init__(self, path: int, outside: bool, inside: bool, block: int, text: str):
-        self.path, self.outside, self.inside, self.block, self.text = path, outside, inside, block, text
+    def __init__(self, element: Element, text: str):
+        self.element, self.path, self.outside, self.text = element, element.path, element.outside, text
 
 
-def nodes_of(html: str) -> list[Node]:
-    """Text nodes in page order. ``block`` numbers the blocks: inline elements do not begin one."""
+def pieces_of(html: str) -> tuple[list[tuple[Element, int, str]], list[Element]]:
+    """Text nodes in page order, each with its element and the number of its block, and all elements, outer ones first.
+
+    Inline elements do not begin a block, and have the path of the block element around them.
+    """
     paths: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]  # tag, path, outside, inside, marks
-    held: list[int] = []  # characters in each element with a marked name
-    marks_of: list[tuple[int, ...]] = []
+    stack = [Element("", None, 0, False)]
+    elements = list(stack)
     found, block, at = [], 0, 0
 
     def add(text: str) -> None:
         if text:
-            _, path, outside, inside, marks = stack[-1]
-            found.append(Node(path, outside, inside, block, unescape(text)))
-            marks_of.append(marks)
-            if marks and not outside:
-                for mark in marks:
-                    held[mark] += len(found[-1].text.strip())
+            found.append((stack[-1], block, unescape(text)))
     while m := TOKEN.search(html, at):
         closing, tag, rest = m[1], (m[2] or "").lower(), m[3] or ""
         add(html[at:m.start()])
@@ -82,7 +96,7 @@ def nodes_of(html: str) -> list[Node]:
             block += 1
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
+                if stack[depth].tag == tag:
                     del stack[depth:]
                     break
             continue
@@ -93,26 +107,36 @@ def nodes_of(html: str) -> list[Node]:
             continue
         if tag in VOID or rest.endswith("/"):
             continue
-        while stack[-1][0] in CLOSED_BY.get(tag, ()):
-            stack.pop()
+        while tag in CLOSED_BY and stack[-1].box.tag in CLOSED_BY[tag]:  # also where an inline element was left open inside
+            del stack[stack.index(stack[-1].box):]
         names = " ".join(x.strip("\"'") for x in NAMES.findall(rest))
-        _, parent, outside, inside, marks = stack[-1]
-        path = paths.setdefault((parent, tag), len(paths) + 1)
-        if names and tag not in UNMARKED and marked(names):
-            marks = (*marks, len(held))
-            held.append(0)
-        stack.append((tag, path, outside or tag in OUTSIDE, inside or tag in ("article", "main"), marks))
+        up = stack[-1]
+        path = up.path if tag in INLINE else paths.setdefault((up.path, tag), len(paths) + 1)
+        stack.append(Element(tag, up, path, bool(names) and tag not in UNMARKED and marked(names)))
+        elements.append(stack[-1])
     add(html[at:])
-    if held:  # an element that holds most of the page's text is no menu, whatever its name
-        half = sum(len(n.text.strip()) for n in found if not n.outside) / 2
-        for node, marks in zip(found, marks_of):
-            node.outside = node.outside or any(held[mark] <= half for mark in marks)
-    return found
+    return found, elements
+
+
+def nodes_of(html: str) -> tuple[list[Node], list[Element]]:
+    """Blocks with text, in page order, and all elements, outer ones first."""
+    found, elements = pieces_of(html)
+    for e, _, text in found:
+        e.size += 0 if e.outside else len(text.strip())
+    for e in reversed(elements[1:]):
+        e.up.size += e.size
+    for e in elements[1:]:  # an element that holds most of the page's text is no menu, whatever its name
+        e.outside = e.outside or e.up.outside or e.named and 2 * e.size <= elements[0].size
+    blocks: dict[tuple[int, bool], tuple[Element, list[str]]] = {}
+    for e, block, text in found:
+        blocks.setdefault((block, e.outside), (e, []))[1].append(text)
+    nodes = [Node(e, " ".join("".join(parts).split())) for e, parts in blocks.values()]
+    return [n for n in nodes if n.text], elements
 
 
 def ratios(nodes: list[Node]) -> np.ndarray:
-    """Fused, smoothed ratio of each node."""
-    sizes = np.array([len(n.text.strip()) for n in nodes], float)
+    """Fused, smoothed ratio of each block."""
+    sizes = np.array([len(n.text) for n in nodes], float)
     marks = np.array([len(PUNCTUATION.findall(n.text)) for n in nodes], float)
     path = np.array([n.path for n in nodes])
     total, punctuation, count = (np.bincount(path, w) for w in (sizes, marks, sizes > 0))
@@ -122,23 +146,45 @@ def ratios(nodes: list[Node]) -> np.ndarray:
     return np.sqrt(fused * (0.25 * padded[:-2] + 0.5 * fused + 0.25 * padded[2:]))
 
 
+def chosen(nodes: list[Node], elements: list[Element], ratio: np.ndarray) -> list[bool]:
+    """Content: blocks over the share of the mean ratio, then short blocks by the content next to them.
+
+    A block under the share is content in an element that holds a block over it directly, between two of these of one element
+    of the body, and, for headings, before content. Blocks outside never are.
+    """
+    good = [i for i, n in enumerate(nodes) if not n.outside and ratio[i] > 0]
+    least = SHARE * ratio[good].mean() if good else 0
+    strong = [i for i in good if ratio[i] > least]
+    keep = [False] * len(nodes)
+    for i in strong:
+        box = nodes[i].element.box
+        for holder in (box, box.up.box if box.up else box):
+            holder.holds = holder.top is not None
+    for e in elements[1:]:
+        e.holds = e.holds or e.up.holds
+    for i in good:
+        keep[i] = ratio[i] > least or nodes[i].element.holds
+    for a, b in zip(strong, strong[1:]):
+        x, y = nodes[a].element, nodes[b].element
+        if x.top is y.top or all(e.top is None or e.top is e.box for e in (x, y)):  # in one element, or both directly in the body
+            for i in range(a + 1, b):
+                keep[i] = not nodes[i].outside
+    after = False
+    for i in reversed(good):
+        after = keep[i] = keep[i] or (after and nodes[i].element.heading)
+    return keep
+
+
 def main_text(html: str | None) -> str:
-    """Text of the content nodes: white space within a block is one space, blocks are joined by one space."""
-    nodes = nodes_of(html) if html else []
+    """Text of the content blocks: white space within a block is one space, blocks are joined by one space."""
+    nodes, elements = nodes_of(html) if html else ([], [])
     if not nodes:
         return ""
-    ratio = ratios(nodes)
-    if any(n.inside and not n.outside for n in nodes):
-        keep = [n.inside and not n.outside for n in nodes]
+    if any(n.element.inside and not n.outside for n in nodes):
+        keep = [n.element.inside and not n.outside for n in nodes]
     else:
-        open_nodes = ratio[ratio > 0]
-        keep = (ratio > SHARE * open_nodes.mean()) if len(open_nodes) else np.zeros(len(nodes), bool)
-    blocks: dict[int, list[str]] = {}
-    for node, good in zip(nodes, keep):
-        if good:
-            blocks.setdefault(node.block, []).append(node.text)
-    texts = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return " ".join(t for t in texts if t)
+        keep = chosen(nodes, elements, ratios(nodes))
+    return " ".join(n.text for n, good in zip(nodes, keep) if good)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,6 +153,19 @@ def test_names_of_wrappers_take_no_text(head, tail):
         assert html.main_text(f"{head}{advert}{inner}{tail}") == f"{long}{long}".strip()
 
 
+def test_inline_words_headings_and_short_blocks_stay_with_their_content():
+    half = "Words of a paragraph that go on for a while, and then some more of the same, so that it is long. And it has no end yet "
+    p = f"<p>{half}<a href=x>link</a> and <b>bold <i>words</i></b>, {half}</p>"
+    whole = f"{half}link and bold words, {half}".strip()
+    page = (f"<body><div class=top><a href=a>Home</a> <a href=b>News</a></div><div class=t><h1>Title</h1></div><div class=c>{p}<h2>Part</h2>"
+            f"<ul><li>one<li><a href=x>two</a></ul>{p}<figure><figcaption>Caption</figcaption></figure></div><div>About</div></body>")
+    assert html.main_text(page) == f"Title {whole} Part one two {whole} Caption"
+    flat = f"<div>Home</div><h1>Title</h1>{p}<ul><li>one</li></ul><h2>Part</h2>{p}<p><b>{half}<p>{half}"
+    assert html.main_text(flat) == f"Title {whole} one Part {whole} {half}{half}".strip()
+    deep = f"<div class=c><div><p>{half}</p></div><ul><li>one</li></ul><div><p>{half}</p></div></div><ul><li>Legal</li></ul>"
+    assert html.main_text(deep) == f"{half}one {half}".strip()
+
+
 def test_extract_returns_every_row(spark):
     rows = [(1, "u", MARKED_PAGE), (None, None, None), (2, "u", ""), (2, "u", "")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))
