@@ -4,8 +4,8 @@ Every block of text has a tag path of block elements from the root; inline eleme
 of a page, text length and punctuation are added up and divided by the number of blocks; the fused ratio of a block is its path's
 length ratio weighted by its punctuation, averaged (geometrically) with the same smoothed over neighbouring blocks in page order.
 Blocks over a share of the page's mean ratio are content, and so are headings and short blocks among them. Paths through elements
-that never hold the article (menus, headers, footers, asides, forms, adverts, notices, comments) have ratio 0, and where the page
-marks its article, paths inside it pass and others do not.
+that never hold the article (menus, headers, footers, asides, forms, adverts, notices, comments) have ratio 0; paths inside a marked
+article have a larger one, which decides nothing alone.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ UNMARKED = {"html", "body", "article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SHARE = 0.5
+WEIGHT = 1.5  # of paths in a marked article
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
@@ -52,14 +53,15 @@ def marked(names: str) -> bool:
 
 class Element:
     """An element: its tag path of block elements, the block element it is or stands in (``box``), and the one below root, html and
-    body (``top``). Flags hold for what is inside too, but ``named`` (a marked name) and ``holds`` (content directly inside)."""
-    __slots__ = ("tag", "up", "path", "box", "top", "outside", "inside", "heading", "named", "holds", "size")
+    body (``top``), and the nearest ``article``. Flags hold for what is inside too, but ``named`` (a marked name) and ``holds`` (content directly inside)."""
+    __slots__ = ("tag", "up", "path", "box", "top", "article", "outside", "inside", "heading", "named", "holds", "size")
 
     def __init__(self, tag: str, up: Element | None, path: int, named: bool):
         block = up is None or tag not in INLINE
         self.tag, self.up, self.path, self.named, self.holds, self.size = tag, up, path, named, False, 0
         self.box: Element = self if block else up.box
         self.top: Element | None = up and (up.top or (self if block and tag not in ("html", "body") else None))
+        self.article: Element | None = self if tag == "article" else up and up.article
         self.outside = tag in OUTSIDE or up is not None and up.outside
         self.inside = tag in ("article", "main") or up is not None and up.inside
         self.heading = tag in HEADINGS or up is not None and up.heading
@@ -141,7 +143,8 @@ def ratios(nodes: list[Node]) -> np.ndarray:
     path = np.array([n.path for n in nodes])
     total, punctuation, count = (np.bincount(path, w) for w in (sizes, marks, sizes > 0))
     count = np.maximum(count, 1)
-    fused = ((total / count) * (1 + np.log1p(punctuation / count)))[path] * np.array([not n.outside for n in nodes])
+    weight = np.array([0 if n.outside else WEIGHT if n.element.inside else 1 for n in nodes])
+    fused = ((total / count) * (1 + np.log1p(punctuation / count)))[path] * weight
     padded = np.concatenate([fused[:1], fused, fused[-1:]])
     return np.sqrt(fused * (0.25 * padded[:-2] + 0.5 * fused + 0.25 * padded[2:]))
 
@@ -149,8 +152,9 @@ def ratios(nodes: list[Node]) -> np.ndarray:
 def chosen(nodes: list[Node], elements: list[Element], ratio: np.ndarray) -> list[bool]:
     """Content: blocks over the share of the mean ratio, then short blocks by the content next to them.
 
-    A block under the share is content in an element that holds a block over it directly, between two of these of one element
-    of the body, and, for headings, before content. Blocks outside never are.
+    A block under the share is content in an element that holds a block over it directly and in the nearest ``article`` around
+    one, but not in another ``article`` inside these; between two blocks over the share of one element of the body; and, for
+    headings, before content. Blocks outside never are.
     """
     good = [i for i, n in enumerate(nodes) if not n.outside and ratio[i] > 0]
     least = SHARE * ratio[good].mean() if good else 0
@@ -158,10 +162,11 @@ def chosen(nodes: list[Node], elements: list[Element], ratio: np.ndarray) -> lis
     keep = [False] * len(nodes)
     for i in strong:
         box = nodes[i].element.box
-        for holder in (box, box.up.box if box.up else box):
-            holder.holds = holder.top is not None
+        for holder in (box, box.up.box if box.up else box, box.article):
+            if holder and holder.top:
+                holder.holds = True
     for e in elements[1:]:
-        e.holds = e.holds or e.up.holds
+        e.holds = e.holds or e.up.holds and e.tag != "article"
     for i in good:
         keep[i] = ratio[i] > least or nodes[i].element.holds
     for a, b in zip(strong, strong[1:]):
@@ -180,10 +185,7 @@ def main_text(html: str | None) -> str:
     nodes, elements = nodes_of(html) if html else ([], [])
     if not nodes:
         return ""
-    if any(n.element.inside and not n.outside for n in nodes):
-        keep = [n.element.inside and not n.outside for n in nodes]
-    else:
-        keep = chosen(nodes, elements, ratios(nodes))
+    keep = chosen(nodes, elements, ratios(nodes))
     return " ".join(n.text for n, good in zip(nodes, keep) if good)
 
 

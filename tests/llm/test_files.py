@@ -166,6 +166,16 @@ def test_inline_words_headings_and_short_blocks_stay_with_their_content():
     assert html.main_text(deep) == f"{half}one {half}".strip()
 
 
+def test_ratios_decide_beside_empty_and_small_marks():
+    long = "A sentence of the article, with commas, that goes on for a while, as they do. " * 4
+    body = f"<div class=text><h1>Title</h1><p>{long}</p><p>{long}</p><ul><li>one</ul></div>"
+    cards = "<article class=card><h2>Card</h2><p>Read on.</p></article>" * 3
+    expected = f"Title {long}{long}one"
+    for page in (f"<main> </main>{body}", f"<main>\n<article>\n</article></main>{body}", f"{cards}{body}", f"{body}{cards}",
+                 f"<main>{body}{cards}</main>", f"<main><div>{cards}</div></main>{body}", f"<article>{body}<ul><li>two</ul>{cards}</article>"):
+        assert html.main_text(f"<body>{page}</body>") == (expected + " two" if "two" in page else expected)
+
+
 def test_extract_returns_every_row(spark):
     rows = [(1, "u", MARKED_PAGE), (None, None, None), (2, "u", ""), (2, "u", "")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)))
