@@ -85,6 +85,16 @@ def entities():
     }
 
 
+def request_entities():
+    """The sources of HTTP requests and the video streams, as the application layer tracks them."""
+    text = F.col("payload").cast("string")
+    return {
+        "http_sources": F.when(X.is_tcp() & F.col("dport").isin(80, 8080, 443) & text.rlike("^(GET|POST|PUT|DELETE) "), F.col("src_ip")),
+        "video_streams": F.when(X.is_tcp() & (F.col("dport") == 554) & text.rlike("DESCRIBE|SETUP|PLAY|TEARDOWN|OPTIONS"),
+                                F.struct("src_ip", "sport")),
+    }
+
+
 STREAMS = "ip_proto = 17 AND dport = 554"
 
 QUERIES = {
@@ -114,6 +124,12 @@ QUERIES = {
         count(DISTINCT CASE WHEN payload_hex LIKE 'FD%' AND length(payload_hex) >= 22 THEN src_ip END) AS mavlink_sources,
         count(DISTINCT CASE WHEN ip_proto = 6 AND dport IN (1883, 8883) THEN src_ip END) AS mqtt_sources,
         count(DISTINCT CASE WHEN ip_proto = 6 AND dport IN (22, 23) THEN src_ip END) AS login_sources FROM packets"""),
+    "entity_summary_requests": (
+        lambda s, d: report.entity_summary(packets(s, d), request_entities()),
+        P + """SELECT count(DISTINCT CASE WHEN ip_proto = 6 AND dport IN (80, 8080, 443)
+          AND regexp_matches(payload_words, '^(GET|POST|PUT|DELETE) ') THEN src_ip END) AS http_sources,
+        count(DISTINCT CASE WHEN ip_proto = 6 AND dport = 554 AND regexp_matches(payload_words, 'DESCRIBE|SETUP|PLAY|TEARDOWN|OPTIONS')
+          THEN src_ip || ':' || sport END) AS video_streams FROM packets"""),
     "alerts_by_type_and_hour": (
         lambda s, d: report.breakdown(rule_alerts(s, d), "attack_type", F.hour("ts").alias("hour")),
         ALERTS + " SELECT attack_type, hour(ts)::INT AS hour, count(*) AS n FROM alerts GROUP BY 1, 2"),

@@ -104,3 +104,43 @@ QUERIES = {
         AS attack_type, greatest(a, b, c)::INT AS severity, CASE WHEN greatest(a, b, c) = 0 THEN '' WHEN a >= b AND a >= c THEN 'a' || k
         WHEN b >= c THEN 'b' ELSE 'c' END AS details FROM f"""),
 }
+
+
+def over_all(rows) -> dict:
+    """Queries of the operators over all packets, those without an address among them."""
+    return {
+        "trailing_rate_all_packets": (
+            lambda s, d: ordered.rate_over(rows(s, d), ["src_ip"], DAY).select("packet_id", "rate"),
+            P + f"SELECT packet_id, {rate('src_ip', DAY)} AS rate FROM packets"),
+        "trailing_rate_short_slices_all_packets": (
+            lambda s, d: ordered.rate_over(rows(s, d), ["src_ip", "dst_ip"], DAY, slice_s=3600).select("packet_id", "rate"),
+            P + f"SELECT packet_id, {rate('src_ip, dst_ip', DAY)} AS rate FROM packets"),
+        "rate_exceeds_all_packets": (
+            lambda s, d: ordered.exceeds(rows(s, d).select("packet_id", "ts", "src_ip"), ["src_ip"], 3, DAY).select(
+                "packet_id", F.col("exceeds").cast("int").alias("exceeds")),
+            P + f"SELECT packet_id, ({rate('src_ip', DAY)} > 3)::INT AS exceeds FROM packets"),
+        "trailing_distinct_all_packets": (
+            lambda s, d: ordered.distinct_over(rows(s, d), ["src_ip"], "dport", 2 * DAY).select("packet_id", "n_distinct"),
+            P + f"""SELECT packet_id, count(DISTINCT dport) OVER (PARTITION BY src_ip ORDER BY ts
+            RANGE BETWEEN INTERVAL {2 * DAY} SECONDS PRECEDING AND CURRENT ROW) AS n_distinct FROM packets"""),
+        "distinct_so_far_all_packets": (
+            lambda s, d: ordered.seen_distinct(rows(s, d), ["src_ip"], "dport").select("packet_id", "n_distinct"),
+            P + f"SELECT packet_id, {seen('src_ip', 'dport')} AS n_distinct FROM packets"),
+        "running_counts_all_packets": (
+            lambda s, d: ordered.running_counts(rows(s, d), ["src_ip"], {"n": F.lit(1), "bytes": F.col("packet_size")}).drop("ts"),
+            P + f"""SELECT packet_id, {running('src_ip', '1')}::BIGINT AS n, {running('src_ip', 'packet_size')}::BIGINT AS bytes
+            FROM packets"""),
+        "overlapping_slices_all_packets": (
+            lambda s, d: ordered.overlap_slices(rows(s, d), DAY).groupBy("slice").agg(
+                F.count_if("native").alias("own"), F.count("*").alias("all_rows")),
+            P + f""", s AS (SELECT epoch_us(ts) // {DAY * 1000000} AS slice FROM packets)
+            SELECT slice::BIGINT AS slice, sum(own)::BIGINT AS own, count(*) AS all_rows FROM
+            (SELECT slice, 1 AS own FROM s UNION ALL SELECT slice + 1, 0 FROM s) GROUP BY 1"""),
+        "greedy_suppress_inclusive_all_packets": (
+            lambda s, d: greedy_suppress(rows(s, d).select("packet_id", "ts", "src_ip"), ["src_ip"], DAY).select(
+                "packet_id", F.col("flagged").cast("int").alias("flagged"), F.unix_micros("anchor_ts").alias("anchor")),
+            suppressed_sql("true", "coalesce(src_ip, '')", DAY * 1_000_000, True) + " SELECT packet_id, flagged::INT AS flagged, anchor FROM judged"),
+    }
+
+
+QUERIES |= over_all(packets)

@@ -13,18 +13,32 @@ from skywarden.session import fresh_folder
 from skywarden.sources import readers, sinks
 
 
-def packet_files(s, d, fmt):
+def written_and_read(s, d, fmt):
     """Packets written in a format and read with the packet schema."""
     folder = fresh_folder(s, f"packets-{fmt}")
     names = s.createDataFrame([], S.PACKETS).columns
     packets(s, d).select(*names).write.format(fmt).save(folder)
-    read = readers.read_packets(s, folder, fmt)
+    return readers.read_packets(s, folder, fmt)
+
+
+def all_packet_files(s, d, fmt):
+    """All packets read back, with each DNS answer as text."""
+    answer = lambda a: F.concat_ws("|", a["type"].cast("string"), a["ttl"].cast("string"), F.hex(a["rdata"]))
+    return written_and_read(s, d, fmt).select("packet_id", "src_ip", F.md5("payload").alias("hash"),
+                                              F.array_join(F.transform("dns_answers", answer), ";").alias("answers"))
+
+
+def packet_files(s, d, fmt):
+    read = written_and_read(s, d, fmt)
     return read.where(F.col("dport") == 80).select("packet_id", "src_ip", F.md5("payload").alias("hash"),
                                                    F.coalesce(F.size("dns_answers"), F.lit(0)).alias("answers"))
 
 
 PACKET_FILES = P + "SELECT packet_id, src_ip, md5(payload) AS hash, 0 AS answers FROM packets WHERE dport = 80"
 
+ALL_PACKET_FILES = P + """SELECT packet_id, src_ip, md5(payload) AS hash,
+  CASE WHEN dns_qr IS NOT NULL THEN '1|' || k || '|0A000001;16|300|' || repeat('74', k + 50) END AS answers FROM packets"""
+
 
 def transport_log_file(fmt, times):
     def query(s, d):
@@ -72,6 +86,9 @@ QUERIES = {
     "packets_from_parquet": (lambda s, d: packet_files(s, d, "parquet"), PACKET_FILES),
     "packets_from_json": (lambda s, d: packet_files(s, d, "json"), PACKET_FILES),
     "packets_from_orc": (lambda s, d: packet_files(s, d, "orc"), PACKET_FILES),
+    "all_packets_from_parquet": (lambda s, d: all_packet_files(s, d, "parquet"), ALL_PACKET_FILES),
+    "all_packets_from_json": (lambda s, d: all_packet_files(s, d, "json"), ALL_PACKET_FILES),
+    "all_packets_from_orc": (lambda s, d: all_packet_files(s, d, "orc"), ALL_PACKET_FILES),
     "appended_parquet_log": (transport_log_file("parquet", 2), log_counts(2)),
     "appended_csv_log": (transport_log_file("csv", 2), log_counts(2)),
     "replaced_log": (replaced_log, P + "SELECT dport, count(*) AS n FROM packets WHERE ip_proto = 6 AND dport = 80 GROUP BY 1"),

@@ -80,3 +80,24 @@ QUERIES = {
         THEN 'fragmented_packet' WHEN ip_proto = 6 AND tcp_flags = 2 THEN 'potential_syn_flood'
         WHEN ip_proto = 6 AND sport = dport THEN 'same_port_attack' END AS attack_type FROM packets) WHERE attack_type IS NOT NULL"""),
 }
+
+# the generic operators over all packets, those without an address among them
+QUERIES |= {
+    "stream_trailing_rate_all_packets": (
+        lambda s, d: run_to_end(stateful.stream_rates(stream(s, d), ["src_ip"], DAY), "rates").drop("key"),
+        P + f"SELECT packet_id, {rate('src_ip', DAY)} AS rate FROM packets"),
+    "stream_first_sightings_all_packets": (
+        lambda s, d: run_to_end(stateful.first_sightings(stream(s, d), ["src_ip"], "dport"), "sightings"),
+        P + "SELECT DISTINCT src_ip, dport FROM packets"),
+    "stream_greedy_suppress_all_packets": (
+        lambda s, d: run_to_end(stateful.stream_suppress(stream(s, d), ["src_ip"], DAY), "suppress").select(
+            "packet_id", F.col("flagged").cast("int").alias("flagged"), "anchor"),
+        suppressed_sql("true", "coalesce(src_ip, '')", DAY * 1_000_000, True) + " SELECT packet_id, flagged::INT AS flagged, anchor FROM judged"),
+    "stream_approximate_rates_all_packets": (
+        lambda s, d: run_to_end(stateful.approximate_rates(stream(s, d), "src_ip", "24 hours", "6 hours", "1 hour"), "approximate")
+        .withColumn("bucket", F.floor(F.unix_micros("window_start") / F.lit(HOURS * 3600 * 1_000_000))).drop("window_start"),
+        P + f""", b AS (SELECT src_ip, unnest(generate_series((epoch_us(ts) // {HOURS * 3600 * 1_000_000}) - 3,
+          epoch_us(ts) // {HOURS * 3600 * 1_000_000}))::BIGINT AS bucket FROM packets)
+        SELECT src_ip, bucket, count(*) AS n FROM b WHERE (bucket + 4) * {HOURS * 3600 * 1_000_000}
+          <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM packets) - 3600000000 GROUP BY 1, 2"""),
+}

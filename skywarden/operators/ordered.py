@@ -150,13 +150,13 @@ def _after(events: DataFrame, keys: Sequence[str], totals: Sequence[str], slice_
 
 def seen_distinct(packets: DataFrame, keys: Sequence[str], value: str, carry: Sequence[str | Column] = (),
                   also: Column | None = None, slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
-    """``n_distinct``: distinct values of the key so far, never expiring; ``n_also`` counts values meeting ``also``.
+    """``n_distinct``: distinct values of the key so far, never expiring; ``n_also`` counts values meeting ``also``. Null is no value.
 
     First sightings are found by a map-side aggregate; rows meet them by (key, slice), never by the bare key.
     """
     keys = list(keys)
     first = F.min(F.struct(X.micros().alias("at"), F.col("packet_id").alias("seq"))).alias("first")
-    firsts = packets.groupBy(*keys, F.col(value).alias("value")).agg(first)
+    firsts = packets.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(first)
     totals = ["n_distinct"] + (["n_also"] if also is not None else [])
     starts = firsts.withColumn(value, F.col("value")).select(
         *keys, "first.at", "first.seq", F.lit(0).alias("step"), F.lit(1).alias("n_distinct"),
@@ -167,14 +167,14 @@ def seen_distinct(packets: DataFrame, keys: Sequence[str], value: str, carry: Se
 
 def distinct_over(packets: DataFrame, keys: Sequence[str], value: str, window_s: float,
                   carry: Sequence[str | Column] = (), slice_s: float | None = None) -> DataFrame:
-    """``n_distinct``: distinct values of the key in ``[t - window, t]``.
+    """``n_distinct``: distinct values of the key in ``[t - window, t]``. Null is no value.
 
     Sightings of one value inside one window-long slice are never further apart than the window, so first and last
     sighting per slice (a map-side aggregate) give the exact stretches during which a value counts.
     """
     keys, window = list(keys), to_micros(window_s)
     sighting = F.struct(X.micros().alias("at"), F.col("packet_id").alias("seq"))
-    spans = packets.groupBy(*keys, F.col(value).alias("value"), X.floor_div(X.micros(), window).alias("_span")).agg(
+    spans = packets.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value"), X.floor_div(X.micros(), window).alias("_span")).agg(
         F.min(sighting).alias("lo"), F.max(X.micros()).alias("hi"))
     order = Window.partitionBy(*keys, "value").orderBy("_span")
     spans = spans.withColumns({"since": F.col("lo.at") - F.lag("hi").over(order),

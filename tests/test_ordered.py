@@ -167,3 +167,11 @@ def test_sequence_machine_over_many_slices(frames):
     want = machine(rows, 2, ("src_ip",))
     for slice_s in (0.5, 10_000):
         assert by_id(sequence_alerts(frames(rows), 2, ["src_ip"], slice_s=slice_s), "anomalies", "expected", "got") == want
+
+
+def test_rows_without_a_value_count_no_distinct_value(frames):
+    rows = [{"at": t, "src_ip": "a", "dport": port} for t, port in ((0, None), (1, 5), (2, None), (3, 6), (9, None))]
+    so_far = by_id(ordered.seen_distinct(frames(rows), ["src_ip"], "dport"), "n_distinct")
+    assert [so_far[i] for i in range(5)] == [(0,), (1,), (1,), (2,), (2,)]
+    inside = by_id(ordered.distinct_over(frames(rows), ["src_ip"], "dport", 2), "n_distinct")
+    assert [inside[i] for i in range(5)] == [(0,), (1,), (1,), (2,), (0,)]
