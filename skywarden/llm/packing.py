@@ -3,7 +3,8 @@
 A piece asks for tokens, one segment and loss-bearing tokens; a sequence has a limit on each. A sequence is filled by taking,
 again and again, the fitting piece whose demand has the largest dot product with what is left of the sequence, each
 dimension as a share of its limit. Longer examples are cut into whole sequences first. If nothing fits any more, a piece is cut
-to fill the gap. What remains at the end of a task's examples goes into sequences whose lengths are powers of two.
+to fill the gap. What remains at the end of a task's examples, and what another limit closed early, goes into sequences whose
+lengths are powers of two.
 
 Each task packs its own rows, so there is no shuffle and no group to grow; only a task's pieces are held, ``PIECES`` at a time.
 """
@@ -102,8 +103,8 @@ def pack(ids: list[np.ndarray], loss: list[int], limits: tuple[int, int, int] =
          ) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (example, start in it, length); together they hold each token of each example once.
 
-    ``loss`` counts the loss-bearing tokens at the end of each example. A sequence that is not full is cut into powers of two,
-    unless it is full by one of the other limits.
+    ``loss`` counts the loss-bearing tokens at the end of each example. A sequence that is short in tokens is cut into powers of
+    two, whatever limit closed it.
     """
     pieces: list[tuple[int, int, int, int]] = []  # example, start, length, loss
     chunk = min(limits[0], limits[2])
@@ -114,7 +115,7 @@ def pack(ids: list[np.ndarray], loss: list[int], limits: tuple[int, int, int] =
             pieces.append((i, at, end - at, max(0, end - max(at, n - bearing))))
     used = [0] * len(pieces)
     for sequence in dot_product_fill(np.array([p[2] for p in pieces], np.int64), np.array([p[3] for p in pieces], np.int64), limits):
-        full = sum(n for _, n in sequence) == limits[0] or len(sequence) >= limits[1]
+        full = sum(n for _, n in sequence) == limits[0]
         for part in [sequence] if full else powers_of_two(sequence):
             out = []
             for piece, n in part:

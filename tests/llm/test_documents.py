@@ -157,6 +157,17 @@ def test_packing_keeps_all_limits():
     assert all(sorted(places) == list(range(len(x))) for places, x in zip(seen, ids))
 
 
+def test_many_short_texts_need_little_padding():
+    ids = [np.zeros(n, np.uint32) for n in [3] * 3000 + [700] * 5]
+    padding = total = 0
+    for sequence in packing.pack(ids, [len(x) for x in ids]):
+        n = sum(n for _, _, n in sequence)
+        assert len(sequence) <= packing.SEGMENTS
+        total += n
+        padding += 0 if n & (n - 1) == 0 else packing.TOKENS - n
+    assert total == sum(map(len, ids)) and padding <= 0.02 * total
+
+
 def test_empty_tables(nothing):
     assert substring.remove_repeats(nothing).count() == 0
     assert ngram_join.link_components(nothing).count() == 0
