@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +28,17 @@ from skywarden.llm import words as W
 from skywarden.session import written
 
 TOP = 20
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 BLOCK = 128
 GROUP_BYTES = 4 << 20  # of query texts handled in one pass over the index
 NO_ID = np.iinfo(np.int64).max
 #: letters, digits and all bytes of longer code points stay, A-Z in lower case; all else is a space
 FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
-ARRAYS = ("ids", "sizes", "first", "start", "last", "offset", "widths", "impact_start", "impact_tf", "impact_n", "body")
-KINDS = dict(zip(ARRAYS, (np.int64, np.int64, np.int64, np.int64, np.int32, np.int64, np.uint8, np.int64, np.int64, np.int64, np.uint8)))
-SEGMENT = pa.schema([("n_docs", pa.int64()), ("n_terms", pa.int64()), ("terms", pa.list_(pa.binary())), ("counts", pa.binary()),
-                     *((name, pa.binary()) for name in ARRAYS)])
-SEGMENT_DDL = "n_docs long, n_terms long, terms array<binary>, counts binary, " + ", ".join(f"{name} binary" for name in ARRAYS)
+#: stored arrays: of documents, of terms, of blocks, of impacts, of packed postings
+KINDS = {"ids": np.int64, "sizes": np.int64, "counts": np.int32, "last": np.int32, "widths": np.uint8, "impact_counts": np.uint8,
+         "impact_tf": np.int32, "impact_n": np.int32, "body": np.uint8}
+SEGMENT = pa.schema([("n_docs", pa.int64()), ("n_terms", pa.int64()), ("terms", pa.binary()), *((name, pa.binary()) for name in KINDS)])
+SEGMENT_DDL = "n_docs long, n_terms long, terms binary, " + ", ".join(f"{name} binary" for name in KINDS)
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -67,13 +67,22 @@ def _store(body: np.ndarray, values: np.ndarray, at: np.ndarray, wide: np.ndarra
 
 
 def _load(body: np.ndarray, at: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(at), np.int64)
-    for byte in range(4):
+    out = body[at].astype(np.int64)
+    for byte in range(1, int(wide.max())):
         some = wide > byte
         out[some] |= body[at[some] + byte].astype(np.int64) << (8 * byte)
     return out
 
 
+def layout(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block of each term and first posting of each block, each with one more entry for the end."""
+    blocks = -(-counts.astype(np.int64) // BLOCK)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    begins = np.cumsum(counts, dtype=np.int64) - counts
+    start = np.repeat(begins - BLOCK * first[:-1], blocks) + BLOCK * np.arange(first[-1])
+    return first, np.append(start, counts.sum(dtype=np.int64))
+
+
 def impacts(tf: np.ndarray, n: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Positions, block by block, of the pairs that no other pair of the block beats in count and shortness."""
     order = np.lexsort((n, -tf, block))
@@ -87,19 +96,17 @@ def impacts(tf: np.ndarray, n: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 def segment(ids: list[int | None], texts: list[bytes | None]) -> pa.RecordBatch:
     """The index of some documents, as one row."""
-    each = [terms_of(text) for text in texts]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
     number: defaultdict[bytes, int] = defaultdict(count().__next__)
-    tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(each)), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(each)), sizes)
-    pairs, tf = np.unique(tokens * max(len(each), 1) + owner, return_counts=True)
-    term, doc = np.divmod(pairs, max(len(each), 1))
-    counts = np.bincount(term, minlength=len(number)).astype(np.int64)
-    blocks = -(-counts // BLOCK)  # of each term
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    begins = np.cumsum(counts) - counts
-    start = np.repeat(begins, blocks) + BLOCK * (np.arange(first[-1]) - np.repeat(first[:-1], blocks))
-    start = np.append(start, len(pairs)).astype(np.int64)
+    each = [np.fromiter(map(number.__getitem__, terms_of(text)), np.int32) for text in texts]
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    pairs = np.concatenate(each).astype(np.int64)
+    del each
+    pairs *= len(texts)
+    pairs += np.repeat(np.arange(len(texts)), sizes)
+    pairs, tf = np.unique(pairs, return_counts=True)
+    term, doc = np.divmod(pairs, len(texts))
+    counts = np.bincount(term, minlength=len(number))
+    _, start = layout(counts)
     size = np.diff(start)
     block = np.repeat(np.arange(len(size)), size)
     step = np.diff(doc, prepend=0)
@@ -111,12 +118,12 @@ def segment(ids: list[int | None], texts: list[bytes | None]) -> pa.RecordBatch:
     _store(body, step, *_place(size, wide[0], offset))
     _store(body, tf, *_place(size, wide[1], offset + size * wide[0]))
     best = impacts(tf, sizes[doc], block)
-    arrays = {"ids": np.array([NO_ID if i is None else i for i in ids]), "sizes": sizes, "first": first, "start": start,
-              "last": doc[start[1:] - 1], "offset": offset, "widths": wide[0] | wide[1] << 4,
-              "impact_start": np.searchsorted(block[best], np.arange(len(size))), "impact_tf": tf[best], "impact_n": sizes[doc[best]], "body": body}
+    arrays = {"ids": np.array([NO_ID if i is None else i for i in ids]), "sizes": sizes, "counts": counts, "last": doc[start[1:] - 1],
+              "widths": wide[0] | wide[1] << 4, "impact_counts": np.bincount(block[best], minlength=len(size)), "impact_tf": tf[best],
+              "impact_n": sizes[doc[best]], "body": body}
     return pa.RecordBatch.from_arrays(
-        [pa.array([int((sizes > 0).sum())]), pa.array([int(sizes.sum())]), pa.array([list(number)], pa.list_(pa.binary())),
-         pa.array([counts.tobytes()], pa.binary()), *(pa.array([arrays[a].astype(KINDS[a]).tobytes()], pa.binary()) for a in ARRAYS)], schema=SEGMENT)
+        [pa.array([int((sizes > 0).sum())]), pa.array([int(sizes.sum())]), pa.array([b" ".join(number)], pa.binary()),
+         *(pa.array([arrays[name].astype(kind).tobytes()], pa.binary()) for name, kind in KINDS.items())], schema=SEGMENT)
 
 
 def _segments(segment_bytes: int):
@@ -143,13 +150,29 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seg
 
 # --- search -----------------------------------------------------------------------------------------------------------
 
+def places(asked: list[bytes], terms: bytes) -> pa.Array:
+    """Where the terms asked for stand among a segment's terms; null for others."""
+    return pc.index_in(pa.array(asked, pa.binary()), value_set=pa.array(terms.split(), pa.binary()))
+
+
+def stored(batch: pa.RecordBatch, at: int) -> dict[str, memoryview]:
+    """A row's columns, not copied."""
+    return {name: memoryview(batch[name][at].as_buffer()) for name in ("terms", *KINDS)}
+
+
 class Segment:
     """One row of the index, with the corpus totals and the terms that are asked for."""
 
-    def __init__(self, row: dict, terms: pa.Array, asked: list[bytes], documents: int, total: int):
-        self.a = {name: np.frombuffer(row[name], KINDS[name]) for name in ARRAYS}
-        found = pc.index_in(pa.array(asked, pa.binary()), value_set=terms).to_pylist()
-        self.place = {term: at for term, at in zip(asked, found) if at is not None}
+    def __init__(self, row: dict[str, memoryview], asked: list[bytes], documents: int, total: int):
+        self.a = {name: np.frombuffer(row[name], kind) for name, kind in KINDS.items()}
+        self.first, self.start = layout(self.a["counts"])
+        widths = self.a["widths"].astype(np.int64)
+        self.wide = widths & 15, widths >> 4  # bytes of a document step and of a count
+        length = np.diff(self.start) * (self.wide[0] + self.wide[1])
+        self.offset = np.cumsum(length) - length
+        self.impact_end = np.cumsum(self.a["impact_counts"], dtype=np.int64)
+        found = places(asked, bytes(row["terms"]))
+        self.place = {term: at for term, at in zip(asked, found.to_pylist()) if at is not None}
         self.m = 12 * (75 + (25 * self.a["sizes"] * documents) // max(total, 1))  # 12 m of each document
         self.documents, self.total = documents, total
         self.lists: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
@@ -157,25 +180,24 @@ class Segment:
 
     def blocks(self, term: bytes) -> tuple[int, int]:
         at = self.place[term]
-        return int(self.a["first"][at]), int(self.a["first"][at + 1])
+        return int(self.first[at]), int(self.first[at + 1])
 
     def block_maxima(self, term: bytes) -> np.ndarray:
         """Largest score part of each of the term's blocks, from the blocks' impacts."""
         if term not in self.maxima:
             a, b = self.blocks(term)
-            start = self.a["impact_start"]
-            i, j = int(start[a]), int(start[b]) if b < len(start) else len(self.a["impact_tf"])
-            tf, n = self.a["impact_tf"][i:j], self.a["impact_n"][i:j]
+            start = np.append(self.impact_end[a - 1] if a else 0, self.impact_end[a:b])
+            tf, n = (self.a[name][start[0]:start[-1]].astype(np.int64) for name in ("impact_tf", "impact_n"))
             parts = (1_000_000_000 * tf) // (1000 * tf + 12 * (75 + (25 * n * self.documents) // self.total))
-            self.maxima[term] = np.maximum.reduceat(parts, start[a:b] - i)
+            self.maxima[term] = np.maximum.reduceat(parts, start[:-1] - start[0])
         return self.maxima[term]
 
     def unpacked(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents and score parts of some blocks."""
-        start, offset, wide = self.a["start"], self.a["offset"][blocks], self.a["widths"][blocks].astype(np.int64)
-        size = start[blocks + 1] - start[blocks]
-        step = _load(self.a["body"], *_place(size, wide & 15, offset))
-        tf = _load(self.a["body"], *_place(size, wide >> 4, offset + size * (wide & 15)))
+        size = self.start[blocks + 1] - self.start[blocks]
+        offset, wide = self.offset[blocks], [w[blocks] for w in self.wide]
+        step = _load(self.a["body"], *_place(size, wide[0], offset))
+        tf = _load(self.a["body"], *_place(size, wide[1], offset + size * wide[0]))
         doc = np.cumsum(step)
         ends = np.cumsum(size)
         before = np.concatenate([[0], doc[ends[:-1] - 1]])
@@ -188,6 +210,12 @@ class Segment:
         return self.lists[term]
 
 
+    def some(self, term: bytes, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for some of a term's blocks; a list that most of is needed is unpacked once for all queries."""
+        a, b = self.blocks(term)
+        return self.whole(term) if term in self.lists or 2 * len(blocks) > b - a else self.unpacked(a + blocks)
+
+
 def kth(scores: np.ndarray, k: int) -> int:
     return int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0
 
@@ -216,7 +244,7 @@ def search_segment(shard: Segment, query: dict[bytes, int], threshold: int, top:
         candidates, block = candidates[possible], block[possible & there]
         if not len(block):
             continue
-        doc, part = shard.unpacked(a + np.unique(block))
+        doc, part = shard.some(term, np.unique(block))
         place = np.searchsorted(doc, candidates)
         hit = place < len(doc)
         hit[hit] = doc[place[hit]] == candidates[hit]
@@ -239,9 +267,7 @@ def _search(queries: list[tuple[int, dict[bytes, int]]], documents: int, total:
         heaps = {number: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for number, _ in queries}
         for batch in batches:
             for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                row = {name: one[name][0].as_py() for name in ARRAYS}
-                shard = Segment(row, one["terms"].flatten(), asked, documents, total)
+                shard = Segment(stored(batch, at), asked, documents, total)
                 for number, query in queries:
                     ids, scores = heaps[number]
                     doc, score = search_segment(shard, query, kth(scores, top), top)
@@ -258,11 +284,11 @@ def _search(queries: list[tuple[int, dict[bytes, int]]], documents: int, total:
 
 def _document_counts(asked: list[bytes]):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, total = pa.array(asked, pa.binary()), np.zeros(len(asked), np.int64)
+        total = np.zeros(len(asked), np.int64)
         for batch in batches:
             for at in range(batch.num_rows):
-                place = pc.index_in(wanted, value_set=batch["terms"][at].values)
-                here = np.frombuffer(batch["counts"][at].as_py(), np.int64)
+                place = places(asked, batch["terms"][at].as_py())
+                here = np.frombuffer(batch["counts"][at].as_py(), KINDS["counts"])
                 there = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
                 total[there] += here[place.drop_null().to_numpy()]
         some = np.flatnonzero(total)
@@ -298,7 +324,7 @@ def search(index: DataFrame, queries: DataFrame, item: str = "item_id", text: st
                     .groupBy("term").agg(F.sum("n")).collect()) if terms else {}
         weight = {term: weight_of(documents, held[i]) for i, term in enumerate(terms) if i in held}
         numbered = [(i, {t: weight[t] * n for t, n in counter.items() if t in weight}) for i, counter in enumerate(words)]
-        hits = index.select("terms", *ARRAYS).mapInArrow(_search(numbered, documents, total, top), schema)
+        hits = index.select("terms", *KINDS).mapInArrow(_search(numbered, documents, total, top), schema)
         order = Window.partitionBy("number").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
         ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
         names = spark.createDataFrame([(i, row.item_id) for i, row in enumerate(mine)], f"number long, item_id {asked.schema['item_id'].dataType.simpleString()}")

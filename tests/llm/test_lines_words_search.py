@@ -266,7 +266,7 @@ def test_postings_come_back_and_maxima_hold():
     row = search.segment(list(range(len(texts))), texts)
     counts = [Counter(search.terms_of(t)) for t in texts]
     terms = sorted(set().union(*counts))
-    shard = search.Segment({n: row[n][0].as_py() for n in search.ARRAYS}, row["terms"].flatten(), terms, 1501, 10 ** 6)
+    shard = search.Segment(search.stored(row, 0), terms, 1501, 10 ** 6)
     for term in terms:
         doc, part = shard.whole(term)
         want = [i for i, c in enumerate(counts) if c[term]]
@@ -282,7 +282,7 @@ def test_few_blocks_are_unpacked(monkeypatch):
     texts = [(" ".join(rng.choice(["the", "of", "and"]) for _ in range(30)) + (" rare" * 5 if i % 400 == 0 else "")).encode() for i in range(20_000)]
     row = search.segment(list(range(len(texts))), texts)
     weight = {b"rare": 9000, b"the": 30, b"of": 30, b"and": 30}
-    shard = search.Segment({n: row[n][0].as_py() for n in search.ARRAYS}, row["terms"].flatten(), list(weight), 20_000, 600_000)
+    shard = search.Segment(search.stored(row, 0), list(weight), 20_000, 600_000)
     seen = []
     real = search.Segment.unpacked
     monkeypatch.setattr(search.Segment, "unpacked", lambda self, blocks: seen.append(len(blocks)) or real(self, blocks))
