@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skywarden.catalog.base import DAY, P, packets, rate, running, seen
-from skywarden.functions import scalars as X
 from skywarden.operators import ordered
 from skywarden.operators.sequence import sequence_alerts
 from skywarden.operators.suppress import greedy_suppress
 from skywarden.operators.verdict import finding, verdict
 
 
-def tcp(s, d):
-    return packets(s, d).where(X.is_tcp())
-
-
 def suppressed_sql(rows: str, key: str, micros: int, inclusive: bool) -> str:
     """Anchors by following, from each key's first row, the next row beyond the gap."""
     beyond = "<" if inclusive else "<="
@@ -57,38 +52,39 @@ def three_findings(s, d):
         "packet_id", "v.attack_type", F.col("v.severity").cast("int").alias("severity"), "v.details")
 
 
+# the first form of each operator has other keys than its second form below; both read all packets
 QUERIES = {
     "trailing_rate": (
-        lambda s, d: ordered.rate_over(tcp(s, d), ["src_ip"], DAY).select("packet_id", "rate"),
-        P + f"SELECT packet_id, {rate('src_ip', DAY)} AS rate FROM packets WHERE ip_proto = 6"),
+        lambda s, d: ordered.rate_over(packets(s, d), ["src_ip", "dst_ip", "dport"], DAY).select("packet_id", "rate"),
+        P + f"SELECT packet_id, {rate('src_ip, dst_ip, dport', DAY)} AS rate FROM packets"),
     "trailing_rate_short_slices": (
-        lambda s, d: ordered.rate_over(tcp(s, d), ["src_ip", "dst_ip"], DAY, slice_s=3600).select("packet_id", "rate"),
-        P + f"SELECT packet_id, {rate('src_ip, dst_ip', DAY)} AS rate FROM packets WHERE ip_proto = 6"),
+        lambda s, d: ordered.rate_over(packets(s, d), ["sensor_id"], DAY, slice_s=3600).select("packet_id", "rate"),
+        P + f"SELECT packet_id, {rate('sensor_id', DAY)} AS rate FROM packets"),
     "rate_exceeds": (
-        lambda s, d: ordered.exceeds(tcp(s, d).select("packet_id", "ts", "src_ip"), ["src_ip"], 3, DAY).select(
+        lambda s, d: ordered.exceeds(packets(s, d).select("packet_id", "ts", "src_mac", "dst_mac"), ["src_mac", "dst_mac"], 3, DAY).select(
             "packet_id", F.col("exceeds").cast("int").alias("exceeds")),
-        P + f"SELECT packet_id, ({rate('src_ip', DAY)} > 3)::INT AS exceeds FROM packets WHERE ip_proto = 6"),
+        P + f"SELECT packet_id, ({rate('src_mac, dst_mac', DAY)} > 3)::INT AS exceeds FROM packets"),
     "trailing_distinct": (
-        lambda s, d: ordered.distinct_over(tcp(s, d), ["src_ip"], "dport", 2 * DAY).select("packet_id", "n_distinct"),
-        P + f"""SELECT packet_id, count(DISTINCT dport) OVER (PARTITION BY src_ip ORDER BY ts
-        RANGE BETWEEN INTERVAL {2 * DAY} SECONDS PRECEDING AND CURRENT ROW) AS n_distinct FROM packets WHERE ip_proto = 6"""),
+        lambda s, d: ordered.distinct_over(packets(s, d), ["sensor_id"], "src_ip", 2 * DAY).select("packet_id", "n_distinct"),
+        P + f"""SELECT packet_id, count(DISTINCT src_ip) OVER (PARTITION BY sensor_id ORDER BY ts
+        RANGE BETWEEN INTERVAL {2 * DAY} SECONDS PRECEDING AND CURRENT ROW) AS n_distinct FROM packets"""),
     "distinct_so_far": (
-        lambda s, d: ordered.seen_distinct(tcp(s, d), ["src_ip"], "dport").select("packet_id", "n_distinct"),
-        P + f"SELECT packet_id, {seen('src_ip', 'dport')} AS n_distinct FROM packets WHERE ip_proto = 6"),
+        lambda s, d: ordered.seen_distinct(packets(s, d), ["sensor_id", "ip_proto"], "dport").select("packet_id", "n_distinct"),
+        P + f"SELECT packet_id, {seen('sensor_id, ip_proto', 'dport')} AS n_distinct FROM packets"),
     "running_counts": (
-        lambda s, d: ordered.running_counts(tcp(s, d), ["src_ip"], {"n": F.lit(1), "bytes": F.col("packet_size")}).drop("ts"),
-        P + f"""SELECT packet_id, {running('src_ip', '1')}::BIGINT AS n, {running('src_ip', 'packet_size')}::BIGINT AS bytes
-        FROM packets WHERE ip_proto = 6"""),
+        lambda s, d: ordered.running_counts(packets(s, d), ["sensor_id", "dst_mac"], {"n": F.lit(1), "bytes": F.col("packet_size")}).drop("ts"),
+        P + f"""SELECT packet_id, {running('sensor_id, dst_mac', '1')}::BIGINT AS n, {running('sensor_id, dst_mac', 'packet_size')}::BIGINT AS bytes
+        FROM packets"""),
     "overlapping_slices": (
-        lambda s, d: ordered.overlap_slices(tcp(s, d), DAY).groupBy("slice").agg(
+        lambda s, d: ordered.overlap_slices(packets(s, d), 2 * DAY).groupBy("slice").agg(
             F.count_if("native").alias("own"), F.count("*").alias("all_rows")),
-        P + f""", s AS (SELECT epoch_us(ts) // {DAY * 1000000} AS slice FROM packets WHERE ip_proto = 6)
+        P + f""", s AS (SELECT epoch_us(ts) // {2 * DAY * 1000000} AS slice FROM packets)
         SELECT slice::BIGINT AS slice, sum(own)::BIGINT AS own, count(*) AS all_rows FROM
         (SELECT slice, 1 AS own FROM s UNION ALL SELECT slice + 1, 0 FROM s) GROUP BY 1"""),
     "greedy_suppress_inclusive": (
-        lambda s, d: greedy_suppress(tcp(s, d).select("packet_id", "ts", "src_ip"), ["src_ip"], DAY).select(
+        lambda s, d: greedy_suppress(packets(s, d).select("packet_id", "ts", "sensor_id", "dst_mac"), ["sensor_id", "dst_mac"], DAY / 4).select(
             "packet_id", F.col("flagged").cast("int").alias("flagged"), F.unix_micros("anchor_ts").alias("anchor")),
-        suppressed_sql("ip_proto = 6", "src_ip", DAY * 1_000_000, True) + " SELECT packet_id, flagged::INT AS flagged, anchor FROM judged"),
+        suppressed_sql("true", "sensor_id || '/' || dst_mac", DAY // 4 * 1_000_000, True) + " SELECT packet_id, flagged::INT AS flagged, anchor FROM judged"),
     "greedy_suppress_exclusive": (
         lambda s, d: greedy_suppress(packets(s, d).select("packet_id", "ts", "sensor_id"), ["sensor_id"], 3600, inclusive=False).select(
             "packet_id", F.col("flagged").cast("int").alias("flagged"), F.unix_micros("anchor_ts").alias("anchor")),

@@ -17,8 +17,9 @@ def written_and_read(s, d, fmt):
     """Packets written in a format and read with the packet schema."""
     folder = fresh_folder(s, f"packets-{fmt}")
     names = s.createDataFrame([], S.PACKETS).columns
-    packets(s, d).select(*names).write.format(fmt).save(folder)
-    return readers.read_packets(s, folder, fmt)
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"} if fmt == "json" else {}  # JSON keeps milliseconds only if not told
+    packets(s, d).select(*names).write.options(**options).format(fmt).save(folder)
+    return readers.read_packets(s, folder, fmt, **options)
 
 
 def all_packet_files(s, d, fmt):
@@ -29,12 +30,15 @@ def all_packet_files(s, d, fmt):
 
 
 def packet_files(s, d, fmt):
-    read = written_and_read(s, d, fmt)
-    return read.where(F.col("dport") == 80).select("packet_id", "src_ip", F.md5("payload").alias("hash"),
-                                                   F.coalesce(F.size("dns_answers"), F.lit(0)).alias("answers"))
+    """Numbers, texts and times of all packets read back, with how many DNS answers each has."""
+    return written_and_read(s, d, fmt).select(
+        "packet_id", F.unix_micros("ts").alias("ts"), "sensor_id", "packet_size", "src_mac", "dst_ip", "dport", "tcp_seq", F.size("elements").alias("elements"),
+        F.md5("payload").alias("hash"), F.coalesce(F.size("dns_answers"), F.lit(0)).alias("answers"))
 
 
-PACKET_FILES = P + "SELECT packet_id, src_ip, md5(payload) AS hash, 0 AS answers FROM packets WHERE dport = 80"
+PACKET_FILES = P + """SELECT packet_id, epoch_us(ts) AS ts, sensor_id, packet_size, src_mac, dst_ip, dport, tcp_seq,
+  CASE WHEN kind = 'error' AND wlan_subtype = 8 THEN 2 END AS elements, md5(payload) AS hash,
+  CASE WHEN dns_qr IS NOT NULL THEN 2 ELSE 0 END AS answers FROM packets"""
 
 ALL_PACKET_FILES = P + """SELECT packet_id, src_ip, md5(payload) AS hash,
   CASE WHEN dns_qr IS NOT NULL THEN '1|' || k || '|0A000001;16|300|' || repeat('74', k + 50) END AS answers FROM packets"""

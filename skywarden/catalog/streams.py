@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skywarden.catalog.aggregates import A_LIMITS, APPLICATION, DURATION, HOURS, T_LIMITS, TRANSPORT, numbered
 from skywarden.catalog.base import DAY, P, packets, rate
 from skywarden.catalog.blocks import machine_sql, suppressed_sql
-from skywarden.functions import scalars as X
 from skywarden.plans.analyser import suspicion
 from skywarden.session import ROCKSDB, fresh_folder
 from skywarden.sources import sinks
@@ -25,10 +24,6 @@ def stream(s, d):
     return s.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
 
 
-def tcp(s, d):
-    return stream(s, d).where(X.is_tcp())
-
-
 def alerts(s, d):
     """Alert sink of a stream, with its batches read back."""
     rows = stream(s, d).select("packet_id", "packet_size", "src_ip", "ttl", "ip_flags", "ip_proto", "tcp_flags", "sport", "dport")
@@ -54,25 +49,25 @@ QUERIES = {
         with_closed(P + f"""SELECT (epoch_us(ts) // {HOURS * 3600 * 1_000_000})::BIGINT AS bucket, sensor_id, count(*) AS packets,
         sum(packet_size)::BIGINT AS bytes FROM packets GROUP BY 1, 2""")),
     "stream_trailing_rate": (
-        lambda s, d: run_to_end(stateful.stream_rates(tcp(s, d), ["src_ip"], DAY), "rates").drop("key"),
-        P + f"SELECT packet_id, {rate('src_ip', DAY)} AS rate FROM packets WHERE ip_proto = 6"),
+        lambda s, d: run_to_end(stateful.stream_rates(stream(s, d), ["src_ip", "dst_ip", "dport"], DAY), "rates").drop("key"),
+        P + f"SELECT packet_id, {rate('src_ip, dst_ip, dport', DAY)} AS rate FROM packets"),
     "stream_first_sightings": (
-        lambda s, d: run_to_end(stateful.first_sightings(tcp(s, d), ["src_ip"], "dport"), "sightings"),
-        P + "SELECT DISTINCT src_ip, dport FROM packets WHERE ip_proto = 6"),
+        lambda s, d: run_to_end(stateful.first_sightings(stream(s, d), ["sensor_id"], "src_mac"), "sightings"),
+        P + "SELECT DISTINCT sensor_id, src_mac FROM packets"),
     "stream_greedy_suppress": (
-        lambda s, d: run_to_end(stateful.stream_suppress(tcp(s, d), ["src_ip"], DAY), "suppress").select(
+        lambda s, d: run_to_end(stateful.stream_suppress(stream(s, d), ["sensor_id", "dst_mac"], DAY / 4), "suppress").select(
             "packet_id", F.col("flagged").cast("int").alias("flagged"), "anchor"),
-        suppressed_sql("ip_proto = 6", "src_ip", DAY * 1_000_000, True) + " SELECT packet_id, flagged::INT AS flagged, anchor FROM judged"),
+        suppressed_sql("true", "sensor_id || '/' || dst_mac", DAY // 4 * 1_000_000, True) + " SELECT packet_id, flagged::INT AS flagged, anchor FROM judged"),
     "stream_sequence_machine": (
         lambda s, d: run_to_end(stateful.stream_sequence_alerts(stream(s, d), 5, ("src_ip",)), "sequence").drop("key"),
         machine_sql("ip_proto = 6", "src_ip", 5) + " SELECT * FROM hijack"),
     "stream_approximate_rates": (
-        lambda s, d: run_to_end(stateful.approximate_rates(tcp(s, d), "src_ip", "24 hours", "6 hours", "1 hour"), "approximate")
+        lambda s, d: run_to_end(stateful.approximate_rates(stream(s, d), "sensor_id", "24 hours", "6 hours", "1 hour"), "approximate")
         .withColumn("bucket", F.floor(F.unix_micros("window_start") / F.lit(HOURS * 3600 * 1_000_000))).drop("window_start"),
-        P + f""", b AS (SELECT src_ip, unnest(generate_series((epoch_us(ts) // {HOURS * 3600 * 1_000_000}) - 3,
-          epoch_us(ts) // {HOURS * 3600 * 1_000_000}))::BIGINT AS bucket FROM packets WHERE ip_proto = 6)
-        SELECT src_ip, bucket, count(*) AS n FROM b WHERE (bucket + 4) * {HOURS * 3600 * 1_000_000}
-          <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM packets WHERE ip_proto = 6) - 3600000000 GROUP BY 1, 2"""),
+        P + f""", b AS (SELECT sensor_id, unnest(generate_series((epoch_us(ts) // {HOURS * 3600 * 1_000_000}) - 3,
+          epoch_us(ts) // {HOURS * 3600 * 1_000_000}))::BIGINT AS bucket FROM packets)
+        SELECT sensor_id, bucket, count(*) AS n FROM b WHERE (bucket + 4) * {HOURS * 3600 * 1_000_000}
+          <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 FROM packets) - 3600000000 GROUP BY 1, 2"""),
     "stream_alerts": (
         alerts,
         P + """SELECT * FROM (SELECT packet_id, CASE WHEN packet_size < 20 OR packet_size > 9000 THEN 'unusual_packet_size'

@@ -28,6 +28,11 @@ def to_micros(seconds: float) -> int:
     return int(round(seconds * SECOND))
 
 
+def key_of(keys: Sequence[str | Column]) -> Column:
+    """Any number of keys of any types as one value; null is a value of its own, apart from an empty text."""
+    return F.array(*[X.col(k).cast("string") for k in keys])
+
+
 def running_totals(events: DataFrame, keys: Sequence[str], totals: Sequence[str], slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
     """Replace each column of ``totals`` by its running sum per key, current row included.
 
@@ -78,9 +83,7 @@ def trailing_rates(packets: DataFrame, rules: Sequence[RateRule], carry: Sequenc
     setting = packets.sparkSession.conf.get(RATE_SLICE, None)
     slice_s = float(setting) if slice_s is None and setting else slice_s
     def group(i: int, rule: RateRule) -> list[Column]:
-        keys = [F.coalesce(X.col(k), F.lit("")) for k in rule.keys] + [F.lit("")]
-        return [F.lit(i).alias("rule"), keys[0].alias("key1"), keys[1].alias("key2"),
-                F.lit(to_micros(rule.window_s)).cast("long").alias("window")]
+        return [F.lit(i).alias("rule"), key_of(rule.keys).alias("key"), F.lit(to_micros(rule.window_s)).cast("long").alias("window")]
 
     carried = F.struct(F.col("packet_id"), F.col("ts"), *[X.col(c) for c in carry])
     base = [X.micros().alias("t"), F.col("packet_id").alias("id"), carried.alias("row")]
@@ -94,7 +97,7 @@ def trailing_rates(packets: DataFrame, rules: Sequence[RateRule], carry: Sequenc
         F.struct(F.col("t").alias("at"), F.col("id").alias("seq"), F.lit(1).alias("rate"), F.col("row").alias("row")),
         F.struct((F.col("t") + F.col("window")).alias("at"), F.lit(LAST).alias("seq"), F.lit(-1).alias("rate"),
                  F.lit(None).alias("row")))
-    keys = ["rule", "key1", "key2"]
+    keys = ["rule", "key"]
     events = matches.select(*keys, "window", F.explode(moments).alias("e")).select(*keys, "window", "e.*")
     if slice_s is None:
         events = events.withColumn("_slice", X.floor_div(F.col("at"), F.col("window")))

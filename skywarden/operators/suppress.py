@@ -121,7 +121,9 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     packets, keys = packets.withColumn("_key", F.md5(named)), ["_key"]
     gap = to_micros(gap_s) - (0 if inclusive else 1)
-    slice_of = X.floor_div(F.col("_at"), gap)
+    if gap < 0:  # nothing is less than no time after an anchor
+        return packets.withColumns({"flagged": F.lit(False), "anchor_ts": F.col("ts")}).drop("_key")
+    slice_of = X.floor_div(F.col("_at"), max(gap, 1))
     rows = packets.withColumn("_at", X.micros()).withColumn("_slice", slice_of)
 
     first = F.min(F.struct(F.col("_at").alias("at"), F.col("packet_id").alias("id")))
@@ -150,7 +152,7 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
     anchors = short.unionByName(met.select(*[F.col(f"g.{k}").alias(k) for k in keys], "at", "id"))
 
     # anchors are more than a gap apart: a slice has at most its own and the one before it
-    own = X.floor_div(F.col("at"), gap)
+    own = X.floor_div(F.col("at"), max(gap, 1))
     places = F.array(F.struct(own.alias("_slice"), F.lit(True).alias("here")),
                      F.struct((own + 1).alias("_slice"), F.lit(False).alias("here")))
     anchor = F.struct("at", "id")

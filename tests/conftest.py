@@ -36,7 +36,3 @@ def frames(spark):
             full.append(tuple(row.get(n) for n in names))
         return spark.createDataFrame(full, S.PACKETS)
     return build
-
-
-def ids(df) -> list[int]:
-    return sorted(r.packet_id for r in df.select("packet_id").collect())

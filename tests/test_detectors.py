@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import ids
+from packet_ids import ids
 from skywarden.plans import (analyser, drone_application, drone_internet, drone_network, drone_transport, internet, network)
 
 DRONE = ["10.0.0.9"]

@@ -175,3 +175,19 @@ def test_rows_without_a_value_count_no_distinct_value(frames):
     assert [so_far[i] for i in range(5)] == [(0,), (1,), (1,), (2,), (2,)]
     inside = by_id(ordered.distinct_over(frames(rows), ["src_ip"], "dport", 2), "n_distinct")
     assert [inside[i] for i in range(5)] == [(0,), (1,), (1,), (2,), (0,)]
+
+
+def test_three_keys_null_and_empty_keys_count_apart(spark, frames):
+    rows = [{"at": i / 10, "src_ip": ip, "dst_ip": "d", "dport": port} for i, (ip, port) in enumerate(
+        [("a", 1), ("a", 2), ("a", 1), (None, 1), ("", 1), (None, 1), ("a", None), ("a", 1), ("", 1), ("a", None)])]
+    rates = ordered.rate_over(frames(rows), ["src_ip", "dst_ip", F.col("dport")], 10)
+    assert [r.rate for r in rates.orderBy("packet_id").collect()] == [1, 1, 2, 1, 1, 2, 1, 3, 2, 2]
+    short = ordered.rate_over(frames(rows), ["src_ip", "dst_ip", "dport"], 10, slice_s=0.3)
+    assert [r.rate for r in short.orderBy("packet_id").collect()] == [1, 1, 2, 1, 1, 2, 1, 3, 2, 2]
+
+
+def test_no_gap_flags_equal_times_only(spark, frames):
+    rows = frames([{"at": t, "src_ip": "a"} for t in (0, 0, 1, 1, 1, 2)]).select("packet_id", "ts", "src_ip")
+    kept = greedy_suppress(rows, ["src_ip"], 0).orderBy("packet_id").collect()
+    assert [r.flagged for r in kept] == [False, True, False, True, True, False]
+    assert not any(r.flagged for r in greedy_suppress(rows, ["src_ip"], 0, inclusive=False).collect())
