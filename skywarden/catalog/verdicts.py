@@ -11,7 +11,7 @@ from skywarden.catalog.base import APPLICATION, DAY, FLEET, GATEWAYS, IN_FLEET,
 from skywarden.functions import scalars as X
 from skywarden.operators import report
 from skywarden.operators.verdict import alert_table, combine_layers, resolve
-from skywarden.plans import (analyser, drone_application, drone_internet, drone_network, drone_transport, internet, network,
+from skywarden.plans import (analyser, drone_application, drone_internet, drone_network, drone_transport, internet, layers, network,
                              transport)
 
 D3 = D.D3
@@ -100,13 +100,20 @@ INTERNET_LOG = P + f""", f AS (SELECT packet_id, {FLAGS} FROM {hits_sql(*INTERNE
 
 def layer_alerts(s, d):
     """Alerts of every layer, one row per packet and layer."""
+    return layers.alerts_of_layers(packets(s, d), FLEET, GATEWAYS, {
+        "network": NETWORK, "internet": INTERNET, "drone_network": LINK_LIMITS, "drone_internet": L3_LIMITS, "drone_transport": L4_LIMITS,
+        "drone_application": L7_LIMITS})
+
+
+def alerts_layer_by_layer(s, d):
+    """The same from each layer's own plan."""
     p = packets(s, d)
     return combine_layers({
         "network": network.network_alerts(p, **NETWORK), "internet": internet.internet_findings(p, **INTERNET),
         "drone_network": resolve(drone_network.drone_network_hits(p, FLEET[:1], **LINK_LIMITS)),
         "drone_internet": resolve(drone_internet.drone_internet_hits(p, FLEET, GATEWAYS, **L3_LIMITS)),
         "drone_transport": resolve(drone_transport.drone_transport_hits(p, FLEET, **L4_LIMITS)),
-        "drone_application": resolve(drone_application.drone_application_hits(p, FLEET, **L7_LIMITS)),
+        "drone_application": drone_application.drone_application_verdicts(p, FLEET, **L7_LIMITS),
     })
 
 
@@ -165,6 +172,9 @@ QUERIES = {
         AS protocol, {D.service(S.APP_PORTS)} AS service_targeted""", APPLICATION, *L7_SQL)),
     "alerts_by_layer": (lambda s, d: report.breakdown(layer_alerts(s, d), "layer", "attack_type"),
                         f"SELECT layer, attack_type, count(*) AS n FROM {EVERY_ALERT} GROUP BY 1, 2"),
+    "alerts_by_single_layers": (
+        lambda s, d: report.breakdown(alerts_layer_by_layer(s, d), "layer", "attack_type"),
+        f"SELECT layer, attack_type, count(*) AS n FROM {EVERY_ALERT} GROUP BY 1, 2"),
     "alerts_of_all_layers": (all_alerts, P + f"""SELECT epoch_us(ts) AS ts, a.packet_id, layer, attack_type, round(severity::DOUBLE, 6) AS severity,
         details, coalesce(lower(src_mac), '') AS src_mac, coalesce(lower(dst_mac), '') AS dst_mac, src_ip, dst_ip
         FROM {EVERY_ALERT} a JOIN packets p ON p.packet_id = a.packet_id"""),

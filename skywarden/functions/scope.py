@@ -36,24 +36,40 @@ def involves(addresses: Sequence[str]) -> Column:
     return F.col("src_ip").isin(addresses) | F.col("dst_ip").isin(addresses)
 
 
-def drone_link_scope(packets: DataFrame, drone_ips: Sequence[str]) -> DataFrame:
-    """Drone or drone-port TCP/UDP traffic, and any 802.11 frame."""
+def in_drone_link(drone_ips: Sequence[str]) -> Column:
     transport = X.is_ip() & F.col("ip_proto").isin(X.TCP, X.UDP)
     other = F.col("src_ip").isNull() | F.col("ip_proto").isNull() | ~F.col("ip_proto").isin(X.TCP, X.UDP)
     wanted = involves(drone_ips) | F.col("dport").isin(list(S.DRONE_LINK_PORTS))
     # TCP/UDP rows are decided by address and port alone; the 802.11 test is for the rest
-    return packets.where((transport & wanted) | (X.is_wlan() & other))
+    return (transport & wanted) | (X.is_wlan() & other)
+
+
+def drone_link_scope(packets: DataFrame, drone_ips: Sequence[str]) -> DataFrame:
+    """Drone or drone-port TCP/UDP traffic, and any 802.11 frame."""
+    return packets.where(in_drone_link(drone_ips))
+
+
+def in_fleet(fleet: Sequence[str]) -> Column:
+    return X.is_ip() & involves(fleet)
 
 
 def fleet_scope(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
-    return packets.where(X.is_ip() & involves(fleet))
+    return packets.where(in_fleet(fleet))
 
 
-def fleet_transport_scope(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
+def in_fleet_transport(fleet: Sequence[str]) -> Column:
     wanted = involves(fleet) | F.col("dport").isin(list(S.DRONE_PORTS))
-    return packets.where(X.is_ip() & (X.is_tcp() | X.is_udp()) & wanted)
+    return X.is_ip() & (X.is_tcp() | X.is_udp()) & wanted
 
 
-def fleet_application_scope(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
+def fleet_transport_scope(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
+    return packets.where(in_fleet_transport(fleet))
+
+
+def in_fleet_application(fleet: Sequence[str]) -> Column:
     wanted = involves(fleet) | F.col("dport").isin(list(S.APP_PORTS))
-    return packets.where(X.is_ip() & (X.is_tcp() | X.is_udp()) & X.has_payload() & wanted)
+    return X.is_ip() & (X.is_tcp() | X.is_udp()) & X.has_payload() & wanted
+
+
+def fleet_application_scope(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
+    return packets.where(in_fleet_application(fleet))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skywarden.functions import scalars as X
 from skywarden.operators.ordered import DEFAULT_SLICE_S, to_micros
@@ -78,18 +78,28 @@ def _judge(threshold: int):
     return run
 
 
+def sequence_rows(packets: DataFrame, keys: Sequence[str] = CONNECTION, strict_synack: bool = False,
+                  size: Column | None = None) -> DataFrame:
+    """conn, at, packet_id, tcp_seq, size and resets of TCP rows with a sequence number."""
+    mask = X.SYN | X.ACK
+    bits = F.col("tcp_flags").bitwiseAND(F.lit(mask))
+    resets = (bits == mask if strict_synack else bits != 0)
+    return packets.where(X.is_tcp() & F.col("tcp_seq").isNotNull()).select(
+        F.to_json(F.struct(*keys)).alias("conn"), X.micros().alias("at"), "packet_id", "tcp_seq",
+        (X.payload_size() if size is None else size).alias("size"), X.flag(resets).alias("resets"))
+
+
 def sequence_alerts(packets: DataFrame, threshold: int = 5, keys: Sequence[str] = CONNECTION,
                     strict_synack: bool = False, slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
     """(packet_id, anomalies, expected, got) of each alert. ``strict_synack`` wants both SYN and ACK to establish.
 
     Rows without a sequence number say nothing and are left out.
     """
-    mask = X.SYN | X.ACK
-    bits = F.col("tcp_flags").bitwiseAND(F.lit(mask))
-    resets = (bits == mask if strict_synack else bits != 0)
-    rows = packets.where(X.is_tcp() & F.col("tcp_seq").isNotNull()).select(
-        F.to_json(F.struct(*keys)).alias("conn"), X.micros().alias("at"), "packet_id", "tcp_seq",
-        X.payload_size().alias("size"), X.flag(resets).alias("resets"))
+    return judged_alerts(sequence_rows(packets, keys, strict_synack), threshold, slice_s)
+
+
+def judged_alerts(rows: DataFrame, threshold: int = 5, slice_s: float = DEFAULT_SLICE_S) -> DataFrame:
+    """The alerts among ``sequence_rows``."""
     # a row that neither judges nor establishes for a judged row cannot matter: connections without judged rows go first
     judged = rows.where("resets = 0").select("conn").groupBy("conn").agg(F.count("*").alias("n")).where(F.col("n") > threshold)
     rows = rows.join(judged.select("conn"), "conn", "left_semi")

@@ -49,9 +49,26 @@ def resolve(found: DataFrame) -> DataFrame:
             .select("packet_id", F.col("best.detector").alias("attack_type"), "best.severity", "best.details"))
 
 
+def resolve_layers(found: DataFrame, outranked: Sequence[str] = ()) -> DataFrame:
+    """One row per layer and packet with hits, as ``resolve``. ``outranked`` names detectors with hits of rank 1, which count only where
+    the packet has none of rank 0 of the same name; any other hit of the packet competes as usual."""
+    best = F.struct(F.col("severity"), (-F.col("position")).alias("order"), F.col("detector"), F.col("details"))
+    first = F.col("rank") == 0
+    replaced = first & F.col("detector").isin([*outranked])
+    by = found.where(F.col("severity") > 0).groupBy("layer", "packet_id").agg(
+        F.max(F.when(first, best)).alias("a"), F.max(F.when(~first, best)).alias("b"), F.max(X.flag(replaced)).alias("replaced"))
+    won = F.greatest(F.col("a"), F.when(F.col("replaced") == 0, F.col("b")))
+    return by.withColumn("best", won).select("layer", "packet_id", F.col("best.detector").alias("attack_type"), "best.severity", "best.details")
+
+
 def with_verdict(rows: DataFrame, found: DataFrame) -> DataFrame:
     """All rows with ``attack_type``, ``severity`` and ``details``; rows without a hit are NORMAL."""
-    return rows.join(resolve(found), "packet_id", "left").withColumns({
+    return with_best(rows, resolve(found))
+
+
+def with_best(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """All rows with the verdict of their packet, if it has one."""
+    return rows.join(best, "packet_id", "left").withColumns({
         "attack_type": F.coalesce("attack_type", F.lit("NORMAL")),
         "severity": F.coalesce("severity", F.lit(0.0)),
         "details": F.coalesce("details", F.lit(""))})

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skywarden import schema as S
 from skywarden.functions import patterns as P, scalars as X, scope
 from skywarden.operators import lookups
 from skywarden.operators.ordered import RateRule, running_counts, trailing_rates
-from skywarden.operators.verdict import all_hits, hits, with_verdict
+from skywarden.operators.tracks import RATE, RUNNING, Track, fired, followed, of_rule
+from skywarden.operators.verdict import all_hits, hits, resolve_layers, with_best
 from skywarden.plans.rates import Limits, rate_hits
 
+OUTRANKED = ("MAVLINK_INJECTION",)
 DETECTORS = ("MAVLINK_INJECTION", "HTTP_ATTACK", "MQTT_HIJACKING", "VIDEO_MANIPULATION", "BRUTE_FORCE")
 POSITION = {d: i for i, d in enumerate(DETECTORS)}
 
@@ -23,6 +25,11 @@ def _per(window_s: float) -> str:
 
 def messages(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
     """Scope rows with what the payload says; the payload itself goes no further and is never shuffled."""
+    return scope.fleet_application_scope(packets, fleet).select("packet_id", "ts", "src_ip", "sport", "dport", *message_columns())
+
+
+def message_columns() -> list[Column]:
+    """What a payload says; each pattern is only looked for on the ports of its protocol."""
     tcp, port = X.is_tcp(), F.col("dport")
     http = tcp & port.isin(80, 8080, 443)
     mqtt = tcp & port.isin(1883, 8883) & (X.payload_size() >= 2)
@@ -32,14 +39,13 @@ def messages(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
 
     def only(test, value):
         return F.when(test, value).otherwise(none)
-    return scope.fleet_application_scope(packets, fleet).select(
-        "packet_id", "ts", "src_ip", "sport", "dport",
+    return [
         F.when(X.is_udp() & port.isin(5760, 14550), X.mavlink_header()).alias("mavlink"),
         X.flag(http & P.has_http_verb()).alias("http"), only(http, P.malicious_http()).alias("http_patterns"),
         X.flag(mqtt).alias("mqtt"), F.when(mqtt, X.mqtt_type()).alias("mqtt_type"),
         only(mqtt, P.suspicious_topics()).alias("topics"),
         X.flag(rtsp & P.has_rtsp_method()).alias("rtsp"), only(rtsp, P.suspicious_rtsp()).alias("rtsp_patterns"),
-        X.flag(login).alias("login"), only(login, P.login_markers()).alias("markers"))
+        X.flag(login).alias("login"), only(login, P.login_markers()).alias("markers")]
 
 
 def mavlink_injection(rows: DataFrame, rate: tuple[float, int] = (10, 20), dangerous: tuple[float, int] = (5, 5)) -> DataFrame:
@@ -138,9 +144,42 @@ def brute_force(rows: DataFrame, limits: Limits | None = None) -> DataFrame:
 
 def drone_application_hits(packets: DataFrame, fleet: Sequence[str], limits: Limits | None = None,
                            mavlink: tuple[float, int] = (10, 20), dangerous: tuple[float, int] = (5, 5)) -> DataFrame:
-    rows = messages(packets, fleet)
-    return all_hits([mavlink_injection(rows, mavlink, dangerous), application_rates(rows, limits), topic_hits(rows),
-                     rtsp_hits(rows)])
+    followed_by = tracks(limits=limits, mavlink=mavlink, dangerous=dangerous)
+    return fired(followed(messages(packets, fleet), followed_by, CARRY), followed_by)
+
+
+CARRY = ("dport", "http_patterns", "mqtt_type", "topics", "rtsp_patterns", "markers", "mavlink")
+LAYER = "drone_application"
+
+
+def tracks(scope_of: Column | None = None, limits: Limits | None = None, mavlink: tuple[float, int] = (10, 20),
+           dangerous: tuple[float, int] = (5, 5)) -> list[Track]:
+    """The layer's detectors as tracks over rows with ``message_columns``; without a scope, of all rows."""
+    n, limits = F.col("n"), limits or {}
+    frames = F.col("mavlink").isNotNull()
+    risky = frames & F.col("mavlink.message_id").isin(list(S.MAVLINK_DANGEROUS))
+    name = lookups.message_name("mavlink.message_id", S.MAVLINK_DANGEROUS)
+
+    def within(where: Column) -> Column:
+        return where if scope_of is None else scope_of & where
+    found = [
+        Track("MAVLINK_INJECTION", RATE, within(frames), ("src_ip",), n > mavlink[1], F.least(F.lit(8) + F.floor(n / 10), F.lit(10)),
+              X.text("rate:", n, _per(mavlink[0]) + ",cmd:", name, ",sys_id:", F.col("mavlink.system_id")), mavlink[0]),
+        Track("MAVLINK_INJECTION", RATE, within(risky), ("src_ip",), n > dangerous[1], F.lit(9),
+              X.text("dangerous_cmd:", name, ",count:", n, _per(dangerous[0])), dangerous[0], rank=1)]
+    found += [of_rule(make(*limits.get(rule, ())), POSITION[rule], scope_of) for rule, make in (
+        ("HTTP_ATTACK", _http), ("MQTT_HIJACKING", _mqtt), ("VIDEO_MANIPULATION", _video), ("BRUTE_FORCE", _login))]
+    topics, headers = F.size("topics"), F.size("rtsp_patterns")
+    return [*found,
+            Track("MQTT_HIJACKING", RUNNING, within((F.col("mqtt") == 1) & (topics > 0)), ("src_ip",), F.lit(True), F.lit(8),
+                  X.text("suspicious_topics:", F.array_join("topics", ","), ",total_suspicious:", n), amount=topics, position=2),
+            Track("VIDEO_MANIPULATION", RUNNING, within((F.col("rtsp") == 1) & (headers > 0)), ("src_ip", "sport"), F.lit(True), F.lit(7),
+                  X.text("rtsp_attack:", P.first_joined(F.col("rtsp_patterns"), 2), ",total_suspicious:", n), amount=headers, position=3)]
+
+
+def drone_application_verdicts(packets: DataFrame, fleet: Sequence[str], **settings: object) -> DataFrame:
+    """(packet_id, attack_type, severity, details) of attacked packets."""
+    return resolve_layers(drone_application_hits(packets, fleet, **settings), OUTRANKED).drop("layer")
 
 
 def drone_application_log(packets: DataFrame, fleet: Sequence[str], limits: Limits | None = None,
@@ -149,4 +188,4 @@ def drone_application_log(packets: DataFrame, fleet: Sequence[str], limits: Limi
         "packet_id", "ts", "src_ip", "dst_ip", F.col("sport").alias("src_port"), F.col("dport").alias("dst_port"),
         X.transport_protocol().alias("protocol"), X.payload_sample().alias("payload_sample"),
         lookups.name_of("dport", S.APP_PORTS).alias("service_targeted"))
-    return with_verdict(rows, drone_application_hits(packets, fleet, limits, mavlink, dangerous))
+    return with_best(rows, drone_application_verdicts(packets, fleet, limits=limits, mavlink=mavlink, dangerous=dangerous))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skywarden.functions import scalars as X, scope
 from skywarden.operators.ordered import RateRule, seen_distinct
-from skywarden.operators.verdict import all_hits, hits, with_verdict
+from skywarden.operators.tracks import SEEN, Track, fired, followed, of_rule
+from skywarden.operators.verdict import hits, with_verdict
 from skywarden.plans.rates import Limits, rate_hits
 
 DETECTORS = ("IP_SPOOFING", "GPS_INJECTION", "ROUTING_ATTACK", "ICMP_FLOOD", "FRAG_ATTACK")
@@ -76,7 +77,20 @@ def internet_rates(packets: DataFrame, fleet: Sequence[str], gateways: Sequence[
 
 def drone_internet_hits(packets: DataFrame, fleet: Sequence[str], gateways: Sequence[str] = ("",),
                         limits: Limits | None = None, macs: int = 3) -> DataFrame:
-    return all_hits([many_macs(packets, fleet, macs), internet_rates(packets, fleet, gateways, limits)])
+    followed_by = tracks(fleet, gateways, limits, macs)
+    return fired(followed(packets, followed_by, CARRY), followed_by)
+
+
+CARRY = ("src_ip", "dst_ip", "ttl", "icmp_type", "ip_flags", "ip_frag")
+
+
+def tracks(fleet: Sequence[str], gateways: Sequence[str] = ("",), limits: Limits | None = None, macs: int = 3) -> list[Track]:
+    """The layer's detectors as tracks."""
+    n, mine = F.col("n"), scope.in_fleet(fleet)
+    return [
+        Track("IP_SPOOFING", SEEN, mine, ("src_ip",), n > macs, F.least(n + 5, F.lit(10)), X.text("ip:", F.col("src_ip"), ",macs:", n),
+              values=(F.coalesce("src_mac", F.lit("unknown")),)),
+        *[of_rule(rule, POSITION[rule.name], mine) for rule in rules(fleet[0], gateways, limits)]]
 
 
 def drone_internet_log(packets: DataFrame, fleet: Sequence[str], gateways: Sequence[str] = ("",),

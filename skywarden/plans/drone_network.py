@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skywarden.functions import scalars as X, scope
 from skywarden.operators.ordered import RateRule
 from skywarden.operators.report import stream_size_stats
 from skywarden.operators.suppress import greedy_suppress
-from skywarden.operators.verdict import all_hits, hits, with_verdict
+from skywarden.operators.tracks import FEED, RUNNING, Track, events, fed, fired, of_rule, state_of
+from skywarden.operators.verdict import HIT, all_hits, hits, with_verdict
+from skywarden.session import written
 from skywarden.plans.rates import Limits, limited, rate_hits
 
 DETECTORS = ("COMMAND_FLOOD", "GPS_SPOOF", "VIDEO_HIJACK", "MQTT_FLOOD", "WIFI_DEAUTH")
@@ -49,8 +51,15 @@ def link_floods(packets: DataFrame, drone_ips: Sequence[str], limits: Limits | N
 
 def gps_spoof(packets: DataFrame, drone_ips: Sequence[str], gap_s: float = 1) -> DataFrame:
     """Large MAVLink datagrams less than ``gap_s`` after the sensor's last accepted one."""
-    updates = scope.drone_link_scope(packets, drone_ips).where(
-        X.is_udp() & (F.col("dport") == 5760) & (X.payload_size() > 30)).select("packet_id", "ts", "sensor_id")
+    return rapid_updates(packets.where(scope.in_drone_link(drone_ips) & _position_update()), gap_s)
+
+
+def _position_update() -> Column:
+    return X.is_udp() & (F.col("dport") == 5760) & (X.payload_size() > 30)
+
+
+def rapid_updates(updates: DataFrame, gap_s: float) -> DataFrame:
+    updates = updates.select("packet_id", "ts", "sensor_id")
     rapid = greedy_suppress(updates, ["sensor_id"], gap_s, inclusive=False).where("flagged")
     return hits(rapid, "GPS_SPOOF", 1, F.lit(8), F.lit("rapid_gps_changes"))
 
@@ -68,8 +77,27 @@ def video_hijack(packets: DataFrame, drone_ips: Sequence[str], small: int = 100,
 
 def drone_network_hits(packets: DataFrame, drone_ips: Sequence[str], limits: Limits | None = None, gap_s: float = 1,
                        samples: int = 10) -> DataFrame:
-    return all_hits([link_floods(packets, drone_ips, limits), gps_spoof(packets, drone_ips, gap_s),
-                     video_hijack(packets, drone_ips, samples=samples)])
+    followed_by = tracks(drone_ips, limits, samples)
+    tagged = written(events(packets, followed_by, CARRY), "events")
+    return all_hits([fired(state_of(tagged, followed_by), followed_by).select(*HIT), fed_hits(tagged, followed_by, gap_s)])
+
+
+CARRY = ("sensor_id", "src_mac")
+
+
+def tracks(drone_ips: Sequence[str], limits: Limits | None = None, samples: int = 10, small: int = 100, share: float = 0.3) -> list[Track]:
+    """The layer's detectors as tracks; position updates are fed to the suppression operator."""
+    n, some = F.col("n"), F.col("also")
+    mine = scope.in_drone_link(drone_ips)
+    return [
+        *[of_rule(rule, POSITION[rule.name], mine) for rule in rules(limits)],
+        Track("VIDEO_HIJACK", RUNNING, mine & X.is_udp() & (F.col("dport") == 554), ("src_ip", "sport"), (n > samples) & (some / n > share),
+              F.lit(7), X.text("anomaly_rate:", X.ratio_text(some, n)), amount=F.lit(1), also=X.flag(F.col("packet_size") < small), position=2),
+        Track("GPS_SPOOF", FEED, mine & _position_update())]
+
+
+def fed_hits(tagged: DataFrame, followed_by: Sequence[Track], gap_s: float = 1) -> DataFrame:
+    return rapid_updates(fed(tagged, followed_by, "GPS_SPOOF"), gap_s)
 
 
 def drone_network_log(packets: DataFrame, drone_ips: Sequence[str], limits: Limits | None = None, gap_s: float = 1,

@@ -10,10 +10,12 @@ from skywarden import schema as S
 from skywarden.functions import scalars as X, scope
 from skywarden.operators import lookups
 from skywarden.operators.ordered import RateRule, seen_distinct
-from skywarden.operators.sequence import CONNECTION, sequence_alerts
+from skywarden.operators.sequence import CONNECTION, judged_alerts, sequence_alerts, sequence_rows
 from skywarden.operators.suppress import greedy_suppress
-from skywarden.operators.verdict import all_hits, hits, with_verdict
+from skywarden.operators.tracks import FEED, SEEN, Track, events, fed, fired, of_rule, state_of
+from skywarden.operators.verdict import HIT, all_hits, hits, with_verdict
 from skywarden.plans.rates import Limits, rate_hits
+from skywarden.session import written
 
 DETECTORS = ("SYN_FLOOD", "UDP_FLOOD", "PORT_SCAN", "CONNECTION_HIJACK", "SESSION_REPLAY")
 POSITION = {d: i for i, d in enumerate(DETECTORS)}
@@ -57,7 +59,10 @@ def port_scan(packets: DataFrame, fleet: Sequence[str], limit: int = 10, keys: S
 
 def connection_hijack(packets: DataFrame, fleet: Sequence[str], threshold: int = 5,
                       keys: Sequence[str] = CONNECTION) -> DataFrame:
-    alerts = sequence_alerts(scope.fleet_transport_scope(packets, fleet), threshold, keys)
+    return hijack_hits(sequence_alerts(scope.fleet_transport_scope(packets, fleet), threshold, keys))
+
+
+def hijack_hits(alerts: DataFrame) -> DataFrame:
     return hits(alerts, "CONNECTION_HIJACK", 3, F.lit(8),
                 X.text("seq_anomalies:", F.col("anomalies"), ",expected:", F.col("expected"), ",got:", F.col("got")))
 
@@ -66,6 +71,10 @@ def session_replay(packets: DataFrame, fleet: Sequence[str], gap_s: float = 2) -
     """Payloads seen on the same flow at most ``gap_s`` after their last stored copy."""
     data = scope.fleet_transport_scope(packets, fleet).where(X.has_payload()).select(
         "packet_id", "ts", "src_ip", "dst_ip", X.payload_md5().alias("hash"))
+    return replay_hits(data, gap_s)
+
+
+def replay_hits(data: DataFrame, gap_s: float) -> DataFrame:
     again = greedy_suppress(data, ["src_ip", "dst_ip", "hash"], gap_s).where("flagged")
     gap = (X.micros("ts") - X.micros("anchor_ts")) / 1e6
     return hits(again, "SESSION_REPLAY", 4, F.lit(7), X.text(
@@ -74,8 +83,36 @@ def session_replay(packets: DataFrame, fleet: Sequence[str], gap_s: float = 2) -
 
 def drone_transport_hits(packets: DataFrame, fleet: Sequence[str], limits: Limits | None = None, ports: int = 10,
                          anomalies: int = 5, gap_s: float = 2) -> DataFrame:
-    return all_hits([transport_floods(packets, fleet, limits), port_scan(packets, fleet, ports),
-                     connection_hijack(packets, fleet, anomalies), session_replay(packets, fleet, gap_s)])
+    followed_by = tracks(fleet, limits, ports)
+    tagged = written(events(prepared(packets, fleet), followed_by, CARRY), "events")
+    return all_hits([fired(state_of(tagged, followed_by), followed_by).select(*HIT), fed_hits(tagged, followed_by, anomalies, gap_s)])
+
+
+CARRY = ("src_ip", "dst_ip", "sport", "dport", "ip_proto", "tcp_flags", "tcp_seq", "hash", "size")
+
+
+def prepared(packets: DataFrame, fleet: Sequence[str]) -> DataFrame:
+    """Packets with the size and, where the layer needs it, the hash of their payload."""
+    return packets.withColumns({"size": X.payload_size(), "hash": F.when(scope.in_fleet_transport(fleet) & X.has_payload(), X.payload_md5())})
+
+
+def tracks(fleet: Sequence[str], limits: Limits | None = None, ports: int = 10) -> list[Track]:
+    """The layer's detectors as tracks; connections and payloads are fed to the sequence machine and the suppression operator."""
+    n, mine = F.col("n"), scope.in_fleet_transport(fleet)
+    probe = X.is_udp() | X.has_bits("tcp_flags", X.SYN)
+    return [
+        *[of_rule(rule, POSITION[rule.name], mine) for rule in rules(limits)],
+        Track("PORT_SCAN", SEEN, mine & probe, ("src_ip", "dst_ip"), n > ports, X.capped_ratio(n, 2),
+              X.text("ports_scanned:", n, ",drone_ports:", F.col("also")), values=(F.col("dport"),),
+              also=F.col("dport").isin(list(S.DRONE_PORTS)), position=2),
+        Track("CONNECTION_HIJACK", FEED, mine & X.is_tcp() & F.col("tcp_seq").isNotNull()),
+        Track("SESSION_REPLAY", FEED, mine & X.has_payload())]
+
+
+def fed_hits(tagged: DataFrame, followed_by: Sequence[Track], anomalies: int = 5, gap_s: float = 2) -> DataFrame:
+    connections = sequence_rows(fed(tagged, followed_by, "CONNECTION_HIJACK"), size=F.col("size"))
+    payloads = fed(tagged, followed_by, "SESSION_REPLAY").select("packet_id", "ts", "src_ip", "dst_ip", "hash")
+    return all_hits([hijack_hits(judged_alerts(connections, anomalies)), replay_hits(payloads, gap_s)])
 
 
 def drone_transport_log(packets: DataFrame, fleet: Sequence[str], limits: Limits | None = None, ports: int = 10,

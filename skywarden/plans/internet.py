@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skywarden.functions import scalars as X, scope
 from skywarden.operators.ordered import RateRule, first_binding, seen_distinct
-from skywarden.operators.verdict import all_hits, hits
+from skywarden.operators.tracks import FIRST, SEEN, Track, fired, followed, of_rule
+from skywarden.operators.verdict import hits
 from skywarden.plans.marks import flags_by_packet, with_flags
 from skywarden.plans.rates import Limits, limited, rate_hits
 
@@ -43,8 +44,20 @@ def port_scan(packets: DataFrame, limit: int = 20) -> DataFrame:
     return hits(seen, "PORT_SCAN", 4, F.lit(1), F.lit(""))
 
 
+def tracks(limits: Limits | None = None, ports: int = 20, ttl_change: int = 10) -> list[Track]:
+    """The layer's detectors as tracks."""
+    value, first = (lambda i: F.get("values", F.lit(i))), (lambda i: F.get("first", F.lit(i)))
+    changed = (F.abs(value(0).cast("int") - first(0).cast("int")) > ttl_change) | ~value(1).eqNullSafe(first(1))
+    return [
+        Track("IP_SPOOFING", FIRST, X.is_ip(), ("src_ip",), changed, F.lit(1), values=(F.col("ttl"), F.col("src_mac"))),
+        *[of_rule(rule, i) for i, rule in enumerate(limited(flood_rules(), limits), 1)],
+        Track("PORT_SCAN", SEEN, X.is_ip(), ("src_ip",), F.col("n") > ports, F.lit(1), position=4,
+              values=(F.coalesce(X.transport_port("dport"), F.lit(0)),))]
+
+
 def internet_hits(packets: DataFrame, limits: Limits | None = None, ports: int = 20) -> DataFrame:
-    return all_hits([ip_spoofing(packets), floods(packets, limits), port_scan(packets, ports)])
+    followed_by = tracks(limits, ports)
+    return fired(followed(packets, followed_by), followed_by)
 
 
 def alert_text(detectors: tuple[str, ...] = DETECTORS) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skywarden.functions import scalars as X, scope
 from skywarden.operators.ordered import RateRule, distinct_over, first_binding, running_counts, seen_distinct
+from skywarden.operators.tracks import FIRST, RECENT, RUNNING, SEEN, Track, fired, followed, of_rule
 from skywarden.operators.verdict import all_hits, hits, resolve
 from skywarden.plans.rates import Limits, limited, rate_hits
 
+SAMPLED = "SAMPLED"
 DETECTORS = ("ARP_SPOOFING", "DEAUTH_ATTACK", "EVIL_TWIN", "MAC_FLOODING")
 
 
@@ -63,19 +65,37 @@ def _target(target_mac: str) -> Column:
     return (X.lower_mac("src_mac") == target_mac) | (X.lower_mac("dst_mac") == target_mac)
 
 
+def tracks(limits: Limits | None = None, twins: int = 1, mac_window_s: float = 5, mac_limit: int = 30, every: int | None = None) -> list[Track]:
+    """The layer's detectors as tracks. With ``every``, each frame's MAC rate and every n-th packet come out too, with severity 0."""
+    n, wlan = F.col("n"), X.is_wlan()
+    changed = ~F.get("values", F.lit(0)).eqNullSafe(F.get("first", F.lit(0)))
+    management = F.coalesce(X.is_deauth() | X.is_beacon(), F.lit(False))
+    mac = X.lower_mac("src_mac")
+    over = n > mac_limit
+    found = [
+        Track("ARP_SPOOFING", FIRST, wlan & F.col("arp_psrc").isNotNull(), ("arp_psrc",), changed, F.lit(0.8), values=(F.lower("arp_hwsrc"),)),
+        of_rule(limited([deauth_rule()], limits)[0], 1),
+        Track("EVIL_TWIN", SEEN, X.is_beacon() & (F.col("ssid") != "") & (F.col("bssid") != ""), ("ssid",), n > twins, F.lit(0.7),
+              values=(F.lower("bssid"),), position=2),
+        Track("MAC_FLOODING", RECENT, wlan & ~management & (mac != ""), ("sensor_id",), over if every is None else F.lit(True),
+              F.when(over, X.saturating(0.6, n * F.lit(0.01), 0.95)).otherwise(0), window_s=mac_window_s, values=(mac,), position=3)]
+    if every is not None:
+        found.append(Track(SAMPLED, RUNNING, F.lit(True), ("sensor_id",), n % every == 0, F.lit(0), amount=F.lit(1), position=4))
+    return found
+
+
 def network_log(packets: DataFrame, target_mac: str = "", limits: Limits | None = None, twins: int = 1,
                 mac_window_s: float = 5, mac_limit: int = 30, every: int = 10, all_rows: bool = False) -> DataFrame:
     """The link-layer log: one verdict per 802.11 frame. Attacks, target rows and every n-th other packet are kept."""
-    rates = mac_rates(packets, mac_window_s)
-    found = all_hits([arp_spoofing(packets), deauth_attack(packets, limits), evil_twin(packets, twins),
-                      _mac_hits(rates, mac_limit)])
-    marks = found.unionByName(rates.select("packet_id", F.col("n_distinct").alias("packet_rate")), allowMissingColumns=True)
-    marks = marks.unionByName(sampled(packets, every).withColumn("is_sampled", F.lit(1)), allowMissingColumns=True)
-    best = F.max(F.when(F.col("severity") > 0, F.struct("severity", (-F.col("position")).alias("order"), "detector"))).alias("best")
+    followed_by = tracks(limits, twins, mac_window_s, mac_limit, every)
+    marks = fired(followed(packets, followed_by), followed_by)
+    hit = F.col("severity") > 0
+    best = F.max(F.when(hit, F.struct("severity", (-F.col("position")).alias("order"), "detector"))).alias("best")
     # one shuffle by packet gathers verdict, flags, MAC rate and sampling mark
     by_packet = marks.groupBy("packet_id").agg(
-        best, *[F.max(F.when(F.col("detector") == d, 1).otherwise(0)).alias(d.lower()) for d in DETECTORS],
-        F.max("packet_rate").alias("packet_rate"), F.max("is_sampled").alias("is_sampled"))
+        best, *[F.max(X.flag(hit & (F.col("detector") == d))).alias(d.lower()) for d in DETECTORS],
+        F.max(F.when(F.col("detector") == "MAC_FLOODING", F.col("n"))).alias("packet_rate"),
+        F.max(F.when(F.col("detector") == SAMPLED, 1)).alias("is_sampled"))
     rows = scope.wlan_frames(packets).select(
         "packet_id", "ts", X.lower_mac("src_mac").alias("src_mac"), X.lower_mac("dst_mac").alias("dst_mac"),
         X.rssi_or_zero().alias("rssi"), F.coalesce("channel", X.channel_of()).alias("channel"), "packet_size",
@@ -104,4 +124,5 @@ def network_hits(packets: DataFrame, limits: Limits | None = None, twins: int =
 
 def network_alerts(packets: DataFrame, **settings: object) -> DataFrame:
     """(packet_id, attack_type, severity, details) of attacked frames: highest confidence, first listed on ties."""
-    return resolve(network_hits(packets, **settings))
+    followed_by = tracks(**settings)
+    return resolve(fired(followed(packets, followed_by), followed_by))
