@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skywarden.catalog.aggregates import A_LIMITS, APPLICATION, DURATION, HOURS, T_LIMITS, TRANSPORT, numbered
-from skywarden.catalog.base import DAY, P, packets, rate
+from skywarden.catalog.base import DAY, FLEET, GATEWAYS, P, packets, rate
 from skywarden.catalog.blocks import machine_sql, suppressed_sql
 from skywarden.plans.analyser import suspicion
+from skywarden.catalog import detectors as D, verdicts as V
+from skywarden.operators.tracks import FIRST, RATE, RECENT, Track
+from skywarden.plans import internet, layers, network
 from skywarden.session import ROCKSDB, fresh_folder
 from skywarden.sources import sinks
 from skywarden.streaming import buckets, stateful
+from skywarden.streaming.following import stream_followed, stream_hits
 from skywarden.streaming.replay import run_to_end
 
 # A window is out once the watermark (latest time less the delay, here one hour) has passed its end.
@@ -33,11 +37,45 @@ def alerts(s, d):
     return s.read.schema("packet_id BIGINT, attack_type STRING, batch BIGINT").parquet(out).drop("batch")
 
 
+def layer_alerts(s, d):
+    """Alerts of all layers from a stream, resolved batch by batch and read back."""
+    hits = layers.hits_of_stream(stream(s, d), FLEET, GATEWAYS, V.SETTINGS)
+    out = fresh_folder(s, "stream-layers")
+    sinks.stream_verdicts(hits, out, fresh_folder(s, "stream-layers-state"), layers.verdicts).awaitTermination()
+    rows = s.read.schema("layer STRING, packet_id BIGINT, attack_type STRING, severity DOUBLE, details STRING, batch BIGINT").parquet(out)
+    return rows.drop("batch").withColumn("severity", F.round("severity", 6))
+
+
+def spoofing(s, d, module):
+    """Hits of a layer's first-binding detector from a stream."""
+    wanted = [t for t in module.tracks() if t.kind == FIRST]
+    return run_to_end(stream_hits(stream(s, d), wanted), "bindings").select(
+        "packet_id", "detector", F.round("severity", 6).alias("severity"), "details")
+
+
+def recent(s, d):
+    track = Track("RECENT", RECENT, F.lit(True), ("sensor_id",), F.lit(True), F.lit(0), window_s=2 * DAY, values=(F.col("src_ip"),))
+    return run_to_end(stream_followed(stream(s, d), [track], delay="90 days"), "recent").select("packet_id", "n")
+
+
+def sliding(s, d):
+    track = Track("RATE", RATE, F.lit(True), ("src_ip",), F.lit(True), F.lit(0), window_s=DAY)
+    return run_to_end(stream_followed(stream(s, d), [track], delay="90 days"), "sliding").select("packet_id", "n")
+
+
 def with_closed(sql: str) -> str:
     return f"SELECT * FROM ({sql}) WHERE " + CLOSED.replace("FROM packets", "FROM events").replace("epoch_us(ts)", "epoch_us(events.ts)")
 
 
+STREAMED = {**V.LAYERS, "drone_network": tuple(n for n in V.LINK_SQL if n != "gps_spoof"), "drone_transport": V.L4_SQL[:3]}
+
 QUERIES = {
+    "stream_sliding_rates": (sliding, P + f"SELECT packet_id, {rate('src_ip', DAY)} AS n FROM packets"),
+    "stream_recent_distinct": (recent, P + f"""SELECT packet_id, count(DISTINCT src_ip) OVER (PARTITION BY sensor_id ORDER BY ts
+        RANGE BETWEEN INTERVAL {2 * DAY} SECONDS PRECEDING AND CURRENT ROW) AS n FROM packets"""),
+    "stream_arp_spoofing": (lambda s, d: spoofing(s, d, network), D.SQL["arp_spoofing"]),
+    "stream_ip_spoofing": (lambda s, d: spoofing(s, d, internet), D.SQL["ip_spoofing"]),
+    "stream_layer_alerts": (layer_alerts, f"SELECT layer, packet_id, attack_type, round(severity::DOUBLE, 6) AS severity, details FROM {V.every_alert(STREAMED)}"),
     "stream_transport_buckets": (
         lambda s, d: numbered(run_to_end(buckets.transport_stream(stream(s, d), DURATION, "1 hour", T_LIMITS), "transport")).withColumn(
             "avg_len", F.round("avg_len", 6)), with_closed(TRANSPORT)),

@@ -22,6 +22,8 @@ L3_LIMITS = {"limits": {"GPS_INJECTION": (D3, 1), "ROUTING_ATTACK": (DAY, 1), "I
 L4_LIMITS = {"limits": {"SYN_FLOOD": (D3, 4), "UDP_FLOOD": (D3, 5)}, "ports": 10, "gap_s": 10 * DAY}
 L7_LIMITS = {"limits": {"HTTP_ATTACK": (DAY, 1), "MQTT_HIJACKING": (D3, 1), "VIDEO_MANIPULATION": (D3, 1), "BRUTE_FORCE": (D3, 2)},
              "mavlink": (DAY, 3), "dangerous": (D3, 4)}
+SETTINGS = {"network": NETWORK, "internet": INTERNET, "drone_network": LINK_LIMITS, "drone_internet": L3_LIMITS, "drone_transport": L4_LIMITS,
+            "drone_application": L7_LIMITS}
 
 
 def hits_sql(*names: str) -> str:
@@ -100,9 +102,7 @@ INTERNET_LOG = P + f""", f AS (SELECT packet_id, {FLAGS} FROM {hits_sql(*INTERNE
 
 def layer_alerts(s, d):
     """Alerts of every layer, one row per packet and layer."""
-    return layers.alerts_of_layers(packets(s, d), FLEET, GATEWAYS, {
-        "network": NETWORK, "internet": INTERNET, "drone_network": LINK_LIMITS, "drone_internet": L3_LIMITS, "drone_transport": L4_LIMITS,
-        "drone_application": L7_LIMITS})
+    return layers.alerts_of_layers(packets(s, d), FLEET, GATEWAYS, SETTINGS)
 
 
 def alerts_layer_by_layer(s, d):
@@ -123,10 +123,16 @@ def all_alerts(s, d):
 
 
 LAYERS = {"network": NETWORK_SQL, "drone_network": LINK_SQL, "drone_internet": L3_SQL, "drone_transport": L4_SQL, "drone_application": L7_SQL}
-EVERY_ALERT = ("(" + " UNION ALL ".join(
-    [f"SELECT '{layer}' AS layer, packet_id, attack_type, severity, details FROM {best_sql(*names)}" for layer, names in LAYERS.items()]
-    + [f"SELECT 'internet', packet_id, alert, 1.0, '' FROM (SELECT packet_id, concat_ws('+', {NAMES}) AS alert FROM (SELECT packet_id, {FLAGS} FROM {hits_sql(*INTERNET_SQL)} GROUP BY 1))"])
-    + ")")
+
+
+def every_alert(names_of: dict[str, tuple[str, ...]]) -> str:
+    parts = [f"SELECT '{layer}' AS layer, packet_id, attack_type, severity, details FROM {best_sql(*names)}" for layer, names in names_of.items()]
+    flags = f"(SELECT packet_id, {FLAGS} FROM {hits_sql(*INTERNET_SQL)} GROUP BY 1)"
+    parts.append(f"SELECT 'internet', packet_id, alert, 1.0, '' FROM (SELECT packet_id, concat_ws('+', {NAMES}) AS alert FROM {flags})")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+EVERY_ALERT = every_alert(LAYERS)
 
 
 def hybrid(s, d):

@@ -103,7 +103,9 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     place = (spark.sparkContext.applicationId, sf_dir)
     if place not in _tables:
-        _tables[place] = written(derive(spark, sf_dir), "packets")
+        # files by time, as captured traffic comes, so that a scan has a task for each core
+        files = spark.sparkContext.defaultParallelism
+        _tables[place] = written(derive(spark, sf_dir).repartitionByRange(files, "ts"), "packets")
     return _tables[place]
 
 

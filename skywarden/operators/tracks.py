@@ -67,31 +67,37 @@ def of_rule(rule: RateRule, position: int, scope: Column | None = None) -> Track
                  rule.details(n) if rule.details else None, rule.window_s, position=position)
 
 
-def _event(number: int, track: Track) -> Column:
-    t, packet, length = X.micros(), F.col("packet_id"), F.lit(track.length)
-    none = F.lit(None).cast("array<string>")
-    values = F.array(*[v.cast("string") for v in track.values]) if track.values else none
+def _tag(number: int, track: Track) -> Column:
+    """The packet's part in a track, or null: only what differs between tracks."""
+    values = F.array(*[v.cast("string") for v in track.values]) if track.values else F.lit(None).cast("array<string>")
     amount = F.lit(1) if track.kind == RATE else F.lit(0) if track.amount is None else track.amount
-    also = F.lit(0) if track.also is None else track.also.cast("long") if track.kind == RUNNING else X.flag(track.also)
+    also = F.lit(0) if track.also is None else track.also if track.kind == RUNNING else X.flag(track.also)
+    return F.when(track.where, F.struct(
+        F.lit(number).alias("track"), key_of(track.keys).cast("array<string>").alias("key"), amount.cast("long").alias("amount"),
+        also.cast("long").alias("also"), values.alias("values")))
 
-    def at(time: Column, seq: Column, amount: Column, values: Column, has_row: bool) -> Column:
-        return F.struct(
-            F.lit(number).alias("track"), key_of(track.keys).alias("key"), X.floor_div(time, length).alias("slice"), time.alias("at"),
-            seq.cast("long").alias("seq"), F.lit(1).alias("step"), amount.cast("long").alias("amount"), also.cast("long").alias("also"),
-            values.alias("values"), F.lit(has_row).alias("has_row"))
-    events = [at(t, packet, amount, values, True)]
-    if track.kind == RATE:
-        events.append(at(t + length, F.lit(LAST), F.lit(-1), none, False))
-    return F.when(track.where, F.array(*events))
+
+def tags(tracks: Sequence[Track]) -> Column:
+    """All tracks a packet belongs to, as an array."""
+    return F.array_compact(F.array(*[_tag(i, track) for i, track in enumerate(tracks)]))
+
+
+def _of_track(tracks: Sequence[Track], value: Callable[[Track], int]) -> Column:
+    """A number by track."""
+    return F.element_at(F.lit([value(track) for track in tracks]).cast("array<long>"), F.col("track") + 1)
 
 
 def events(packets: DataFrame, tracks: Sequence[Track], carry: Sequence[str]) -> DataFrame:
-    """Tagged events of all tracks from one scan; expiring ones carry nothing."""
-    mine = F.flatten(F.array_compact(F.array(*[_event(i, track) for i, track in enumerate(tracks)])))
-    some = reduce(lambda a, b: a | b, [F.coalesce(track.where, F.lit(False)) for track in tracks])
+    """Tagged events of all tracks from one scan; what expires carries nothing."""
     row = F.struct("packet_id", "ts", *carry)
-    rows = packets.where(some).select(row.alias("row"), F.explode(mine).alias("e"))
-    return rows.select("e.*", F.when(F.col("e.has_row"), F.col("row")).alias("row")).drop("has_row")
+    tagged = packets.select(row.alias("row"), F.explode(tags(tracks)).alias("e")).select("e.*", "row").withColumns(
+        {"at": X.micros(F.col("row.ts")), "seq": F.col("row.packet_id").cast("long"), "length": _of_track(tracks, lambda track: track.length)})
+    arrives = F.struct("at", "seq", F.lit(1).alias("step"), "amount", F.col("row").alias("row"))
+    expires = F.struct((F.col("at") + F.col("length")).alias("at"), F.lit(LAST).alias("seq"), F.lit(1).alias("step"),
+                       F.lit(-1).cast("long").alias("amount"), F.lit(None).alias("row"))
+    moments = F.when(_among(tracks, RATE), F.array(arrives, expires)).otherwise(F.array(arrives))
+    rows = tagged.select(*KEYS, "length", "also", "values", F.explode(moments).alias("m")).select(*KEYS, "length", "also", "values", "m.*")
+    return rows.withColumn("slice", X.floor_div(F.col("at"), F.col("length"))).drop("length")
 
 
 def opened(sums: DataFrame, totals: Sequence[str], least: str) -> DataFrame:
@@ -115,7 +121,7 @@ def _among(tracks: Sequence[Track], *kinds: str) -> Column:
 
 def _changes(seen: DataFrame, tracks: Sequence[Track]) -> DataFrame:
     """When a value starts and stops to count for its key."""
-    length = F.element_at(F.array(*[F.lit(track.length) for track in tracks]), F.col("track") + 1)
+    length = _of_track(tracks, lambda track: track.length)
     value = F.col("counted").isNotNull()
     firsts = (seen.where(_among(tracks, SEEN) & value).groupBy(*KEYS, "counted").agg(F.min("lo").alias("lo"), F.max("also").alias("also"))
               .select(*KEYS, F.col("lo.at").alias("at"), F.col("lo.seq").alias("seq"), F.lit(0).alias("step"),
@@ -185,7 +191,10 @@ def state_of(tagged: DataFrame, tracks: Sequence[Track]) -> DataFrame:
 def fired(rows: DataFrame, tracks: Sequence[Track]) -> DataFrame:
     """Hits of all tracks: packet_id, layer, detector, position, rank, severity, details, n."""
     def pick(columns: Sequence[Column]) -> Column:
-        return F.coalesce(*[F.when(F.col("track") == i, c) for i, c in enumerate(columns)])
+        chosen = F
+        for i, c in enumerate(columns):
+            chosen = chosen.when(F.col("track") == i, c)
+        return chosen
     tracks = [track for track in tracks if track.kind != FEED]  # feeds come last
     fires = reduce(lambda a, b: a | b, [(F.col("track") == i) & track.fires for i, track in enumerate(tracks)])
     none = F.lit("")

@@ -17,6 +17,7 @@ from skywarden.operators.verdict import resolve_layers
 from skywarden.plans import drone_application, drone_internet, drone_network, drone_transport, internet, network
 from skywarden.plans.marks import flags_by_packet
 from skywarden.session import written
+from skywarden.streaming.following import stream_hits
 
 Settings = Mapping[str, Mapping[str, object]]
 FOUND = ["layer", "packet_id", "detector", "position", "rank", "severity", "details"]
@@ -51,10 +52,24 @@ def alerts_of_layers(packets: DataFrame, fleet: Sequence[str], gateways: Sequenc
         return {name: settings[layer][name] for name in names if name in settings.get(layer, {})}
     fed = {"drone_network": drone_network.fed_hits(tagged, tracks, **kept("drone_network", "gap_s")),
            "drone_transport": drone_transport.fed_hits(tagged, tracks, **kept("drone_transport", "anomalies", "gap_s"))}
-    found = hits.where(F.col("layer") != "internet")
+    found = hits
     for layer, more in fed.items():
         found = found.unionByName(more.withColumns({"layer": F.lit(layer), "rank": F.lit(0)}))
-    best = resolve_layers(found, drone_application.OUTRANKED)
+    return verdicts(found)
+
+
+def hits_of_stream(packets: DataFrame, fleet: Sequence[str], gateways: Sequence[str] = ("",), settings: Settings | None = None,
+                   delay: str | None = None) -> DataFrame:
+    """Hits of all layers over a stream of packets, but for the detectors that need an operator of another kind."""
+    tracks = [track for track in all_tracks(fleet, gateways, settings or {}) if track.kind != FEED]
+    carry = sorted({*drone_network.CARRY, *drone_internet.CARRY, *drone_application.CARRY})
+    rows = packets.select("*", *drone_application.message_columns())
+    return stream_hits(rows, tracks, carry, delay).select(*FOUND)
+
+
+def verdicts(hits: DataFrame) -> DataFrame:
+    """layer, packet_id, attack_type, severity, details of hits of any layers, as ``alerts_of_layers``."""
+    best = resolve_layers(hits.where(F.col("layer") != "internet"), drone_application.OUTRANKED)
     # the internet layer names all its detectors
     named = flags_by_packet(hits.where(F.col("layer") == "internet"), internet.DETECTORS).select(
         F.lit("internet").alias("layer"), "packet_id", internet.alert_text().alias("attack_type"), F.lit(1.0).alias("severity"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -58,6 +60,15 @@ def stream_alerts(alerts: DataFrame, path: str, checkpoint: str) -> StreamingQue
             .trigger(availableNow=True).start())
 
 
+def stream_verdicts(hits: DataFrame, path: str, checkpoint: str, resolve: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Alerts of a stream of hits. All hits of a packet are in one batch, so each batch is resolved by itself; a packet has one row in
+    each layer, and a batch that is run again replaces its own folder."""
+    def save(batch: DataFrame, number: int) -> None:
+        resolve(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return (hits.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """The one-row report as JSON."""
     report.write.mode("overwrite").json(path)
