@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skywarden.catalog.aggregates import A_LIMITS, APPLICATION, DURATION, HOURS, T_LIMITS, TRANSPORT, numbered
+from skywarden import schema as S
+from skywarden.catalog.aggregates import A_LIMITS, APPLICATION, COUNTS, DURATION, HOURS, T_LIMITS, TRANSPORT, numbered
 from skywarden.catalog.base import DAY, FLEET, GATEWAYS, P, packets, rate
 from skywarden.catalog.blocks import machine_sql, suppressed_sql
 from skywarden.plans.analyser import suspicion
@@ -12,8 +13,9 @@ from skywarden.catalog import detectors as D, verdicts as V
 from skywarden.operators.tracks import FIRST, RATE, RECENT, Track
 from skywarden.plans import internet, layers, network
 from skywarden.session import ROCKSDB, fresh_folder
-from skywarden.sources import sinks
-from skywarden.streaming import buckets, stateful
+from skywarden.sources import readers, sinks
+from skywarden.operators import buckets as O
+from skywarden.streaming import buckets, late, stateful
 from skywarden.streaming.following import stream_followed, stream_hits
 from skywarden.streaming.replay import run_to_end
 
@@ -63,6 +65,27 @@ def sliding(s, d):
     return run_to_end(stream_followed(stream(s, d), [track], delay="90 days"), "sliding").select("packet_id", "n")
 
 
+def reopened(s, d):
+    """Two files: most packets, then every tenth of them much too late."""
+    folder = fresh_folder(s, "late-packets")
+    rows = packets(s, d).select(*s.createDataFrame([], S.PACKETS).columns)
+    for part in ("packet_id % 10 <> 7", "packet_id % 10 = 7"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    arriving = readers.stream_packets(s, folder, files_per_trigger=1)
+    return numbered(run_to_end(late.reopening_buckets(arriving, HOURS * 3600, "1 hour", A_LIMITS, keep_s=365 * DAY), "late"))
+
+
+SIX_HOURS = HOURS * 3600 * 1_000_000
+REOPENED = COUNTS + f""", w AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 AS last,
+    max(CASE WHEN packet_id % 10 <> 7 THEN epoch_us(ts) END) // 1000 * 1000 - 3600000000 AS first FROM packets),
+  l AS (SELECT c.*, (epoch_us(ts) // {SIX_HOURS})::BIGINT AS bucket, packet_id % 10 = 7 AND (epoch_us(ts) // {SIX_HOURS} + 1) * {SIX_HOURS} <= w.first AS late
+    FROM c, w),
+  b AS (SELECT bucket, src_ip, late, {', '.join(f'sum({c})::BIGINT AS {c}' for c in O.COUNTS)} FROM l GROUP BY ALL),
+  e AS (SELECT *, row_number() OVER (PARTITION BY bucket, src_ip ORDER BY late) AS edition FROM b)
+  SELECT * EXCLUDE (late, last, first), {APPLICATION[APPLICATION.rindex('SELECT *, ') + 10:APPLICATION.rindex(' FROM b')]}
+  FROM e, w WHERE late OR (bucket + 1) * {SIX_HOURS} <= w.last"""
+
+
 def with_closed(sql: str) -> str:
     return f"SELECT * FROM ({sql}) WHERE " + CLOSED.replace("FROM packets", "FROM events").replace("epoch_us(ts)", "epoch_us(events.ts)")
 
@@ -76,6 +99,7 @@ QUERIES = {
     "stream_arp_spoofing": (lambda s, d: spoofing(s, d, network), D.SQL["arp_spoofing"]),
     "stream_ip_spoofing": (lambda s, d: spoofing(s, d, internet), D.SQL["ip_spoofing"]),
     "stream_layer_alerts": (layer_alerts, f"SELECT layer, packet_id, attack_type, round(severity::DOUBLE, 6) AS severity, details FROM {V.every_alert(STREAMED)}"),
+    "stream_reopened_buckets": (reopened, REOPENED),
     "stream_transport_buckets": (
         lambda s, d: numbered(run_to_end(buckets.transport_stream(stream(s, d), DURATION, "1 hour", T_LIMITS), "transport")).withColumn(
             "avg_len", F.round("avg_len", 6)), with_closed(TRANSPORT)),

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from skywarden.operators import buckets, ordered
 from skywarden.operators.sequence import sequence_alerts
 from skywarden.operators.suppress import greedy_suppress
+from skywarden.operators.tracks import FIRST, RATE, RECENT, RUNNING, SEEN, Track, followed
 from skywarden.sources.readers import stream_packets
-from skywarden.streaming import buckets as sb, stateful
+from skywarden.streaming import buckets as sb, late, stateful
+from skywarden.streaming.following import stream_followed
 from skywarden.streaming.replay import run_to_end
 
 
@@ -57,3 +59,73 @@ def test_buckets_close_with_the_watermark(spark, frames, tmp_path):
     out = run_to_end(sb.application_stream(stream_packets(spark, folder, files_per_trigger=1)), "buckets")
     batch = buckets.application_buckets(frames(rows)).where(F.col("window_start") < F.timestamp_micros(F.lit(1_704_067_217_000_000)))
     assert rows_of(out, "window_start", "src_ip", "http_reqs") == rows_of(batch, "window_start", "src_ip", "http_reqs")
+
+
+def every_kind() -> list[Track]:
+    always, none = F.lit(True), F.lit(0)
+    size = F.octet_length("payload")
+    return [
+        Track("rate", RATE, always, ("src_ip",), always, none, window_s=3),
+        Track("recent", RECENT, always, ("src_ip", "ip_proto"), always, none, window_s=2, values=(F.col("tcp_seq"),)),
+        Track("seen", SEEN, F.col("tcp_flags") == 0, ("src_ip",), always, none, values=(F.col("dport"),), also=F.col("dport") < 3),
+        Track("running", RUNNING, always, ("src_ip",), always, none, amount=size, also=F.lit(1)),
+        Track("first", FIRST, always, ("src_ip",), always, none, values=(F.col("dport"), F.col("src_mac")))]
+
+
+COLUMNS = ("track", "packet_id", "n", "also", "first", "sport")
+
+
+def tracked(df):
+    return sorted((r.track, r.packet_id, r.n, r.also, tuple(r.first or ()), r.sport) for r in df.select(*COLUMNS).collect())
+
+
+def sources(seed: int) -> list[dict]:
+    rng = random.Random(seed)
+    rows = [{**r, "dport": rng.choice([None, 1, 2, 3, 4, 5]), "src_mac": rng.choice([None, "m"])} for r in traffic(seed, 90)]
+    for i in rng.sample(range(1, 90), 20):  # equal times
+        rows[i]["at"] = rows[i - 1]["at"]
+    return rows
+
+
+def run(stream, folder, checkpoint):
+    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(
+        availableNow=True).start().awaitTermination()
+
+
+def test_tracks_over_triggers_and_a_restart_equal_the_batch(spark, frames, tmp_path):
+    rows = sources(2)
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("packets", "out", "state"))
+    tracks = every_kind()
+
+    def stream():
+        return stream_followed(stream_packets(spark, folder, files_per_trigger=1), tracks, ["sport"])
+    for part in (rows[:30], rows[30:60], rows[60:]):
+        start = rows.index(part[0])
+        frames([{**r, "packet_id": start + i} for i, r in enumerate(part)]).coalesce(1).write.mode("append").parquet(folder)
+        if part is not rows[30:60]:
+            run(stream(), out, checkpoint)
+    batch = followed(spark.read.parquet(folder), tracks, ["sport"])
+    assert tracked(spark.read.schema(stream().schema).parquet(out)) == tracked(batch)
+
+
+def test_a_silent_key_leaves_no_state(spark, frames, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("packets", "out", "state"))
+    tracks = every_kind()[:2]
+    for at, source in ((0, "idle"), (20, "busy"), (40, "busy")):
+        frames([{"at": at + i / 10, "src_ip": source, "tcp_seq": i, "packet_id": at + i} for i in range(5)]).coalesce(1).write.mode("append").parquet(folder)
+        run(stream_followed(stream_packets(spark, folder, files_per_trigger=1), tracks, delay="1 second"), out, checkpoint)
+    assert spark.read.parquet(out).count() == 30
+    for name in ("counts", "last"):
+        state = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+        keys = {r.key.key for r in state.select("key").collect()}
+        assert keys and not any("idle" in key for key in keys)
+
+
+def test_late_packets_open_their_bucket_again(spark, frames, tmp_path):
+    folder = str(tmp_path / "packets")
+    http = {"src_ip": "10.0.0.1", "ip_proto": 6, "dport": 80, "payload": b"GET /"}
+    for i, times in enumerate(([0.1, 0.2, 10], [0.3, 0.4, 20], [0.5, 20.5], [40])):
+        frames([{**http, "at": at, "packet_id": 10 * i + j} for j, at in enumerate(times)]).coalesce(1).write.mode("append").parquet(folder)
+    found = run_to_end(late.reopening_buckets(stream_packets(spark, folder, files_per_trigger=1)), "late")
+    rows = sorted((r.window_start.second, r.edition, r.http_reqs) for r in found.collect())
+    assert rows == [(0, 1, 2), (0, 2, 2), (0, 3, 1), (10, 1, 1), (20, 1, 2)]
