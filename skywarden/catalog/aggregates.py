@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from skywarden.catalog.base import P, TARGET_IP, packets, running, table
 from skywarden.functions import scalars as X, scope
+from skywarden.streaming.buckets import observed
 from skywarden.operators import buckets, report
 from skywarden.operators.buckets import ApplicationLimits, TransportLimits
 from skywarden.plans import analyser
@@ -97,6 +98,22 @@ def request_entities():
 
 STREAMS = "ip_proto = 17 AND dport = 554"
 
+def entity_estimates(s, d):
+    """Sketches of each day, merged, beside the exact counts: one row per entity, with whether the estimate is within 3 %."""
+    p, kinds = packets(s, d), {**entities(), **request_entities()}
+    days = report.entity_sketches(p, kinds, F.to_date("ts").alias("day"))
+    sides = [df.unpivot([], list(kinds), "entity", n) for df, n in (
+        (report.merged_entities(days, list(kinds)), "estimate"), (report.entity_summary(p, kinds), "n"))]
+    return sides[0].join(sides[1], "entity").select("entity", "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.03 * F.col("n")).alias("is_close"))
+
+
+def stream_totals(s, d):
+    """The running totals that a job reports while it reads the packets."""
+    seen = Observation("totals")
+    observed(packets(s, d), seen).write.format("noop").mode("overwrite").save()
+    return s.createDataFrame([(seen.get["packets"], seen.get["latest"])], "packets long, latest timestamp").withColumn("latest", F.unix_micros("latest"))
+
+
 QUERIES = {
     "transport_buckets": (
         lambda s, d: numbered(buckets.transport_buckets(packets(s, d), DURATION, T_LIMITS)).withColumn(
@@ -124,6 +141,12 @@ QUERIES = {
         count(DISTINCT CASE WHEN payload_hex LIKE 'FD%' AND length(payload_hex) >= 22 THEN src_ip END) AS mavlink_sources,
         count(DISTINCT CASE WHEN ip_proto = 6 AND dport IN (1883, 8883) THEN src_ip END) AS mqtt_sources,
         count(DISTINCT CASE WHEN ip_proto = 6 AND dport IN (22, 23) THEN src_ip END) AS login_sources FROM packets"""),
+    "running_stream_size": (
+        lambda s, d: report.running_sizes(packets(s, d).where(X.is_udp() & (F.col("dport") == 554))).withColumn(
+            "smoothed_size", F.round("smoothed_size", 6)),
+        P + f"""SELECT packet_id, round(list_reduce(list(packet_size::DOUBLE) OVER (PARTITION BY src_ip, sport ORDER BY ts, packet_id
+        ROWS UNBOUNDED PRECEDING), lambda s, x: (s + x) / 2), 6) AS smoothed_size FROM packets WHERE {STREAMS}"""),
+    "observed_totals": (stream_totals, P + "SELECT count(*) AS packets, max(epoch_us(ts)) AS latest FROM packets"),
     "entity_summary_requests": (
         lambda s, d: report.entity_summary(packets(s, d), request_entities()),
         P + """SELECT count(DISTINCT CASE WHEN ip_proto = 6 AND dport IN (80, 8080, 443)
@@ -160,3 +183,7 @@ QUERIES = {
         (SELECT string_agg(strftime(ts, '%H:%M:%S') || '|' || attack_type || '|0.8|' || coalesce(src_ip, 'N/A') || '|' ||
          coalesce(dst_ip, 'N/A'), ';' ORDER BY ts, packet_id) FROM l) AS attacks"""),
 }
+
+QUERIES["entity_estimates"] = (entity_estimates, "SELECT *, true AS is_close FROM (SELECT unnest(['" + "', '".join([*entities(), *request_entities()]) + "']) AS entity, unnest(["
+                               + ", ".join([f"(SELECT {n} FROM ({QUERIES['entity_summary'][1]}))" for n in entities()]
+                                           + [f"(SELECT {n} FROM ({QUERIES['entity_summary_requests'][1]}))" for n in request_entities()]) + "]) AS n)")

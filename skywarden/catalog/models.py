@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skywarden.catalog.base import P, TARGET_IP, packets, table
 from skywarden.catalog.aggregates import DURATION, A_LIMITS
-from skywarden.catalog.verdicts import INTERNET, NETWORK
+from skywarden.catalog.verdicts import INTERNET, INTERNET_LOG, NETWORK
 from skywarden.ml import models
 from skywarden.ml.layers import SPECS, is_test_row, training_rows
 from skywarden.operators import buckets
@@ -102,7 +102,9 @@ QUERIES = {
         P + """SELECT packet_id, (('0x' || substr(md5(packet_id || '/42'), 1, 8))::BIGINT % 100 < 20)::INT AS is_test FROM packets"""),
     "training_rows_internet": (
         lambda s, d: training_rows(internet.internet_log(packets(s, d), **INTERNET), SPECS["internet"]).select(
-            "packet_id", "protocol", "ttl", "packet_size", "syn_flood", "port_scan", "is_attack"), None),
+            "packet_id", "protocol", "ttl", "packet_size", "syn_flood", "port_scan", "is_attack"),
+        f"""SELECT packet_id, protocol, ttl, packet_size, syn_flood, port_scan,
+        (ip_spoofing + ping_flood + udp_flood > 0)::INT::VARCHAR AS is_attack FROM ({INTERNET_LOG})"""),
     "classification_report": (
         lambda s, d: models.classification_report(table(s, d, "labels"), "quality", "toxic").withColumns(
             {c: F.round(c, 6) for c in ("precision", "recall", "f1")}), REPORT),

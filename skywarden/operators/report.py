@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skywarden.functions import scalars as X
@@ -21,6 +23,17 @@ def entity_summary(packets: DataFrame, entities: dict[str, Column], approximate:
     return packets.agg(*[count(e).alias(n) for n, e in entities.items()])
 
 
+def entity_sketches(packets: DataFrame, entities: dict[str, Column], *by: str | Column, precision: int = 14) -> DataFrame:
+    """A mergeable sketch of fixed size per entity (and per ``by``, such as a day). Rows are not expanded, and later days are merged in."""
+    return packets.groupBy(*by).agg(*[
+        F.hll_sketch_agg(F.when(e.isNotNull(), F.to_json(F.struct(e.alias("e")))), F.lit(precision)).alias(n) for n, e in entities.items()])
+
+
+def merged_entities(sketches: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Estimated distinct entities over any rows of ``entity_sketches``; the error is about 1.04 / sqrt(2 ** precision)."""
+    return sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in names])
+
+
 def breakdown(alerts: DataFrame, *by: str | Column) -> DataFrame:
     return alerts.groupBy(*by).agg(F.count("*").alias("n"))
 
@@ -54,6 +67,36 @@ def stream_size_stats(packets: DataFrame, small: int = 100, slice_s: float = 60)
         "packet_count": F.lit(1), "small_count": X.flag(F.col("packet_size") < small)}, ["packet_size"], slice_s)
 
 
+REMEMBERED = 64  # packets; what lies further back weighs less than the last bit of a double
+
+
+def running_sizes(packets: DataFrame, slice_s: float = 60) -> DataFrame:
+    """packet_id, smoothed_size: each packet's stream (``src_ip``, ``sport``) smoothed by ``(smoothed + size) / 2`` up to and with it.
+
+    A slice maps what it starts with to ``value + start / 2 ** n``; these maps are composed over the slices before a slice, and inside it
+    a packet folds what follows its opening row. Weights halve with each packet, so ``REMEMBERED`` maps or packets are enough, and
+    no stream is in one task.
+    """
+    stream = ["src_ip", "sport"]
+
+    def fold(values: Column) -> Column:
+        return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda s, x: (s + x) / 2)
+    size = F.col("packet_size").cast("double")
+    rows = packets.select(*stream, "ts", "packet_id", size.alias("value"), X.floor_div(X.micros(), to_micros(slice_s)).alias("slice"), F.lit(1).alias("kind"))
+    newest = Window.partitionBy(*stream, "slice").orderBy(F.desc("ts"), F.desc("packet_id"))
+    maps = rows.withColumn("place", F.row_number().over(newest)).groupBy(*stream, "slice").agg(
+        F.sum(F.col("value") * F.pow(F.lit(0.5), "place")).alias("value"), F.count("*").alias("n"), F.min(F.struct("ts", "packet_id", "value")).alias("first"))
+    slices = Window.partitionBy(*stream).orderBy("slice")
+    earlier = F.collect_list(F.struct("value", "n", F.col("first.value").alias("start"))).over(slices.rowsBetween(-REMEMBERED, -1))
+    opening = F.aggregate("earlier", F.get("earlier", F.lit(0))["start"], lambda s, m: s * F.pow(F.lit(0.5), m["n"]) + m["value"])
+    opens = maps.select(*stream, "slice", earlier.alias("earlier")).where(F.size("earlier") > 0).select(
+        *stream, "slice", opening.alias("value"), F.lit(0).alias("kind"))
+    order = Window.partitionBy(*stream, "slice").orderBy("kind", "ts", "packet_id").rowsBetween(-REMEMBERED, 0)
+    both = opens.unionByName(rows, allowMissingColumns=True)
+    return (both.withColumn("near", F.collect_list("value").over(order)).where("kind = 1")
+            .select("packet_id", fold(F.col("near")).alias("smoothed_size")))
+
+
 def stream_state(packets: DataFrame, small: int = 100, slice_s: float = 60) -> DataFrame:
     """Final state of each ``src_ip:sport`` stream: counts, and the size smoothed by ``(smoothed + size) / 2`` over all packets.
 
