@@ -18,7 +18,6 @@ bounds the overlap; members whose bound is too small for both sizes are not comp
 
 from __future__ import annotations
 
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,8 @@ SHINGLE = 3
 STAGE_PERCENT = 80  # near duplicates elsewhere
 STAGE_SHINGLE = 5
 BYTES_PER_SHINGLE = 6
+ROWS = 50_000  # written at once by a task
+PAIR = np.uint64(0x9E3779B97F4A7C15)
 CLASSES = 4  # size classes per doubling, for the cost histogram
 
 
@@ -110,8 +111,9 @@ def _prefixes(plan: B.Layout, size: int, percent: int):
                 one, two = rank[:max(spare + 1 - single, 0)], rank[:max(spare + 2 - single, 0)]
                 if not len(one) and len(two) < 2:
                     continue
-                rows.append((rep, n, single, own[one].tobytes(), own[two].tobytes(), float(mine[one].astype(np.int64).sum()),
-                             float(len(two) * (len(two) - 1) / 2), own.tobytes()))
+                # a row written, shuffled and sorted for each entry or subset; an entry also meets its list
+                scan = float(len(one) + mine[one].astype(np.int64).sum())
+                rows.append((rep, n, single, own[one].tobytes(), own[two].tobytes(), scan, float(len(two) * (len(two) - 1) / 2), own.tobytes()))
         cols = list(zip(*rows)) if rows else [[] for _ in range(8)]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary())
         names = ("rep", "n", "single", "one", "two", "scan_cost", "subset_cost", "body")
@@ -138,20 +140,44 @@ def _keys(cut: int, percent: int):
     ``r`` bounds the overlap of two sets whose first common shingles are the key: what lies before them is not common.
     """
 
+    def subsets(h: np.ndarray, rep: int, n: int, single: int):
+        """Rows of all pairs of ``h``, a bounded number at once."""
+        step = max(1, ROWS // max(len(h), 1))
+        for start in range(0, len(h) - 1, step):
+            i = np.arange(start, min(start + step, len(h) - 1))
+            times = len(h) - 1 - i
+            first = np.repeat(i, times)
+            j = np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times) + first + 1
+            low, high = np.minimum(h[first], h[j]), np.maximum(h[first], h[j])
+            yield 2, W.mix(W.mix(low.copy()) + high * PAIR).view(np.int64), rep, n, n - single - j + 1
+
+    def entries(batch: pa.RecordBatch):
+        for rep, n, single, one, two in zip(*(batch[c].to_pylist() for c in ("rep", "n", "single", "one", "two"))):
+            if n <= cut:
+                yield from subsets(np.frombuffer(two, np.uint64), rep, n, single)
+            if (n > cut or 100 * n >= percent * cut) and one:
+                key = np.frombuffer(one, np.int64)
+                yield 1, key, rep, n, n - single - np.arange(len(key))
+
+    def flushed(parts: list[tuple]) -> pa.RecordBatch:
+        size = [len(part[1]) for part in parts]
+        kind, rep, n = (np.repeat([part[at] for part in parts], size) for at in (0, 2, 3))
+        key, r = (np.concatenate([part[at] for part in parts]) for at in (1, 4))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip((kind, key, rep, n, r), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+            ["kind", "key", "rep", "n", "r"])
+
     def keys(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            for rep, n, single, one, two in zip(*(batch[c].to_pylist() for c in ("rep", "n", "single", "one", "two"))):
-                if n <= cut:
-                    h = np.frombuffer(two, np.uint64)
-                    for i, j in combinations(range(len(h)), 2):
-                        pair = np.sort(h[[i, j]]).tobytes()
-                        rows.append((2, int.from_bytes(xxhash.xxh3_64_digest(pair), "little", signed=True), rep, n, n - single - j + 1))
-                if n > cut or 100 * n >= percent * cut:
-                    rows += [(1, key, rep, n, n - single - i) for i, key in enumerate(np.frombuffer(one, np.int64).tolist())]
-            cols = list(zip(*rows)) if rows else [[] for _ in range(5)]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "key", "rep", "n", "r"])
+            parts, rows = [], 0
+            for part in entries(batch):
+                parts.append(part)
+                rows += len(part[1])
+                if rows >= ROWS:
+                    yield flushed(parts)
+                    parts, rows = [], 0
+            if parts:
+                yield flushed(parts)
     return keys
 
 
