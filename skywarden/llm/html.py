@@ -24,7 +24,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 # fixed values: element kinds of HTML
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math"}
-RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+RAW_TAG = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+NESTED = {"svg", "math", "template"}  # may hold themselves; the text of the others ends at the first end tag
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -34,6 +35,8 @@ MARK = re.compile(r"ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|men
                   r"notice|popup|modal|newsletter|subscribe|share|social|related|comments?|commentlist|replies|reply|respond|disqus", re.I)
 PART = {"area", "bar", "block", "box", "buttons", "container", "form", "icons", "items", "links", "list", "posts", "section", "slot",
         "unit", "widget", "wrap", "wrapper"}
+COMMENTS = {"comment", "comments", "commentlist", "replies"}
+SAYING = {"no", "has", "with", "without", "show", "hide", "open", "allow"}  # of a page that has comments, not of the comments
 UNMARKED = {"html", "body", "article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -48,21 +51,37 @@ def marked(names: str) -> bool:
         first, *others = [x for x in re.split("[_-]", name) if x] or [""]
         if MARK.fullmatch(first) and all(MARK.fullmatch(x) or x.lower() in PART for x in others):
             return True
+        if others and others[-1].lower() in COMMENTS and first.lower() not in SAYING:  # reader-comments, post-comments
+            return True
     return False
 
 
+def raw_end(html: str, at: int, tag: str) -> int:
+    """Where an element whose inside is not read ends."""
+    depth = 1
+    for m in RAW_TAG[tag].finditer(html, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTED and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(html)
+
+
 class Element:
     """An element: its tag path of block elements, the block element it is or stands in (``box``), and the one below root, html and
     body (``top``), and the nearest ``article``. Flags hold for what is inside too, but ``named`` (a marked name) and ``holds`` (content directly inside)."""
-    __slots__ = ("tag", "up", "path", "box", "top", "article", "outside", "inside", "heading", "named", "holds", "size")
+    __slots__ = ("tag", "up", "path", "box", "top", "article", "outside", "inside", "heading", "named", "holds")
 
     def __init__(self, tag: str, up: Element | None, path: int, named: bool):
         block = up is None or tag not in INLINE
-        self.tag, self.up, self.path, self.named, self.holds, self.size = tag, up, path, named, False, 0
+        self.tag, self.up, self.path, self.named, self.holds = tag, up, path, named, False
         self.box: Element = self if block else up.box
         self.top: Element | None = up and (up.top or (self if block and tag not in ("html", "body") else None))
         self.article: Element | None = self if tag == "article" else up and up.article
-        self.outside = tag in OUTSIDE or up is not None and up.outside
+        own_header = tag == "header" and up is not None and up.inside  # an article's own header has its title
+        self.outside = tag in OUTSIDE and not own_header or up is not None and up.outside
         self.inside = tag in ("article", "main") or up is not None and up.inside
         self.heading = tag in HEADINGS or up is not None and up.heading
 
@@ -104,8 +123,7 @@ def pieces_of(html: str) -> tuple[list[tuple[Element, int, str]], list[Element]]
             continue
         if tag in RAW:
             if not rest.endswith("/"):  # what is inside is not read as tags
-                end = RAW_END[tag].search(html, at)
-                at = end.end() if end else len(html)
+                at = raw_end(html, at, tag)
             continue
         if tag in VOID or rest.endswith("/"):
             continue
@@ -123,12 +141,17 @@ def pieces_of(html: str) -> tuple[list[tuple[Element, int, str]], list[Element]]
 def nodes_of(html: str) -> tuple[list[Node], list[Element]]:
     """Blocks with text, in page order, and all elements, outer ones first."""
     found, elements = pieces_of(html)
-    for e, _, text in found:
-        e.size += 0 if e.outside else len(text.strip())
-    for e in reversed(elements[1:]):
-        e.up.size += e.size
-    for e in elements[1:]:  # an element that holds most of the page's text is no menu, whatever its name
-        e.outside = e.outside or e.up.outside or e.named and 2 * e.size <= elements[0].size
+    by_tag = [e.outside for e in elements]
+    around = set()  # elements around the first article are no menu, whatever their names
+    e = next((e for e in elements if e.tag == "main"), None) or next((e for e in elements if e.tag == "article"), None)
+    while e:
+        around.add(e)
+        e = e.up
+    for e in elements[1:]:
+        e.outside = e.outside or e.up.outside or e.named and e not in around
+    if not any(text.strip() and not e.outside for e, _, text in found):  # names that leave nothing say nothing
+        for e, outside in zip(elements, by_tag):
+            e.outside = outside
     blocks: dict[tuple[int, bool], tuple[Element, list[str]]] = {}
     for e, block, text in found:
         blocks.setdefault((block, e.outside), (e, []))[1].append(text)
