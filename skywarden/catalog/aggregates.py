@@ -184,6 +184,8 @@ QUERIES = {
          coalesce(dst_ip, 'N/A'), ';' ORDER BY ts, packet_id) FROM l) AS attacks"""),
 }
 
-QUERIES["entity_estimates"] = (entity_estimates, "SELECT *, true AS is_close FROM (SELECT unnest(['" + "', '".join([*entities(), *request_entities()]) + "']) AS entity, unnest(["
-                               + ", ".join([f"(SELECT {n} FROM ({QUERIES['entity_summary'][1]}))" for n in entities()]
-                                           + [f"(SELECT {n} FROM ({QUERIES['entity_summary_requests'][1]}))" for n in request_entities()]) + "]) AS n)")
+# the six entities of the first query and the two of the second
+NAMES = {"entity_summary": ("connections", "scanners", "sessions", "mavlink_sources", "mqtt_sources", "login_sources"),
+         "entity_summary_requests": ("http_sources", "video_streams")}
+QUERIES["entity_estimates"] = (entity_estimates, " UNION ALL ".join(
+    f"SELECT '{name}' AS entity, {name} AS n, true AS is_close FROM ({QUERIES[query][1]})" for query, names in NAMES.items() for name in names))
