@@ -8,7 +8,6 @@ from skywarden import schema as S
 from skywarden.catalog import detectors as D
 from skywarden.catalog.aggregates import ALERTS
 from skywarden.catalog.base import APPLICATION, DAY, FLEET, GATEWAYS, IN_FLEET, LINK, P, SIZE, TARGET_IP, TARGET_MAC, TRANSPORT, packets, running
-from skywarden.functions import scalars as X
 from skywarden.operators import report
 from skywarden.operators.verdict import alert_table, combine_layers, resolve
 from skywarden.plans import (analyser, drone_application, drone_internet, drone_network, drone_transport, internet, layers, network,

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from skywarden.functions import scalars as X
-from skywarden.operators.tracks import FEED, FIRST, KEYS, RATE, RECENT, RUNNING, SEEN, Track, fired, tags
+from skywarden.operators.tracks import FEED, KEYS, RATE, RECENT, SEEN, Track, fired, tags
 from skywarden.session import ROCKSDB, ship_to_workers
 
 ship_to_workers(__name__)
