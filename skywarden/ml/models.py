@@ -9,10 +9,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
+from skywarden.ml import calibration
 from skywarden.ml.layers import NORMAL_LABELS, SPECS, LayerSpec, training_rows
-from skywarden.session import written
 
 log = logging.getLogger(__name__)
 
@@ -23,29 +24,36 @@ def label_indexer(column: str, output: str = "label") -> StringIndexer:
 
 
 def classifier(spec: LayerSpec, kind: str = "boosted", rounds: int = 100, seed: int = 42):
-    """Boosted trees (one per class where there are more than two), or a forest, which also gives probabilities."""
+    """Boosted trees (one model per class where there are more than two) or a forest. Only margins of the former need a curve."""
     if kind == "forest":
         return RandomForestClassifier(numTrees=rounds, seed=seed)
     boosted = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)
     return boosted if spec.binary else OneVsRest(classifier=boosted, parallelism=4)
 
 
-def train(rows: DataFrame, spec: LayerSpec, kind: str = "boosted", rounds: int = 100, id_column: str | None = None) -> PipelineModel:
+def train(rows: DataFrame, spec: LayerSpec, kind: str = "boosted", rounds: int = 100, id_column: str | None = None,
+          held_percent: int = 20) -> PipelineModel:
     """Fit one layer's pipeline on rows of ``training_rows``. ``id_column`` is kept out of the features.
 
-    Boosting reads its input once per round, so the rows are written to the shared folder first.
+    Boosting reads its input once per round, so the rows are written to the shared folder first. Boosting of several classes
+    leaves ``held_percent`` of the rows to the curves that turn its margins into confidences (0: no confidences).
     """
-    rows = written(rows, "training")
+    rows = calibration.dealt(rows, "training")
     indexed = {c: f"{c}_code" for c in spec.text if c in rows.columns}
-    skip = {spec.label, id_column}
+    skip = {spec.label, id_column, calibration.DEALT}
     features = [indexed.get(c, c) for c in rows.columns if c not in skip]
     encoders = [label_indexer(c, code) for c, code in indexed.items()]
     labels = label_indexer(spec.label).setHandleInvalid("error").fit(rows)
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     encoded = labels.transform(rows)
-    fitted = Pipeline(stages=[*encoders, assembler, classifier(spec, kind, rounds)]).fit(encoded)
+    is_held = F.col(calibration.DEALT) < (0 if kind == "forest" or spec.binary else held_percent)
+    held, kept = encoded.where(is_held), encoded.where(~is_held)
+    if kept.isEmpty():  # a handful of rows: all are learnt from, none is left to a curve
+        held, kept = kept, encoded
+    fitted = Pipeline(stages=[*encoders, assembler, classifier(spec, kind, rounds)]).fit(kept)
+    curves = [] if held.isEmpty() else calibration.curves(fitted.transform(held), len(labels.labels))
     # the label codes travel as the last stage; scoring reads their names and never runs it
-    return PipelineModel(stages=[*fitted.stages, labels])
+    return PipelineModel(stages=[*fitted.stages, *curves, labels])
 
 
 def label_names(model: PipelineModel) -> list[str]:
@@ -72,10 +80,16 @@ def score(rows: DataFrame, model: PipelineModel) -> DataFrame:
         scored = stage.transform(scored)
     names = F.array(*[F.lit(n) for n in label_names(model)])
     scored = scored.withColumn("predicted", F.get(names, F.col("prediction").cast("int")))
-    confidence = F.array_max(vector_to_array("probability")) if "probability" in scored.columns else F.lit(None).cast("double")
+    calibrated = [s.getPredictionCol() for s in model.stages if isinstance(s, IsotonicRegressionModel)]
+    if calibrated:
+        confidence = calibration.confidence(calibrated)
+    elif "probability" in scored.columns:
+        confidence = F.array_max(vector_to_array("probability"))
+    else:
+        confidence = F.lit(None).cast("double")
     made = [s.getOutputCol() for s in model.stages[:-1] if isinstance(s, StringIndexerModel)]
     return scored.withColumns({"confidence": confidence, "is_attack": (~F.col("predicted").isin(list(NORMAL_LABELS))).cast("int")}).drop(
-        "features", "rawPrediction", "probability", *made)
+        "features", "rawPrediction", "probability", *made, *calibrated)
 
 
 def train_all(logs: Mapping[str, DataFrame], kind: str = "boosted", rounds: int = 100, exclude_leaky: bool = False) -> dict[str, PipelineModel]:
