@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 from skywarden.catalog.base import P, TARGET_IP, packets, table
 from skywarden.catalog.aggregates import DURATION, A_LIMITS
 from skywarden.catalog.verdicts import INTERNET, INTERNET_LOG, NETWORK
-from skywarden.ml import models
+from skywarden.ml import calibration, hybrid, models
 from skywarden.ml.layers import SPECS, is_test_row, training_rows
 from skywarden.operators import buckets
+from skywarden.operators.verdict import combine_layers
 from skywarden.plans import analyser, internet, network, transport
 from skywarden.session import fresh_folder, written
 from skywarden.sources.sinks import log_columns
 
+ROUNDS = 10  # of the boosted models behind whole-layer queries
 
-def layer_log(s, d, layer):
-    """The layer's log with a row id."""
+
+def layer_rows(s, d, layer):
+    """The layer's rows with their keys."""
     p = packets(s, d)
     if layer == "network":
-        log = network.network_log(p, **NETWORK, all_rows=True)
-    elif layer == "internet":
-        log = internet.internet_log(p, **INTERNET)
-    elif layer == "transport":
-        log = transport.transport_log(p)
-    else:
-        log = buckets.application_buckets(p, DURATION, A_LIMITS)
-    return log_columns(log, layer, "window_start" if layer == "application" else "ts")
+        return network.network_log(p, **NETWORK, all_rows=True)
+    if layer == "internet":
+        return internet.internet_log(p, **INTERNET)
+    if layer == "transport":
+        return transport.transport_log(p)
+    return buckets.application_buckets(p, DURATION, A_LIMITS)
+
+
+def layer_log(s, d, layer):
+    return log_columns(layer_rows(s, d, layer), layer, "window_start" if layer == "application" else "ts")
 
 
 def with_id(rows):
@@ -64,6 +69,32 @@ def saved_and_loaded(s, d):
         F.count("*").alias("n"))
 
 
+def calibrated(s, d):
+    """How far confidences are from the share that is right, on rows that neither trees nor curves have seen."""
+    found = {}
+    for layer in ("network", "transport", "application"):
+        spec = SPECS[layer]
+        rows = with_id(training_rows(written(layer_log(s, d, layer), "log"), spec))
+        model = models.train(rows.where(~is_test_row("row_id")), spec, rounds=ROUNDS, id_column="row_id")
+        scored = models.score(rows.where(is_test_row("row_id")), model)
+        found[layer] = calibration.calibration_error(calibration.reliability(scored, F.col("predicted") == F.col(spec.label)))
+    return combine_layers(found)
+
+
+def hybrid_of_all_layers(s, d):
+    """Train four models side by side, save and load them, score the packets of each log, and combine with the rules."""
+    rows = {layer: written(layer_rows(s, d, layer), "log") for layer in SPECS}
+    folder = fresh_folder(s, "models")
+    models.save(models.train_all({layer: log_columns(r, layer, "window_start" if layer == "application" else "ts")
+                                  for layer, r in rows.items()}, rounds=ROUNDS), folder)
+    keys = {layer: ["window_start", "src_ip"] if layer == "application" else ["packet_id"] for layer in SPECS}
+    findings = hybrid.layer_findings(rows, models.load(folder), keys)
+    p = packets(s, d)
+    findings["application"] = hybrid.of_buckets(p, findings["application"], F.window("ts", DURATION)["start"])
+    return hybrid.hybrid_alerts(p, findings, TARGET_IP).withColumns(
+        {"ts": F.unix_micros("ts"), "confidence": F.round("confidence", 6)})
+
+
 def encoded_labels(s, d):
     spec = SPECS["transport"]
     rows = training_rows(transport.transport_log(packets(s, d)), spec).select("packet_id", spec.label)
@@ -113,4 +144,6 @@ QUERIES = {
     "forest_network_model": (evaluated("network", "forest"), None),
     "forest_application_model_without_leaks": (evaluated("application", "forest", exclude_leaky=True), None),
     "saved_model_hybrid_alerts": (saved_and_loaded, None),
+    "calibrated_boosting": (calibrated, None),
+    "hybrid_alerts_of_all_layers": (hybrid_of_all_layers, None),
 }
