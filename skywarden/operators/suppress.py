@@ -6,9 +6,12 @@ of all rows (a replay flood is one payload), so a chain is never walked over a w
 * Sessions (no pause longer than the gap) come from a map-side aggregate per gap-long slice. A session no longer than
   the gap has one anchor, its first row; nothing else is needed.
 * A longer session of few rows is folded as one bounded array.
-* Any other session is cut into blocks. Each block says, for every row that could be its first anchor, which row would be
+* A longer one is cut into blocks of time. Each block says, for every row that could be its first anchor, which row would be
   its last one. Blocks of blocks are composed the same way, each level some 256 times smaller than the one below.
   The chain is then walked at the top and handed down level by level, all blocks in parallel.
+* Blocks are bounded in time, so a session with so many rows in a gap that a block could exceed ``GROUP_ROWS`` goes another
+  way: every time points to the next possible anchor, pointers are squared until none is left, and the anchors are
+  those that pointers of falling length reach from the first row. These are joins on times that occur once, balanced by rows.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skywarden.functions import scalars as X
 from skywarden.operators.ordered import to_micros
-from skywarden.session import ship_to_workers
+from skywarden.session import ship_to_workers, written
 
 ship_to_workers(__name__)
 FANOUT = 256
 FOLD_ROWS = 256  # sessions up to this many rows are folded as one array
+GROUP_ROWS = 500_000  # no block of a session holds more
 ENTRY = "gid string, at long, id long, exit long"
 
 
@@ -110,12 +114,49 @@ def _long_anchors(rows: DataFrame, gap: int, levels: int) -> DataFrame:
     return met
 
 
+def _following(times: DataFrame, gap: int) -> DataFrame:
+    """(gid, at, nxt): for every time of a session the first one more than ``gap`` later; times without one are left out.
+
+    Times and the ends of their gaps are sorted together in ranges of equal size; a range that a gap's end is the last thing of
+    takes the first time of the next range that has one.
+    """
+    ends = F.array(F.struct(F.col("at").alias("pos"), F.lit(0).alias("ends")), F.struct((F.col("at") + gap).alias("pos"), F.lit(1).alias("ends")))
+    placed = written(times.select("gid", "at", F.inline(ends)).repartitionByRange("gid", "pos", "ends")
+                     .withColumn("part", F.spark_partition_id()), "times")
+    time = F.when(F.col("ends") == 0, F.col("pos"))
+    later = Window.partitionBy("gid").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("gid", "part").agg(F.min(time).alias("first")).select(
+        "gid", "part", F.last("first", ignorenulls=True).over(later).alias("beyond"))
+    after = (Window.partitionBy("gid", "part").orderBy(F.desc("pos"), F.desc("ends"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    found = placed.withColumn("nxt", F.last(time, ignorenulls=True).over(after)).where("ends = 1").join(parts, ["gid", "part"])
+    return found.select("gid", "at", F.coalesce("nxt", "beyond").alias("nxt")).where("nxt IS NOT NULL")
+
+
+def _dense_anchors(times: DataFrame, heads: DataFrame, gap: int) -> DataFrame:
+    """(gid, at) of the anchors of sessions that start at ``heads``, for any number of rows in a gap."""
+    step, ladder = written(_following(times, gap), "pointers"), []
+    while not step.isEmpty():
+        ladder.append(step)
+        # the chain meets only first rows and rows that something points to
+        targets = step.select("gid", F.col("nxt").alias("at")).unionByName(heads).distinct()
+        onward = step.select("gid", F.col("at").alias("nxt"), F.col("nxt").alias("far"))
+        twice = step.join(targets, ["gid", "at"], "left_semi").join(onward, ["gid", "nxt"])
+        step = written(twice.select("gid", "at", F.col("far").alias("nxt")), "pointers")
+    met = heads
+    for step in reversed(ladder):
+        reached = F.filter(F.array("at", "nxt"), lambda t: t.isNotNull())
+        met = met.join(step, ["gid", "at"], "left").select("gid", F.explode(reached).alias("at"))
+    return met
+
+
 def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclusive: bool = True,
                     levels: int = 2) -> DataFrame:
     """Add ``flagged`` and ``anchor_ts``, the kept row that silences a flagged one (its own time for a kept row).
 
     Inclusive: flagged when at most ``gap_s`` after the anchor; exclusive: less than ``gap_s``. Rows at one time count
-    by packet id. Null keys equal each other. ``levels`` composed levels keep every group bounded; results do not depend on it.
+    by packet id. Null keys equal each other. ``levels`` is the number of composed levels of blocks; results do not depend on it.
+    The totals of the slices, and the pointers of dense sessions, are written to the shared folder first.
     """
     # one key column that is never null: rows with null keys form groups of their own
     named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
@@ -134,18 +175,26 @@ def greedy_suppress(packets: DataFrame, keys: Sequence[str], gap_s: float, inclu
         "session", F.last("opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # rows of a key are already together: the session's end and size need no further shuffle
     whole = Window.partitionBy(*keys, "session")
-    slices = slices.withColumns({"end": F.max("hi").over(whole), "total": F.sum("n").over(whole)})
-    is_long = F.col("end") - F.col("session.at") > gap
+    slices = written(slices.withColumns({"end": F.max("hi").over(whole), "total": F.sum("n").over(whole), "peak": F.max("n").over(whole)}), "slices")
+    span = F.col("end") - F.col("session.at")
+    is_long = span > gap
     short = slices.where(~is_long & F.col("opens").isNotNull()).select(
         *keys, F.col("session.at").alias("at"), F.col("session.id").alias("id"))
 
     group = F.struct(*keys, F.col("session.at").alias("_session"))
+    # a block is entered by its rows, or by those of the first gap of each block below; the top has all blocks of a session
+    blocks = F.greatest(F.lit(FANOUT), (span / (max(gap, 1) * FANOUT**levels)).cast("long")) + 2
+    way = (F.when(F.col("total") <= FOLD_ROWS, "few").when(blocks * (F.col("peak") + 2) > GROUP_ROWS, "dense").otherwise("blocks"))
     long_slices = slices.where(is_long).select(
-        *keys, "_slice", (F.col("total") <= FOLD_ROWS).alias("few"), F.to_json(group).alias("gid"))
-    times = (rows.select(*keys, "_slice", "_at", "packet_id").join(long_slices, [*keys, "_slice"])
-             .groupBy("gid", "few", F.col("_at").alias("at")).agg(F.min("packet_id").alias("id")))
-    many = times.where(~F.col("few")).select("gid", "at", "id", F.col("at").alias("exit"))
-    met = _folded(times.where("few"), gap).unionByName(_long_anchors(many, gap, levels).drop("exit"))
+        *keys, "_slice", way.alias("way"), F.to_json(group).alias("gid"), F.col("session.at").alias("head"))
+    times = (rows.select(*keys, "_slice", "_at", "packet_id").join(long_slices.drop("head"), [*keys, "_slice"])
+             .groupBy("gid", "way", F.col("_at").alias("at")).agg(F.min("packet_id").alias("id")))
+    many = times.where("way = 'blocks'").select("gid", "at", "id", F.col("at").alias("exit"))
+    met = _folded(times.where("way = 'few'"), gap).unionByName(_long_anchors(many, gap, levels).drop("exit"))
+    heads = long_slices.where("way = 'dense'").select("gid", F.col("head").alias("at")).distinct()
+    if not heads.isEmpty():
+        dense = written(times.where("way = 'dense'").drop("way"), "dense")
+        met = met.unionByName(dense.join(_dense_anchors(dense.drop("id"), heads, gap), ["gid", "at"], "left_semi"))
     fields = [packets.schema[k] for k in keys]
     key_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     met = met.select(F.from_json("gid", key_type).alias("g"), "at", "id")
