@@ -56,7 +56,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode_documents(table(spark, sf_dir, "documents"), PIECES).drop("ids")
+    return unigram.encode_documents(table(spark, sf_dir, "documents"), PIECES, with_ids=False)
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from skywarden.llm import words
 MARKER = "\u2581"
 PENALTY = 10.0
 LONG = 96
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 600_000  # some 150 bytes each
 CHUNK = re.compile(f"\n|{MARKER}+[^{MARKER}\n]*|[^{MARKER}\n]+")
 
 
@@ -153,7 +153,12 @@ def _ids(m: Model, text: bytes, starts: list[int], pieces: list[int]) -> list[in
 
 
 def viterbi_all(m: Model, texts: list[bytes]) -> list[list[int]]:
-    """Ids of many short chunks, all walked through the trie together."""
+    """Ids of many short chunks, as ``viterbi`` finds them for each."""
+    return [np.frombuffer(ids, "<u4").tolist() for ids in packed_ids(m, texts)]
+
+
+def packed_ids(m: Model, texts: list[bytes]) -> list[bytes]:
+    """Ids of many short chunks as little-endian 32-bit integers, all walked through the trie together."""
     sizes = np.array([len(t) for t in texts])
     width = int(sizes.max())
     text = np.zeros((len(texts), width), np.int32)
@@ -191,10 +196,28 @@ def viterbi_all(m: Model, texts: list[bytes]) -> list[list[int]]:
         better = score > best[r, to]
         r, to = r[better], to[better]
         best[r, to], start[r, to], piece[r, to] = score[better], at, -1
-    return [_ids(m, t, s, p) for t, s, p in zip(texts, start.tolist(), piece.tolist())]
+    return _traced(m, texts, sizes, start, piece)
+
+
+def _traced(m: Model, texts: list[bytes], sizes: np.ndarray, start: np.ndarray, piece: np.ndarray) -> list[bytes]:
+    """All chunks read back from their ends together; those with a character that has no piece one by one."""
+    every, at = np.arange(len(texts)), sizes.copy()
+    columns, odd = [], np.zeros(len(texts), bool)
+    while at.any():
+        found = np.where(at > 0, piece[every, at], -2)
+        odd |= found == -1
+        columns.append(found)
+        at = np.where(at > 0, start[every, at], 0)
+    ids = np.stack(columns[::-1], 1) if columns else np.zeros((len(texts), 0), np.int32)
+    ends = np.cumsum((ids > -2).sum(1)) * 4
+    flat = ids[ids > -2].astype("<u4").tobytes()
+    out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    for i in np.flatnonzero(odd):
+        out[i] = np.array(_ids(m, texts[i], start[i].tolist(), piece[i].tolist()), "<u4").tobytes()
+    return out
 
 
-MEMORY: dict[str, dict[str, np.ndarray]] = {}
+MEMORY: dict[str, dict[str, bytes]] = {}  # ids of a chunk as little-endian 32-bit integers
 
 
 def encode(path: str, texts: list[str | None]) -> list[np.ndarray]:
@@ -203,29 +226,35 @@ def encode(path: str, texts: list[str | None]) -> list[np.ndarray]:
     cut = [CHUNK.findall(MARKER + text.replace(" ", MARKER)) if text else [] for text in texts]
     if len(kept) >= CACHED_CHUNKS:
         kept.clear()
-    missing = sorted({c for chunks in cut for c in chunks if c not in kept}, key=len)
+    missing = sorted(set().union(*cut) - kept.keys(), key=len)
     short = [(c, b) for c in missing if len(b := c.encode("utf-8", "replace")) <= LONG]
     for c in missing:
         if len(b := c.encode("utf-8", "replace")) > LONG:
-            kept[c] = viterbi(m, b)
+            kept[c] = np.array(viterbi(m, b), "<u4").tobytes()
     for at in range(0, len(short), 8192):
         some = short[at:at + 8192]
-        for (c, _), ids in zip(some, viterbi_all(m, [b for _, b in some])):
+        for (c, _), ids in zip(some, packed_ids(m, [b for _, b in some])):
             kept[c] = ids
-    return [np.array([i for c in chunks for i in kept[c]], np.uint32) for chunks in cut]
+    return [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), "<u4") for chunks in cut]
+
+
+@lru_cache(maxsize=2)
+def _spelled(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    m = model(path)
+    return [bytes([m.kinds[i]]) if i in m.kinds else piece.encode() for i, piece in enumerate(m.pieces)]
 
 
 def decode(path: str, ids: list[int]) -> str:
     """Text of ids: bytes of pieces and of byte pieces, markers as spaces, without the leading one."""
-    m = model(path)
-    body = b"".join(bytes([m.kinds[i]]) if i in m.kinds else m.pieces[i].encode() for i in ids)
+    body = b"".join(map(_spelled(path).__getitem__, ids))
     return body.decode("utf-8", "replace").replace(MARKER, " ")[1:]
 
 
-RESULT = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean, ids array<int>"
+RESULT = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean"
 
 
-def _encoder(path: str):
+def _encoder(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte = np.zeros(len(model(path).pieces), bool)
         byte[list(model(path).kinds)] = True
@@ -234,21 +263,22 @@ def _encoder(path: str):
                 texts = some["text"].to_pylist()
                 ids = encode(path, texts)
                 same = [decode(path, i.tolist()) == (t or "").replace(MARKER, " ") for i, t in zip(ids, texts)]
-                whole = np.concatenate([np.zeros(0, np.uint32), *ids])
-                edges = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [some["doc_id"], pa.array([len(i) for i in ids], pa.int64()), pa.array([int(byte[i].sum()) for i in ids], pa.int64()),
-                     pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(same, pa.bool_()),
-                     pa.ListArray.from_arrays(edges, pa.array(whole.astype(np.int32)))],
-                    ["doc_id", "n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "ids"])
+                out = {"doc_id": some["doc_id"], "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                       "n_byte_tokens": pa.array([int(byte[i].sum()) for i in ids], pa.int64()),
+                       "ids_crc32": pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()), "round_trip": pa.array(same, pa.bool_())}
+                if with_ids:
+                    whole = np.concatenate([np.zeros(0, np.uint32), *ids])
+                    edges = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)]).astype(np.int32)
+                    out["ids"] = pa.ListArray.from_arrays(edges, pa.array(whole.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(out)
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip (do the ids decode to the text?), ids.
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, n_byte_tokens, ids_crc32, round_trip (do the ids decode to the text?), ids if wanted.
 
     A null or empty text has no ids. A marker character in a text decodes to a space. Rows are handled each for itself; other
     columns are not looked at.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encoder(path), RESULT)
+    return rows.mapInArrow(_encoder(path, with_ids), RESULT + (", ids array<int>" if with_ids else ""))
