@@ -2,23 +2,31 @@
 
 Both vocabularies split a text into words before they merge pairs, and no word reaches over the places where ``chunks``
 cuts. A chunk's ids are remembered, so that the library runs once for each distinct chunk in a worker's bounded memory
-and the ids equal those of the whole text. New chunks that begin with their only space are encoded many at a time: a byte-level
-vocabulary begins a new word there, so the ids that begin with a space tell the chunks apart.
+and the ids equal those of the whole text. A new chunk of Latin letters, with punctuation behind them at most, is always two words to
+either vocabulary, which go to the library's model without its general splitting. Of the others, those that begin with their
+only space are encoded many at a time: a byte-level vocabulary begins a new word there, so the ids that begin with a space tell
+the chunks apart.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 1_000_000
 GROUP = 512  # chunks encoded as one text
 SPACE = "\u0120"  # fixed value: how byte-level vocabularies write a space
 # fixed values: white space other than space and line feed
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+# letters of Latin-1, which no normalisation changes, then ASCII punctuation other than the apostrophe, which can begin a word
+PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+PRINTABLE = {*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)}
+# byte-level vocabularies write a printable byte as itself, and the others, in order, as the characters from 256 on
+WRITTEN = dict(zip((b for b in range(256) if b not in PRINTABLE), range(256, 512)))
 
 
 @lru_cache(maxsize=4)
@@ -71,6 +79,8 @@ class Encoder:
     def __init__(self, path: str, chunks: Callable[[str], list[str]]):
         self.path, self.chunks = path, chunks
         self.kept = Encoder.memories.setdefault(path, {"": b""})
+        self.model = tokenizer(path).model
+        self.endings = {"": b""}  # ids of punctuation behind letters
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one."""
@@ -88,12 +98,34 @@ class Encoder:
         return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
 
     def _learn(self, chunks: list[str]) -> None:
-        alone = self._learn_together(chunks) if self.chunks is space_chunks else chunks
+        others = self._learn_plain(chunks)
+        alone = self._learn_together(others) if self.chunks is space_chunks else others
         for at in range(0, len(alone), 4096):
             some = alone[at:at + 4096]
             for chunk, result in zip(some, self._results(some)):
                 self.kept[chunk] = array("I", result.ids).tobytes()
 
+    def _learn_plain(self, chunks: list[str]) -> list[str]:
+        """Learn chunks of letters and punctuation behind them from the model alone; the others are returned."""
+        others, kept, lower = [], self.kept, self.chunks is word_chunks
+        for chunk in chunks:
+            found = PLAIN.fullmatch(chunk)
+            if not found:
+                others.append(chunk)
+                continue
+            letters, ending = found.groups()
+            if ending not in self.endings:
+                if len(self.endings) >= 10_000:
+                    self.endings = {"": b""}
+                self.endings[ending] = self._word(ending)
+            own = kept.get(letters) or self._word(letters.lower() if lower else letters)
+            kept[chunk] = own + self.endings[ending]
+        return others
+
+    def _word(self, word: str) -> bytes:
+        written = word.encode().decode("latin-1").translate(WRITTEN)
+        return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
+
     def _learn_together(self, chunks: list[str]) -> list[str]:
         """Learn chunks with one space, in front, in groups; the others, and groups whose ids do not tell them apart, are returned."""
         led, alone = [], []

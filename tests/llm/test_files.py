@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skywarden.llm import html, store, tokenfile, tokens, unigram, warc
-from skywarden.llm.queries import PIECES, WORD_BPE
+from skywarden.llm.queries import BYTE_BPE, PIECES, WORD_BPE
 from test_documents import rows_of
 
 
@@ -26,6 +26,17 @@ def test_word_chunks_give_the_ids_of_the_whole_text():
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path, chunks", [(WORD_BPE, tokens.word_chunks), (BYTE_BPE, tokens.space_chunks)])
+def test_plain_words_have_the_ids_of_the_whole_text(path, chunks):
+    rng = random.Random(12)
+    letters = "abcXYZ" + "".join(map(chr, range(0xa0, 0x100)))
+    endings = ["", "", ".", ",", "&&&", "'s", "'", "~]", "_", "<|endoftext|>", "1", ".a", "\u0301", "\u00ad"]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(0, 6))) + rng.choice(endings) for _ in range(30)) for _ in range(400)]
+    whole = Tokenizer.from_file(path)
+    for text, ids in zip(texts, tokens.Encoder(path, chunks).encode(texts)):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files_hold_the_stream(messy, messy_rows, tmp_path):
     index = tokenfile.write_tokens(messy, f"file://{tmp_path}/t", WORD_BPE)
     found = rows_of(tokenfile.read_tokens(index), "doc_id", "start", "n_tokens", "ids_crc32")
