@@ -26,8 +26,7 @@ TOKENS = 2048
 SEGMENTS = 128
 END = 1
 PIECES = 20_000
-RESULT = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-          "loss_tokens long, ids array<int>")
+RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 def dot_product_fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> Iterator[list[tuple[int, int]]]:
@@ -124,7 +123,7 @@ def pack(ids: list[np.ndarray], loss: list[int], limits: tuple[int, int, int] =
             yield out
 
 
-def _packer(path: str, limits: tuple[int, int, int]):
+def _packer(path: str, limits: tuple[int, int, int], with_ids: bool):
     def packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = Encoder(path, space_chunks), TaskContext.get().partitionId() << 32
         held: list[tuple] = []
@@ -141,14 +140,14 @@ def _packer(path: str, limits: tuple[int, int, int]):
                     own = ids[example][start:start + n]
                     borne = max(0, start + n - max(start, len(ids[example]) - held[example][2]))
                     rows.append((held[example][0], start, n, zlib.crc32(own.astype("<u4").tobytes()), len(ids[example]), number,
-                                 offset, borne, own.astype(np.int32)))
+                                 offset, borne, own))
                     offset += n
                 number += 1
                 if len(rows) >= 2000:
-                    yield _batch(rows)
+                    yield _batch(rows, with_ids)
                     rows = []
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, with_ids)
             held.clear()
 
         for batch in batches:
@@ -166,17 +165,19 @@ def _packer(path: str, limits: tuple[int, int, int]):
     return packer
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
+def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    *cols, ids = zip(*rows)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
-    ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in cols[8]])]).astype(np.int32),
-                                   pa.array(np.concatenate(cols[8]), pa.int32()))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:8]), ids], [*names, "ids"])
+    arrays = [pa.array(c, pa.int64()) for c in cols]
+    if with_ids:
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ids).astype(np.int32))))
+    return pa.RecordBatch.from_arrays(arrays, [*names, "ids"] if with_ids else names)
 
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", loss_tokens: str | None = None,
-                   limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS)) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, ids.
+                   limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS), with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens and, if wanted, ids.
 
     Every token of every row, with the end id, lies in exactly one piece. A null text counts as empty: its only token is the
     end id. ``loss_tokens`` names a column with the number of loss-bearing tokens at an example's end (null: all).
@@ -184,4 +185,4 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """
     loss = F.col(loss_tokens).cast("long") if loss_tokens else F.lit(None).cast("long")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), loss.alias("loss_tokens"))
-    return rows.mapInArrow(_packer(path, limits), RESULT)
+    return rows.mapInArrow(_packer(path, limits, with_ids), f"{RESULT}, ids array<int>" if with_ids else RESULT)

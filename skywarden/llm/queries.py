@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE).drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, with_ids=False)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
