@@ -6,7 +6,7 @@ third of all documents hold reaches its bucket once for each block, however ofte
 block with one message in the order of the block's own question. Both steps are ordinary grouped maps, so a lost
 executor costs the recomputation of its partitions only.
 
-Count-min sketch: a block's sketch has two rows of cells; it is sent sparsely, as sorted cells with counts. The bucket
+Count-min sketch: a block's sketch has a row of cells for each hash it is given; it is sent sparsely, as sorted cells with counts. The bucket
 adds up the sketches of all blocks and answers with the total of each cell asked for. Totals never fall below the
 true count. The width follows the size of the input.
 """
@@ -36,14 +36,15 @@ class Layout:
     width: int
 
 
-def layout(df: DataFrame, text: str, bytes_per_item: float, block_bytes: int = BLOCK_BYTES, per_task: int = 2) -> Layout:
+def layout(df: DataFrame, text: str, bytes_per_item: float, block_bytes: int = BLOCK_BYTES, per_task: int = 2,
+           cells: int = CELLS_PER_ITEM) -> Layout:
     """Sizes from the total length of the texts; one narrow aggregate over the table. There are at least ``per_task`` blocks a task."""
     total = df.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(per_task * tasks, math.ceil(total / block_bytes))
     buckets = max(tasks, blocks // 4)
     items = total / bytes_per_item / buckets
-    return Layout(blocks, buckets, 1 << max(12, math.ceil(math.log2(CELLS_PER_ITEM * max(items, 1)))))
+    return Layout(blocks, buckets, 1 << max(12, math.ceil(math.log2(cells * max(items, 1)))))
 
 
 def block_of(key: Column, plan: Layout) -> Column:
@@ -82,17 +83,17 @@ def cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 class Sketch:
-    """A block's part of the sketch: items given by two hashes, each with how often the block counts it."""
+    """A block's part of the sketch: items given by a hash for each row, each with how often the block counts it."""
 
-    def __init__(self, plan: Layout, h1: np.ndarray, h2: np.ndarray):
-        self.bucket = ((h1 >> np.uint64(40)) % np.uint64(plan.buckets)).astype(np.int64)
+    def __init__(self, plan: Layout, *hashes: np.ndarray):
+        self.bucket = ((hashes[0] >> np.uint64(40)) % np.uint64(plan.buckets)).astype(np.int64)
         self.rows = []
-        for h in (h1, h2):
+        for h in hashes:
             place = (self.bucket.astype(np.uint64) << np.uint64(32)) | (h & np.uint64(plan.width - 1))
             self.rows.append(np.unique(place, return_inverse=True))
 
     def question(self, step: int, block: int, counts: np.ndarray) -> pa.Table:
-        """Cells and counts (255 stands for 255 and more) of either row, for each bucket."""
+        """Cells and counts (255 stands for 255 and more) of each row, for each bucket."""
         bodies: dict[int, list[bytes]] = {}
         for place, inverse in self.rows:
             total = np.minimum(np.bincount(inverse, counts, len(place)), 255).astype(np.uint8)
@@ -102,7 +103,7 @@ class Sketch:
         return messages([(step, block, bucket, parts) for bucket, parts in bodies.items()])
 
     def estimates(self, answers: dict[int, list[bytes]]) -> np.ndarray:
-        """The least total of an item's two cells; never below the true total (up to 255)."""
+        """The least total of an item's cells; never below the true total (up to 255)."""
         out = None
         for row, (place, inverse) in enumerate(self.rows):
             total = np.zeros(len(place), np.uint8)
@@ -119,7 +120,7 @@ def merge_sketches(step: int, width: int) -> Callable[[pa.Table], pa.Table]:
     def merge(table: pa.Table) -> pa.Table:
         asked = list(zip(table["block"].to_pylist(), table["bucket"].to_pylist(), table["parts"].to_pylist()))
         replies: list[list[bytes]] = [[] for _ in asked]
-        for row in (0, 1):
+        for row in range(len(asked[0][2]) // 2):
             total = np.zeros(width, np.uint8)
             for _, _, parts in asked:
                 cells, counts = unpacked(parts[2 * row]), np.frombuffer(zstandard.decompress(parts[2 * row + 1]), np.uint8)

@@ -44,7 +44,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeated_strings(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.remove_repeated_strings(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ Sorting all suffixes would exchange many times the input, so only suffixes that
 3. What remains are runs of strings at anchors. Their suffixes, from the anchor on and with the bytes to its left, are sorted in
    each block and sent as front-coded runs to the bucket of the anchor's ``SPAN`` bytes. The bucket merges runs with a loser tree
    that compares two suffixes only behind the prefix they are known to share. Neighbours that share enough bytes form groups,
-   in which equal strings are found by comparing their bytes.
+   in which equal strings are found by comparing their bytes. A run takes its places in the block along and brings them back
+   with the verdict, so the block that removes bytes need not look for anchors again.
 
 Sketches only ever drop strings that occur once; what is removed was compared byte by byte. Equal suffixes of a block travel
 once with their number, so a passage that a third of all documents hold reaches its bucket once for each block.
@@ -35,8 +36,9 @@ LENGTH = 200
 SPAN = 100
 GRAM = 8
 BYTES_PER_STRING = 4  # at repeated anchors only
+CELLS = 32  # for each item of a sketch; they are one row, as what passes by chance is compared later anyway
 BLOCK_BYTES = 2 << 20  # a block's arrays take some hundred bytes for each byte of text
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 TABLE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), 11) for b in range(256)], np.uint64)
 BASE = 0x9E3779B97F4A7C15
 
@@ -77,22 +79,28 @@ def sliding_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-class Strings:
-    """Strings of a block: where they start, the anchor of each, and hashes."""
+class Texts:
+    """Texts of a block as one buffer, in an order that does not depend on how rows arrive: by identifier, then by text."""
 
     def __init__(self, table: pa.Table):
         ids = W.ids_of(table["doc_id"])
-        self.order = np.argsort(ids, kind="stable")
-        texts = W.column_bytes(table["text"])
-        self.ids = ids[self.order]
-        self.texts = [texts[i] or b"" for i in self.order]
+        texts = [text or b"" for text in W.column_bytes(table["text"])]
+        order = sorted(range(len(ids)), key=list(zip(ids.tolist(), texts)).__getitem__)
+        self.ids = ids[order]
+        self.texts = [texts[i] for i in order]
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.data = b"".join(self.texts)
+
+
+class Strings(Texts):
+    """Strings of a block: where they start, the anchor of each, and hashes."""
+
+    def __init__(self, table: pa.Table):
+        super().__init__(table)
         raw = np.frombuffer(self.data, np.uint8)
         n = len(raw)
-        end = np.repeat(self.ends, self.lengths)
-        self.starts = np.flatnonzero(np.arange(n) + LENGTH <= end)
+        self.starts = np.flatnonzero(np.arange(n) + LENGTH <= np.repeat(self.ends, self.lengths))
         self.hashes = Hashes(raw)
         if not len(self.starts):
             self.anchor_of, self.anchors = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -113,23 +121,19 @@ class Strings:
         return self.hashes.of(self.anchors, SPAN)
 
 
-def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return h, W.mix(h.copy())
-
-
 class Found:
     """What a block knows after the answers so far."""
 
     def __init__(self, plans: tuple[B.Layout, B.Layout], table: pa.Table, answers: pa.Table | None, steps: int):
         self.strings = s = Strings(table)
         self.anchor_hash = s.anchor_hashes()
-        self.first = B.Sketch(plans[0], *_halves(self.anchor_hash))
+        self.first = B.Sketch(plans[0], self.anchor_hash)
         if steps < 1:
             return
         hot = self.first.estimates(B.received(answers, 1)) >= 2 if len(s.anchors) else np.zeros(0, bool)
         some = np.flatnonzero(hot[s.anchor_of]) if len(s.starts) else np.zeros(0, np.int64)
         self.starts, self.anchor_of = s.starts[some], s.anchor_of[some]
-        self.second = B.Sketch(plans[1], *_halves(s.hashes.of(self.starts, LENGTH)))
+        self.second = B.Sketch(plans[1], s.hashes.of(self.starts, LENGTH))
         if steps < 2:
             return
         if len(some):
@@ -252,7 +256,7 @@ def _decide(table: pa.Table) -> pa.Table:
     for _, _, parts in asked:
         runs.append((np.frombuffer(parts[0], np.uint16).tolist(), _split(parts[1], parts[2])))
         lefts.append(_split(parts[3], parts[4]))
-        numbers.append(np.frombuffer(parts[5], np.uint32).tolist())
+        numbers.append(B.unpacked(parts[5]).tolist())
         verdicts.append([None] * len(lefts[-1]))
     group: list[tuple[int, int, bytes]] = []
 
@@ -267,8 +271,9 @@ def _decide(table: pa.Table) -> pa.Table:
         group.append((run, i, suffix))
     if group:
         close()
-    return B.messages([(3, block, bucket, [np.packbits(np.array([f for flags in own for f in flags], bool)).tobytes()])
-                       for (block, bucket, _), own in zip(asked, verdicts)])
+    return B.messages([(3, block, bucket, [np.packbits(np.array([f for flags in own for f in flags], bool)).tobytes(),
+                                           B.packed(np.array([len(flags) for flags in own])), *parts[5:]])
+                       for (block, bucket, parts), own in zip(asked, verdicts)])
 
 
 def _ask(plans: tuple[B.Layout, B.Layout], step: int):
@@ -280,43 +285,49 @@ def _ask(plans: tuple[B.Layout, B.Layout], step: int):
             return found.first.question(1, block, np.ones(len(found.anchor_hash)))
         if step == 2:
             return found.second.question(2, block, np.ones(len(found.starts)))
-        rows = []
+        rows, first = [], found.starts[found.run_at].tolist()
         for bucket, runs in found.runs.items():
             keys = sorted(runs)
             shared, rests = front_coded([k[0] for k in keys])
             rows.append((3, block, bucket, [np.array(shared, np.uint16).tobytes(), *_body(rests), *_body([k[1] for k in keys]),
-                                            np.array([len(runs[k]) for k in keys], np.uint32).tobytes()]))
+                                            B.packed(np.array([len(runs[k]) for k in keys])),
+                                            B.packed(np.array([first[i] for k in keys for i in runs[k]]))]))
         return B.messages(rows)
     return (lambda table: ask(table)) if step == 1 else ask
 
 
-def _remove(plans: tuple[B.Layout, B.Layout]):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+def _stretches(flags: bytes, sizes: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of repeated strings begin in the block, and their numbers of strings, from a bucket's reply.
+
+    Suffix k has ``sizes[k]`` flags, and ``counts[k]`` places where its first string starts.
+    """
+    size, count, place = (B.unpacked(x).astype(np.int64) for x in (sizes, counts, places))
+    flag = np.unpackbits(np.frombuffer(flags, np.uint8), count=size.sum()).astype(bool)
+    start = np.cumsum(size) - size
+    edge = np.zeros(len(flag) + 1, bool)  # a suffix begins here
+    edge[start] = edge[-1] = True
+    begin = np.flatnonzero(flag & (edge[:-1] | ~np.append(False, flag[:-1])))
+    end = np.flatnonzero(flag & (edge[1:] | ~np.append(flag[1:], False))) + 1
+    suffix = np.repeat(np.arange(len(size)), size)[begin]
+    times = count[suffix]
+    at = np.repeat((np.cumsum(count) - count)[suffix], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return place[at] + np.repeat(begin - start[suffix], times), np.repeat(end - begin, times)
+
+
+def _remove(with_kept: bool):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[:5 + with_kept]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:5 + with_kept]
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        found = Found(plans, table, answers, 2)
-        s, replies = found.strings, B.received(answers, 3)
+        s = Texts(table)
         n = len(s.data)
         edge = np.zeros(n + 1, np.int32)
-        first = found.starts[found.run_at].tolist()
-        for bucket, runs in found.runs.items():
-            keys = sorted(runs)
-            sizes = [len(a) + len(b) - LENGTH + 1 for a, b in keys]
-            flags = np.unpackbits(np.frombuffer(replies[bucket][0], np.uint8), count=sum(sizes)).astype(bool)
-            at = 0
-            for key, size in zip(keys, sizes):
-                mine = flags[at:at + size]
-                at += size
-                # stretches of repeated strings, as offsets from the run's first string
-                turns = np.flatnonzero(np.diff(mine, prepend=False, append=False)).tolist() if not mine.all() else (0, size)
-                for run in runs[key]:
-                    start = first[run]
-                    for a, b in zip(turns[::2], turns[1::2]):
-                        edge[start + a] += 1
-                        edge[start + b - 1 + LENGTH] -= 1
+        for parts in B.received(answers, 3).values():
+            begin, strings = _stretches(*parts)
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + strings - 1 + LENGTH, -1)
         gone = np.cumsum(edge[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -328,24 +339,25 @@ def _remove(plans: tuple[B.Layout, B.Layout]):
             mine = gone[end - size:end]
             removed = int(mine.sum())
             kept = text if not removed else raw[end - size:end][~mine].tobytes()
-            rows.append((size, removed, int(begins[end - size:end].sum()), hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((size, removed, int(begins[end - size:end].sum()), hashlib.sha256(kept).hexdigest(), kept)[:4 + with_kept])
         cols = [W.nullable(s.ids), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:]))]
         return pa.table(cols, names)
     return remove
 
 
-def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the remaining bytes).
+def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if wanted, kept (the
+    remaining bytes).
 
     A null text counts as empty. Texts shorter than ``LENGTH`` bytes stay whole. Rows that repeat an identifier repeat
     each other's strings. Strings are judged on the input, not on what is left. Other columns are not looked at. A document's
     text must fit in a task's memory several times over.
     """
-    first = B.layout(docs, text, SPAN / 2, BLOCK_BYTES, 1)
-    plans = (first, B.layout(docs, text, BYTES_PER_STRING, BLOCK_BYTES, 1))
+    first = B.layout(docs, text, SPAN / 2, BLOCK_BYTES, 1, CELLS)
+    plans = (first, B.layout(docs, text, BYTES_PER_STRING, BLOCK_BYTES, 1, CELLS))
     texts = docs.select(B.block_of(F.col(doc_id), first), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     one = B.answered(texts.groupBy("block").applyInArrow(_ask(plans, 1), B.MESSAGE), B.merge_sketches(1, plans[0].width))
     two = B.answered(B.with_messages(texts, one, _ask(plans, 2), B.MESSAGE), B.merge_sketches(2, plans[1].width))
     both = one.unionByName(two)
     three = B.answered(B.with_messages(texts, both, _ask(plans, 3), B.MESSAGE), _decide)
-    return B.with_messages(texts, both.unionByName(three), _remove(plans), RESULT)
+    return B.with_messages(texts, three, _remove(with_kept), f"{RESULT}, kept binary" if with_kept else RESULT)

@@ -85,3 +85,36 @@ def test_hashes_and_minima():
     x = np.random.default_rng(1).integers(0, 1 << 62, 1003).astype(np.uint64)
     for w in (1, 7, 100):
         assert suffix.sliding_minima(x, w).tolist() == [int(x[i:i + w].min()) for i in range(len(x) - w + 1)]
+
+
+def test_rows_that_repeat_an_identifier_and_kept_bytes(spark):
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(260))
+    rows = [(i % 3 if i % 4 else None, "".join(rng.choice("xyz ") for _ in range(rng.randrange(90))) + shared[:200 + i] + "é" * (i % 5)) for i in range(40)]
+    found = suffix.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert rows_of(found, *NAMES) == plain(rows)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found.collect())
+
+
+def test_stretches_of_a_reply():
+    flags = [True, True, False, True, True, True, False]  # two suffixes of four and three strings
+    reply = [np.packbits(np.array(flags)).tobytes(), *(suffix.B.packed(np.array(x)) for x in ([4, 3], [2, 1], [500, 10, 90]))]
+    begin, strings = suffix._stretches(*reply)
+    assert sorted(zip(begin.tolist(), strings.tolist())) == [(10, 2), (13, 1), (90, 2), (500, 2), (503, 1)]
+
+
+def test_sketches_of_one_row_never_estimate_too_low():
+    rng = np.random.default_rng(3)
+    plan, truth, asked = suffix.B.Layout(3, 2, 64), Counter(), []
+    for block in range(3):
+        h = suffix.W.mix(rng.integers(0, 300, 400).astype(np.uint64))
+        truth.update(h.tolist())
+        sketch = suffix.B.Sketch(plan, h)
+        asked.append((h, sketch, sketch.question(1, block, np.ones(len(h)))))
+    sent = suffix.pa.concat_tables([t for _, _, t in asked])
+    for block, (h, sketch, _) in enumerate(asked):
+        answers = {}
+        for bucket in range(2):
+            reply = suffix.B.merge_sketches(1, plan.width)(sent.filter(suffix.pa.compute.equal(sent["bucket"], bucket)))
+            answers |= suffix.B.received(reply.filter(suffix.pa.compute.equal(reply["block"], block)), 1)
+        assert all(n >= truth[x] for x, n in zip(h.tolist(), sketch.estimates(answers).tolist()))
