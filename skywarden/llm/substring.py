@@ -2,8 +2,9 @@
 
 Every run of ``size`` consecutive words of a document is a window. A first pass sends a sketch of each block's windows;
 the merged sketch overestimates in how many documents a window occurs. A second pass exactly groups only windows
-estimated to occur at least twice, by a 128-bit hash, and finds the smallest document that holds each; the sketch loses
-none. Words covered by a window that also starts in a document with a smaller identifier are removed.
+estimated to occur at least twice, by 128 bits from two independent hashes of each word, and finds the smallest document
+that holds each; the sketch loses none. Words covered by a window that also starts in a document with a smaller identifier
+are removed.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ class Windows:
         texts = W.column_bytes(table["text"])
         self.ids, self.order, self.texts = ids[order], order, [texts[i] for i in order]
         self.words, self.lengths = W.split(self.texts)
-        h = W.hashes(self.words)
+        pair = W.hash_pairs(self.words)
         self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
-        n = max(len(h) - size + 1, 0)
-        self.at = np.flatnonzero(self.doc[:n] == self.doc[len(h) - n:]) if n else np.zeros(0, np.int64)
-        h1, h2 = (W.window_hashes(h, size, seed)[self.at] for seed in (1, 2))
+        n = max(len(self.words) - size + 1, 0)
+        self.at = np.flatnonzero(self.doc[:n] == self.doc[len(self.words) - n:]) if n else np.zeros(0, np.int64)
+        h1, h2 = (W.window_hashes(h, size, seed)[self.at] for seed, h in enumerate(pair, 1))
         by = np.argsort(h1, kind="stable")
         h1, h2, owner = h1[by], h2[by], self.ids[self.doc[self.at[by]]]
         first = np.ones(len(by), bool)

@@ -33,6 +33,7 @@ class Cache(dict):
 
 
 HASHES = Cache(xxhash.xxh3_64_intdigest)
+DIGESTS = Cache(xxhash.xxh3_128_digest)
 
 
 def split(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
@@ -45,6 +46,11 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def hash_pairs(words: list[bytes]) -> np.ndarray:
+    """The two halves of a 128-bit hash of each word, as two arrays."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(map(DIGESTS.__getitem__, words)), np.uint64).reshape(-1, 2).T)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread all bits of a 64-bit value over all bits (in place)."""
     x ^= x >> np.uint64(32)

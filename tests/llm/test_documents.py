@@ -5,11 +5,12 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skywarden.llm import blocks, exact, ngram_join, packing, quality, substring, tokens
+from skywarden.llm import blocks, exact, ngram_join, packing, quality, substring, tokens, words
 from skywarden.llm.queries import BYTE_BPE
 
 
@@ -22,6 +23,19 @@ def test_substring_removes_what_brute_force_removes(messy, messy_rows):
     assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.order(brute.substring(messy_rows))
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_words_whose_hashes_agree_in_one_half_are_different(monkeypatch, half):
+    digest = words.DIGESTS.function
+    monkeypatch.setattr(words, "DIGESTS", words.Cache(lambda w: bytes(8) + digest(w)[8:] if half == 0 else digest(w)[:8] + bytes(8)))
+    table = pa.table({"doc_id": [1, 2, 3], "text": [" ".join(f"{c}{i % 40}" for i in range(60)) for c in "aba"]})
+    found = substring.Windows(table, 13)
+    content: dict = {}
+    for which, at in zip(found.distinct.tolist(), found.at.tolist()):
+        content.setdefault(which, set()).add(tuple(found.words[at:at + 13]))
+    assert all(len(same) == 1 for same in content.values())
+    assert len(set().union(*content.values())) == 80
+
+
 def test_substring_keeps_columns_and_untouched_texts(messy, messy_rows):
     rows = substring.without_repeats(messy)
     assert rows.columns == messy.columns
