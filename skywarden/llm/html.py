@@ -10,8 +10,10 @@ article have a larger one, which decides nothing alone.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from html import unescape
 
 import numpy as np
@@ -138,6 +140,34 @@ def pieces_of(html: str) -> tuple[list[tuple[Element, int, str]], list[Element]]
     return found, elements
 
 
+def forget_wrappers(found: list[tuple[Element, int, str]], elements: list[Element]) -> None:
+    """Names that leave nothing say nothing: the largest of the outermost named elements loses its name until text is left."""
+    near: dict[Element, Element | None] = {elements[0]: None}  # the innermost named element around, itself included
+    inner: dict[Element | None, list[Element]] = {None: []}
+    for e in elements[1:]:
+        near[e] = near[e.up]
+        if e.named:
+            inner[near[e]].append(e)
+            near[e], inner[e] = e, []
+    own = dict.fromkeys(inner, 0)
+    for e, _, text in found:
+        if not e.outside:
+            own[near[e]] += len(text.strip())
+    size = dict(own)
+    for e in reversed(elements[1:]):
+        if e.named:
+            size[near[e.up]] += size[e]
+    heap: list[tuple[int, int, Element]] = []
+    order, last = itertools.count(), None
+    while not own[last]:
+        for e in inner[last]:
+            heappush(heap, (-size[e], next(order), e))
+        if not heap:
+            return
+        last = heappop(heap)[2]
+        last.named = False
+
+
 def nodes_of(html: str) -> tuple[list[Node], list[Element]]:
     """Blocks with text, in page order, and all elements, outer ones first."""
     found, elements = pieces_of(html)
@@ -148,8 +178,12 @@ def nodes_of(html: str) -> tuple[list[Node], list[Element]]:
         around.add(e)
         e = e.up
     for e in elements[1:]:
-        e.outside = e.outside or e.up.outside or e.named and e not in around
-    if not any(text.strip() and not e.outside for e, _, text in found):  # names that leave nothing say nothing
+        e.named = e.named and e not in around
+        e.outside = e.outside or e.up.outside
+    forget_wrappers(found, elements)
+    for e in elements[1:]:
+        e.outside = e.outside or e.up.outside or e.named
+    if not any(text.strip() and not e.outside for e, _, text in found):
         for e, outside in zip(elements, by_tag):
             e.outside = outside
     blocks: dict[tuple[int, bool], tuple[Element, list[str]]] = {}
