@@ -38,7 +38,16 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def without(docs: DataFrame, doc_id: str, verdicts: DataFrame) -> DataFrame:
+    """The documents less those that ``verdicts`` (doc_id, kept) drops in each of their rows, with their own columns.
+
+    What is dropped is the shorter list; while Spark can broadcast it, no text is moved.
+    """
+    gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("kept")).where("not kept").select("_gone")
+    gone = written(gone, "gone")
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with their own columns."""
-    keep = written(mark_copies(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_keep")).distinct(), "kept")
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
+    return without(docs, doc_id, mark_copies(docs, doc_id, text).select("doc_id", "kept"))

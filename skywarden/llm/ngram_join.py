@@ -2,10 +2,11 @@
 
 A document's set holds its distinct word shingles as 64-bit hashes; equal sets are one representative. Sets that reach
 similarity t share at least ceil(t * n) shingles, so under any common order of shingles, here rarest first, their first
-n - ceil(t * n) + k shingles have k in common. Small sets enumerate the 2-subsets of that prefix (k = 2) and meet in
-equal subsets; large sets, and small ones near the boundary, look up the inverted lists of their prefix (k = 1). Shingles
-known to be in one set only open no list. The boundary between small and large is the size with the least estimated cost,
-subsets written below it plus list entries read above it.
+n - ceil(t * n) + k shingles have k in common. First all sets look up the inverted lists of their prefix (k = 1); shingles
+known to be in one set only open no list. Where members of a list are still apart after that, small sets enumerate the
+2-subsets of their prefix (k = 2) and meet in equal subsets, and large sets meet in the lists. The boundary between small
+and large is the size with the least cost, subsets written below it plus pairs of list members still apart above it; these
+pairs are counted, as a list's length says nothing about them: near copies fill long lists and link to the first of them.
 
 Counts come from a count-min sketch of all sets (``blocks``); they order shingles and skip those of a single set. An
 estimate is the same for all sets that hold the shingle and never too low, so no link is lost.
@@ -22,11 +23,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skywarden.llm import blocks as B
 from skywarden.llm import words as W
 from skywarden.llm.components import components
+from skywarden.llm.exact import without
 from skywarden.session import written
 
 PERCENT = 90  # contract of op3
@@ -111,20 +113,18 @@ def _prefixes(plan: B.Layout, size: int, percent: int):
                 one, two = rank[:max(spare + 1 - single, 0)], rank[:max(spare + 2 - single, 0)]
                 if not len(one) and len(two) < 2:
                     continue
-                # a row written, shuffled and sorted for each entry or subset; an entry also meets its list
-                scan = float(len(one) + mine[one].astype(np.int64).sum())
-                rows.append((rep, n, single, own[one].tobytes(), own[two].tobytes(), scan, float(len(two) * (len(two) - 1) / 2), own.tobytes()))
-        cols = list(zip(*rows)) if rows else [[] for _ in range(8)]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary())
-        names = ("rep", "n", "single", "one", "two", "scan_cost", "subset_cost", "body")
+                rows.append((rep, n, single, own[one].tobytes(), own[two].tobytes(), float(len(two) * (len(two) - 1) / 2), own.tobytes()))
+        cols = list(zip(*rows)) if rows else [[] for _ in range(7)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.binary())
+        names = ("rep", "n", "single", "one", "two", "subset_cost", "body")
         return pa.table({name: pa.array(col, kind) for name, col, kind in zip(names, cols, kinds)})
     return prefixes
 
 
-def boundary(prefixes: DataFrame) -> int:
-    """Largest size of a small set: the cut of the size histogram with the least total cost."""
+def boundary(costs: DataFrame) -> int:
+    """Largest size of a small set: the cut of the size histogram (n, scan_cost, subset_cost of each set) with the least total cost."""
     size_class = F.floor(CLASSES * F.log2("n")).cast("int").alias("size_class")
-    rows = (prefixes.groupBy(size_class).agg(F.max("n").alias("n"), F.sum("scan_cost").alias("scan"), F.sum("subset_cost").alias("subset"))
+    rows = (costs.groupBy(size_class).agg(F.max("n").alias("n"), F.sum("scan_cost").alias("scan"), F.sum("subset_cost").alias("subset"))
             .orderBy("size_class").collect())  # at most CLASSES rows for each doubling of a set's size
     best, cut = sum(r.scan for r in rows), 0
     for i, row in enumerate(rows):
@@ -134,53 +134,85 @@ def boundary(prefixes: DataFrame) -> int:
     return cut
 
 
-def _keys(cut: int, percent: int):
-    """(kind, key, rep, n, r): kind 2 for subsets of small sets, 1 for list entries.
+def _entries(rep: int, n: int, single: int, one: bytes):
+    """A row for each shingle of the prefix."""
+    key = np.frombuffer(one, np.int64)
+    yield key, rep, n, n - single - np.arange(len(key))
+
+
+def _subsets(rep: int, n: int, single: int, two: bytes):
+    """Rows of all pairs of the prefix, a bounded number at once."""
+    h = np.frombuffer(two, np.uint64)
+    step = max(1, ROWS // max(len(h), 1))
+    for start in range(0, len(h) - 1, step):
+        i = np.arange(start, min(start + step, len(h) - 1))
+        times = len(h) - 1 - i
+        first = np.repeat(i, times)
+        j = np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times) + first + 1
+        low, high = np.minimum(h[first], h[j]), np.maximum(h[first], h[j])
+        yield W.mix(W.mix(low.copy()) + high * PAIR).view(np.int64), rep, n, n - single - j + 1
+
+
+def _keys(rows_of, prefix: str):
+    """(key, rep, n, r) from the prefix column of that name.
 
     ``r`` bounds the overlap of two sets whose first common shingles are the key: what lies before them is not common.
     """
 
-    def subsets(h: np.ndarray, rep: int, n: int, single: int):
-        """Rows of all pairs of ``h``, a bounded number at once."""
-        step = max(1, ROWS // max(len(h), 1))
-        for start in range(0, len(h) - 1, step):
-            i = np.arange(start, min(start + step, len(h) - 1))
-            times = len(h) - 1 - i
-            first = np.repeat(i, times)
-            j = np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times) + first + 1
-            low, high = np.minimum(h[first], h[j]), np.maximum(h[first], h[j])
-            yield 2, W.mix(W.mix(low.copy()) + high * PAIR).view(np.int64), rep, n, n - single - j + 1
-
-    def entries(batch: pa.RecordBatch):
-        for rep, n, single, one, two in zip(*(batch[c].to_pylist() for c in ("rep", "n", "single", "one", "two"))):
-            if n <= cut:
-                yield from subsets(np.frombuffer(two, np.uint64), rep, n, single)
-            if (n > cut or 100 * n >= percent * cut) and one:
-                key = np.frombuffer(one, np.int64)
-                yield 1, key, rep, n, n - single - np.arange(len(key))
-
     def flushed(parts: list[tuple]) -> pa.RecordBatch:
-        size = [len(part[1]) for part in parts]
-        kind, rep, n = (np.repeat([part[at] for part in parts], size) for at in (0, 2, 3))
-        key, r = (np.concatenate([part[at] for part in parts]) for at in (1, 4))
+        size = [len(part[0]) for part in parts]
+        rep, n = (np.repeat([part[at] for part in parts], size) for at in (1, 2))
+        key, r = (np.concatenate([part[at] for part in parts]) for at in (0, 3))
         return pa.RecordBatch.from_arrays(
-            [pa.array(x, k) for x, k in zip((kind, key, rep, n, r), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-            ["kind", "key", "rep", "n", "r"])
+            [pa.array(x, k) for x, k in zip((key, rep, n, r), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "rep", "n", "r"])
 
     def keys(batches):
         for batch in batches:
             parts, rows = [], 0
-            for part in entries(batch):
-                parts.append(part)
-                rows += len(part[1])
-                if rows >= ROWS:
-                    yield flushed(parts)
-                    parts, rows = [], 0
+            for row in zip(*(batch[c].to_pylist() for c in ("rep", "n", "single", prefix))):
+                for part in rows_of(*row):
+                    parts.append(part)
+                    rows += len(part[0])
+                    if rows >= ROWS:
+                        yield flushed(parts)
+                        parts, rows = [], 0
             if parts:
                 yield flushed(parts)
     return keys
 
 
+def _listed(prefixes: DataFrame, rows_of, prefix: str) -> DataFrame:
+    return written(prefixes.select("rep", "n", "single", prefix).mapInArrow(
+        _keys(rows_of, prefix), "key long, rep long, n int, r int"), "entries")
+
+
+def _stars(entries: DataFrame, fits: Column) -> DataFrame:
+    """Pairs of a list's smallest member and another one."""
+    heads = entries.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("n_a"),
+                                       F.min_by("r", "rep").alias("r_a"))
+    heads = written(heads.where("a <> last").select("key", "a", "n_a", "r_a"), "heads")
+    return (entries.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b")).join(heads, "key")
+            .where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct())
+
+
+def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of lists with members in different components: key, rep, n, r, component, others (entries of the list in other components)."""
+    named = (entries.join(labels, entries.rep == labels.node, "left")
+             .select("key", "rep", "n", "r", F.coalesce("component", "rep").alias("component")))
+    named = written(named, "named")
+    own = written(named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own")), "own")
+    lists = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("own").alias("listed"))
+    own = written(own.join(written(lists.where("low <> high").select("key", "listed"), "apart"), "key"), "own")
+    return written(named.join(own.select("key", "component", (F.col("listed") - F.col("own")).alias("others")), ["key", "component"]), "members")
+
+
+def _rest(members: DataFrame, fits: Column) -> DataFrame:
+    """Pairs of members of one list in different components."""
+    left, right = (members.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "r", "component"))) for s in "ab")
+    return (left.join(right, "key").where((F.col("component_a") < F.col("component_b")) & fits)
+            .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
+
+
 def _verify(percent: int):
     def verify(batches):
         for batch in batches:
@@ -222,32 +254,26 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         B.merge_sketches(1, plan.width))
     told = totals.unionByName(chosen, allowMissingColumns=True)
     prefixes = written(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        _prefixes(plan, size, percent), "rep long, n int, single int, one binary, two binary, scan_cost double, subset_cost double, body binary"), "prefixes")
+        _prefixes(plan, size, percent), "rep long, n int, single int, one binary, two binary, subset_cost double, body binary"), "prefixes")
     sets = prefixes.select("rep", "body")
-    entries = written(prefixes.select("rep", "n", "single", "one", "two").mapInArrow(
-        _keys(boundary(prefixes), percent), "kind int, key long, rep long, n int, r int"), "entries")
-
-    heads = entries.groupBy("kind", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.min_by("n", "rep").alias("n_a"),
-                                              F.min_by("r", "rep").alias("r_a"))
-    heads = written(heads.where("a <> last").select("kind", "key", "a", "n_a", "r_a"), "heads")
     fits = F.expr(f"{100 + percent} * least(r_a, r_b) >= {percent} * (n_a + n_b)")
-    stars = (entries.select("kind", "key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b")).join(heads, ["kind", "key"])
-             .where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct())
-    links = written(_linked(stars, sets, percent), "links")
-    labels = components(links)
 
-    # what is still apart: members of one list in different components
-    named = (entries.join(labels, entries.rep == labels.node, "left")
-             .select("kind", "key", "rep", "n", "r", F.coalesce("component", "rep").alias("component")))
-    named = written(named, "named")
-    apart = (named.groupBy("kind", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low <> high").select("kind", "key"))
-    apart = written(named.join(written(apart, "apart"), ["kind", "key"]), "members")
-    left, right = (apart.select("kind", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "r", "component"))) for s in "ab")
-    rest = (left.join(right, ["kind", "key"]).where((F.col("component_a") < F.col("component_b")) & fits)
-            .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
+    entries = _listed(prefixes, _entries, "one")
+    links = written(_linked(_stars(entries, fits), sets, percent), "links")
+    members = _apart(entries, components(links))
+    scan = members.groupBy("rep").agg((F.sum("others") / 2).alias("scan_cost"))  # a pair is made once
+    cut = boundary(prefixes.select("rep", "n", "subset_cost").join(written(scan, "scan"), "rep"))
+    if cut:  # sets up to the cut meet in subsets; in the lists only pairs with a larger set are left
+        small = prefixes.where(F.col("n") <= cut).join(members.select("rep").distinct(), "rep", "left_semi")
+        subsets = _listed(small, _subsets, "two")
+        links = written(links.unionByName(_linked(_stars(subsets, fits), sets, percent)), "links")
+        labels = components(links)
+        members = _apart(entries.where(100 * F.col("n") >= percent * cut), labels)
+        rest = _rest(_apart(subsets, labels), fits).union(_rest(members, fits & (F.greatest("n_a", "n_b") > cut))).distinct()
+    else:
+        rest = _rest(members, fits)
     more = written(_linked(rest, sets, percent), "links")
-    final = written(components(links.select("a", "b").unionByName(more)), "components")
+    final = written(components(links.unionByName(more)), "components")
 
     smallest = reps.join(final, reps.rep == final.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = every.join(written(smallest, "smallest"), "digest", "left")
@@ -259,6 +285,4 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                       percent: int = STAGE_PERCENT) -> DataFrame:
     """The documents without those that link to a smaller one; columns as they were."""
     found = link_components(docs, doc_id, text, size, percent)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    keep = written(keep, "kept")
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep["_keep"]), "left_semi")
+    return without(docs, doc_id, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))

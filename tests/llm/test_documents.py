@@ -205,3 +205,39 @@ def test_grouped_chunks_have_the_ids_of_whole_texts(monkeypatch):
         monkeypatch.setattr(tokens.Encoder, "memories", {})
         for text, ids in zip(texts, tokens.Encoder(BYTE_BPE, tokens.space_chunks).encode(texts)):
             assert ids.tolist() == tokens.tokenizer(BYTE_BPE).encode(text, add_special_tokens=False).ids
+
+
+def test_near_copies_write_no_more_than_their_prefixes(spark, monkeypatch):
+    """Long lists of near copies link to their first member: they are no reason to write subsets, whose number is a square."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for doc in range(60):
+        own = list(base)
+        for at in rng.sample(range(300), 2):
+            own[at] = f"own{doc}x{at}"
+        rows.append((doc, " ".join(own)))
+    sizes = []
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, put=ngram_join.written: _counted(put(df, name), name, sizes))
+    found = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute.order(brute.components(rows, 80, 5))
+    assert 0 < sum(sizes) <= 60 * 61
+
+
+def _counted(df, name, sizes):
+    if name == "entries":
+        sizes.append(df.count())
+    return df
+
+
+def test_lists_whose_members_stay_apart_bring_subsets(spark, monkeypatch):
+    """One long phrase in many texts that do not link: pairs of list members outnumber subsets, so small sets meet in subsets."""
+    phrase = [f"p{i}" for i in range(12)]
+    rows = [(doc, " ".join([f"a{doc}", *phrase, f"z{doc}"])) for doc in range(80)]
+    rows += [(100 + doc, " ".join([f"a{doc}", *phrase, f"z{doc}", f"end{doc}"])) for doc in range(0, 80, 7)]
+    rows += [(200 + doc, " ".join([*phrase, *(f"long{i}" for i in range(60)), f"z{doc}", f"y{doc}"])) for doc in range(5)]
+    cuts = []
+    monkeypatch.setattr(ngram_join, "boundary", lambda costs, take=ngram_join.boundary: cuts.append(take(costs)) or cuts[-1])
+    found = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute.order(brute.components(rows, 80, 5))
+    assert cuts[0] > 0
