@@ -112,8 +112,8 @@ def _remove(plan: B.Layout, size: int):
         which, owner = found.distinct, found.ids[found.doc[found.at]]
         gone = suspect[which] & (elsewhere[which] | (owner > found.least[which]))
         edge = np.zeros(len(found.words) + 1, np.int32)
-        np.add.at(edge, found.at[gone], 1)
-        np.add.at(edge, found.at[gone] + size, -1)
+        edge[found.at[gone]] += 1  # a window starts at a place once
+        edge[found.at[gone] + size] -= 1
         keep = np.cumsum(edge[:-1]) == 0
         removed, sha, texts, at = [], [], [], 0
         for text, n in zip(found.texts, found.lengths.tolist()):

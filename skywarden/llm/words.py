@@ -42,13 +42,23 @@ def split(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     return list(chain.from_iterable(each)), np.fromiter(map(len, each), np.int64, len(each))
 
 
+def distinct(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, and the place among them of each word."""
+    place = pa.array(words, pa.large_binary()).dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(place), prepend=-1))  # places count up as new words appear
+    return [words[i] for i in first.tolist()], place
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    some, place = distinct(words)
+    return np.fromiter(map(HASHES.__getitem__, some), np.uint64, len(some))[place]
 
 
 def hash_pairs(words: list[bytes]) -> np.ndarray:
     """The two halves of a 128-bit hash of each word, as two arrays."""
-    return np.ascontiguousarray(np.frombuffer(b"".join(map(DIGESTS.__getitem__, words)), np.uint64).reshape(-1, 2).T)
+    some, place = distinct(words)
+    pairs = np.frombuffer(b"".join(map(DIGESTS.__getitem__, some)), np.uint64).reshape(-1, 2)
+    return np.stack([pairs[:, 0][place], pairs[:, 1][place]])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -241,3 +241,17 @@ def test_lists_whose_members_stay_apart_bring_subsets(spark, monkeypatch):
     found = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80)
     assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute.order(brute.components(rows, 80, 5))
     assert cuts[0] > 0
+
+
+def test_a_repeated_word_is_hashed_once(monkeypatch):
+    asked = []
+
+    class Asked(words.Cache):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    plain = words.hash_pairs([b"a", b"b", b"a", b"c", b"b"] * 50)
+    monkeypatch.setattr(words, "DIGESTS", Asked(words.DIGESTS.function))
+    assert (words.hash_pairs([b"a", b"b", b"a", b"c", b"b"] * 50) == plain).all()
+    assert sorted(asked) == [b"a", b"b", b"c"]
