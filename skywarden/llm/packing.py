@@ -42,6 +42,8 @@ def dot_product_fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, in
     kinds = np.array(sorted(stock, reverse=True), np.int64).reshape(-1, 2)
     count = np.array([len(stock[tuple(k)]) for k in kinds.tolist()], np.int64)
     rest: list[tuple[int, int, int]] = []  # (tokens, loss, piece) of pieces that were cut
+    alike = bool((kinds[:, 0] == kinds[:, 1]).all())  # then the largest piece that fits has the largest product
+    size = -kinds[:, 0]
     while count.any() or rest:
         left, sequence = np.array(limits, np.int64), []
         while rest and left[1]:
@@ -56,11 +58,17 @@ def dot_product_fill(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, in
                 rest.append((t - take, min(bearing, t - take), piece))
                 break
         while left[0] and left[1] and count.any():
-            fits = (count > 0) & (kinds[:, 0] <= left[0]) & (kinds[:, 1] <= left[2])
-            if fits.any():
+            if alike:
+                start = int(size.searchsorted(-min(left[0], left[2])))
+                best = start + int((count[start:] > 0).argmax()) if start < len(count) else 0
+                found = start < len(count) and count[best] > 0
+            else:
+                fits = (count > 0) & (kinds[:, 0] <= left[0]) & (kinds[:, 1] <= left[2])
                 share = left / most / most
                 score = np.where(fits, kinds[:, 0] * share[0] + share[1] + kinds[:, 1] * share[2], -1)
                 best = int(score.argmax())
+                found = fits[best]
+            if found:
                 piece, (t, bearing) = stock[tuple(kinds[best].tolist())].pop(), kinds[best].tolist()
                 count[best] -= 1
                 sequence.append((piece, t))

@@ -24,9 +24,11 @@ SPACE = "\u0120"  # fixed value: how byte-level vocabularies write a space
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 # letters of Latin-1, which no normalisation changes, then ASCII punctuation other than the apostrophe, which can begin a word
 PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+ENDING = "".join(c for c in map(chr, range(0x21, 0x7f)) if not c.isalnum() and c != "'")
 PRINTABLE = {*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)}
 # byte-level vocabularies write a printable byte as itself, and the others, in order, as the characters from 256 on
 WRITTEN = dict(zip((b for b in range(256) if b not in PRINTABLE), range(256, 512)))
+LATIN = {c: c.encode().decode("latin-1").translate(WRITTEN) for c in map(chr, range(256))}
 
 
 @lru_cache(maxsize=4)
@@ -72,30 +74,32 @@ def word_chunks(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts; ``kept`` is the worker's memory of chunks and their ids as bytes."""
+    """Ids of texts; ``kept`` is the worker's memory of chunks and their ids as bytes, ``older`` what it held before it was full.
 
-    memories: dict[str, dict[str, bytes]] = {}
+    When half of the memory is full, it becomes the older half, and of that only chunks that are met again stay: frequent chunks
+    are learnt once, however many rare ones pass.
+    """
+
+    memories: dict[str, list[dict[str, bytes]]] = {}
 
     def __init__(self, path: str, chunks: Callable[[str], list[str]]):
         self.path, self.chunks = path, chunks
-        self.kept = Encoder.memories.setdefault(path, {"": b""})
+        self.halves = Encoder.memories.setdefault(path, [{"": b""}, {}])
+        self.kept, self.older = self.halves
         self.model = tokenizer(path).model
         self.endings = {"": b""}  # ids of punctuation behind letters
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one."""
         cut = [self.chunks(text) if text else [] for text in texts]
-        kept = self.kept
-        if len(kept) >= CACHED_CHUNKS:
-            kept.clear()
-            kept[""] = b""
-        found = [list(map(kept.get, chunks)) for chunks in cut]
-        places = [[i for i, ids in enumerate(own) if ids is None] if None in own else [] for own in found]
-        self._learn(list({chunks[i] for chunks, own in zip(cut, places) for i in own}))
-        for chunks, own, ids in zip(cut, places, found):
-            for i in own:
-                ids[i] = kept[chunks[i]]
-        return [np.frombuffer(b"".join(ids), np.uint32) for ids in found]
+        if len(self.kept) >= CACHED_CHUNKS // 2:
+            self.halves[:] = self.kept, self.older = {"": b""}, self.kept
+        kept, older = self.kept, self.older
+        new = set().union(*cut).difference(kept)
+        again = [chunk for chunk in new if chunk in older]
+        kept.update(zip(again, map(older.__getitem__, again)))
+        self._learn([*new.difference(again)])
+        return [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.uint32) for chunks in cut]
 
     def _learn(self, chunks: list[str]) -> None:
         others = self._learn_plain(chunks)
@@ -107,23 +111,30 @@ class Encoder:
 
     def _learn_plain(self, chunks: list[str]) -> list[str]:
         """Learn chunks of letters and punctuation behind them from the model alone; the others are returned."""
-        others, kept, lower = [], self.kept, self.chunks is word_chunks
+        others, kept, older, lower = [], self.kept, self.older, self.chunks is word_chunks
         for chunk in chunks:
-            found = PLAIN.fullmatch(chunk)
-            if not found:
-                others.append(chunk)
-                continue
-            letters, ending = found.groups()
-            if ending not in self.endings:
-                if len(self.endings) >= 10_000:
-                    self.endings = {"": b""}
-                self.endings[ending] = self._word(ending)
-            own = kept.get(letters) or self._word(letters.lower() if lower else letters)
-            kept[chunk] = own + self.endings[ending]
+            letters = chunk.rstrip(ENDING)
+            if not letters.isascii() or not (letters.isalpha() or letters[:1] == " " and letters[1:].isalpha()):
+                found = PLAIN.fullmatch(chunk)
+                if not found:
+                    others.append(chunk)
+                    continue
+                letters = found[1]
+            own = kept.get(letters) or older.get(letters)
+            if own is None:  # kept also where only other endings were met, so that the model sees the letters once
+                own = self._word(letters.lower() if lower else letters)
+            kept[letters] = own
+            if len(letters) < len(chunk):
+                ending = chunk[len(letters):]
+                if ending not in self.endings:
+                    if len(self.endings) >= 10_000:
+                        self.endings = {"": b""}
+                    self.endings[ending] = self._word(ending)
+                kept[chunk] = own + self.endings[ending]
         return others
 
     def _word(self, word: str) -> bytes:
-        written = word.encode().decode("latin-1").translate(WRITTEN)
+        written = word.replace(" ", SPACE) if word.isascii() else "".join(map(LATIN.__getitem__, word))
         return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
 
     def _learn_together(self, chunks: list[str]) -> list[str]:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -37,6 +38,24 @@ def test_plain_words_have_the_ids_of_the_whole_text(path, chunks):
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path, chunks", [(WORD_BPE, tokens.word_chunks), (BYTE_BPE, tokens.space_chunks)])
+def test_a_full_memory_keeps_frequent_chunks(path, chunks, monkeypatch):
+    """A frequent word goes to the model once, with whatever punctuation behind it, however many rare words pass."""
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 200)
+    monkeypatch.setattr(tokens.Encoder, "memories", {})
+    rng, learnt = random.Random(3), Counter()
+    own = tokens.Encoder._word
+    monkeypatch.setattr(tokens.Encoder, "_word", lambda self, word: learnt.update([word.strip()]) or own(self, word))
+    encoder, whole = tokens.Encoder(path, chunks), Tokenizer.from_file(path)
+    for _ in range(60):
+        rare = ["".join(rng.choices("abc\u00e9", k=12)) for _ in range(30)]
+        texts = [None, "", "1 often, " + " ".join(rare) + " often often. often!!", " ".join(rare)]
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert ids.tolist() == whole.encode(text or "", add_special_tokens=False).ids
+    assert learnt["often"] == 1
+    assert len(encoder.kept) + len(encoder.older) < 400
+
+
 def test_token_files_hold_the_stream(messy, messy_rows, tmp_path):
     index = tokenfile.write_tokens(messy, f"file://{tmp_path}/t", WORD_BPE)
     found = rows_of(tokenfile.read_tokens(index), "doc_id", "start", "n_tokens", "ids_crc32")
