@@ -19,6 +19,11 @@ def normalised(text: str) -> Column:
     return F.coalesce(F.regexp_replace(text, SPACES, " "), F.lit(""))
 
 
+def grouped(rows: DataFrame, *measures: Column) -> DataFrame:
+    """``rows`` (doc_id, norm) by text: the hash deals them out, the text tells them apart."""
+    return rows.groupBy(F.unhex(F.md5("norm")).alias("hash"), "norm").agg(*measures)
+
+
 def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -29,8 +34,7 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm"))
     digest = [F.unhex(F.md5("norm")).alias("hash"), F.unhex(F.sha2("norm", 256)).alias("sha")]
-    groups = (rows.select("doc_id", "norm", digest[0]).groupBy("hash", "norm")
-              .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = (grouped(rows, F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
               .select("hash", digest[1], "keep_id", "group_size"))
     groups = written(groups, "groups")
     return rows.select("doc_id", *digest).join(groups, ["hash", "sha"]).select(
@@ -49,5 +53,11 @@ def without(docs: DataFrame, doc_id: str, verdicts: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns."""
-    return without(docs, doc_id, mark_copies(docs, doc_id, text).select("doc_id", "kept"))
+    """The documents that stay, with their own columns: those ``mark_copies`` says are kept.
+
+    A document stays if it is the smallest of a group, so the groups' smallest identifiers, beside all identifiers, say what goes;
+    digests are not joined, and the list of what goes is the only table written.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm"))
+    smallest = grouped(rows, F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("kept"))
+    return without(docs, doc_id, rows.select("doc_id", F.lit(False).alias("kept")).union(smallest))

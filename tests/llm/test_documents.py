@@ -115,6 +115,19 @@ def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
     assert rows_of(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute.order(brute.copies(rows))
 
 
+def test_documents_without_copies_need_one_written_table(spark, monkeypatch):
+    """Only the list of what goes is written, and texts are grouped once, with no second pass for digests."""
+    tables, hashed = [], []
+    monkeypatch.setattr(exact, "written", lambda df, name, put=exact.written: tables.append(name) or put(df, name))
+    monkeypatch.setattr(exact.F, "sha2", lambda c, n, put=F.sha2: hashed.append(n) or put(c, n))
+    monkeypatch.setattr(exact.F, "md5", lambda c: F.lit("00" * 16))
+    rows = [(3, "a  b"), (1, "a b"), (2, "c"), (2, "a b"), (4, "c"), (None, "c"), (None, "only"), (None, "only"), (5, None), (6, "")]
+    found = exact.without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert brute.order([tuple(r) for r in found.collect()]) == brute.order(
+        [row for row in rows if row[0] in {m[0] for m in brute.copies(rows) if m[3]}])
+    assert (tables, hashed) == (["gone"], [])
+
+
 def test_chunks_give_the_ids_of_the_whole_text():
     rng = random.Random(1)
     alphabet = [" ", " ", "\n", "\t", "\x1c", " ", " ", "a", "b", "Z", "é", "1", "'s", "'", ".", "<|endoftext|>", "漢", "́", "\r\n", "_", "Σ"]
