@@ -195,11 +195,24 @@ def _stars(entries: DataFrame, fits: Column) -> DataFrame:
             .where((F.col("a") != F.col("b")) & fits).select("a", "b").distinct())
 
 
+def _named(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    return written(entries.join(labels, entries.rep == labels.node, "left")
+                   .select("key", "rep", "n", "r", F.coalesce("component", "rep").alias("component")), "named")
+
+
+def _fitting(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Entries of lists with members in different components: key, rep, n, r, component; without those whose bound is too small
+    even for the list's smallest set, as no pair of theirs can fit."""
+    named = _named(entries, labels)
+    lists = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
+    lists = written(lists.where("low <> high").select(F.col("key").alias("list"), "least"), "apart")
+    return written(named.join(lists, F.expr(f"key = list AND {100 + percent} * r >= {percent} * (n + least)"))
+                   .select("key", "rep", "n", "r", "component"), "members")
+
+
 def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of lists with members in different components: key, rep, n, r, component, others (entries of the list in other components)."""
-    named = (entries.join(labels, entries.rep == labels.node, "left")
-             .select("key", "rep", "n", "r", F.coalesce("component", "rep").alias("component")))
-    named = written(named, "named")
+    named = _named(entries, labels)
     own = written(named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own")), "own")
     lists = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("own").alias("listed"))
     own = written(own.join(written(lists.where("low <> high").select("key", "listed"), "apart"), "key"), "own")
@@ -268,8 +281,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         subsets = _listed(small, _subsets, "two")
         links = written(links.unionByName(_linked(_stars(subsets, fits), sets, percent)), "links")
         labels = components(links)
-        members = _apart(entries.where(100 * F.col("n") >= percent * cut), labels)
-        rest = _rest(_apart(subsets, labels), fits).union(_rest(members, fits & (F.greatest("n_a", "n_b") > cut))).distinct()
+        members = _fitting(entries.where(100 * F.col("n") >= percent * cut), labels, percent)
+        rest = _rest(_fitting(subsets, labels, percent), fits).union(_rest(members, fits & (F.greatest("n_a", "n_b") > cut))).distinct()
     else:
         rest = _rest(members, fits)
     more = written(_linked(rest, sets, percent), "links")

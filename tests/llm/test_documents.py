@@ -268,3 +268,23 @@ def test_a_repeated_word_is_hashed_once(monkeypatch):
     monkeypatch.setattr(words, "DIGESTS", Asked(words.DIGESTS.function))
     assert (words.hash_pairs([b"a", b"b", b"a", b"c", b"b"] * 50) == plain).all()
     assert sorted(asked) == [b"a", b"b", b"c"]
+
+
+def test_members_that_fit_no_set_of_their_list_are_not_written(spark, monkeypatch):
+    """A phrase shared by texts that cannot link: behind the boundary, only entries whose bound allows the list's smallest set stay."""
+    phrase = [f"p{i}" for i in range(12)]
+    rows = [(doc, " ".join([f"a{doc}", *phrase, f"z{doc}"])) for doc in range(80)]
+    rows += [(100 + doc, " ".join([f"a{doc}", *phrase, f"z{doc}", f"end{doc}"])) for doc in range(0, 80, 7)]
+    rows += [(200 + doc, " ".join([*phrase, "long", f"y{doc}"])) for doc in range(5)]
+    tables, cuts = [], []
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, put=ngram_join.written: tables.append((name, put(df, name))) or tables[-1][1])
+    monkeypatch.setattr(ngram_join, "boundary", lambda costs, take=ngram_join.boundary: cuts.append(take(costs)) or cuts[-1])
+    found = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id") == brute.order(brute.components(rows, 80, 5))
+    members = [table for name, table in tables if name == "members"][1:]
+    assert cuts[0] > 0 and len(members) == 2
+    lists = [table for name, table in tables if name == "named"][1:]
+    for kept, named in zip(members, lists):
+        least = named.groupBy("key").agg(F.min("n").alias("least"))
+        assert kept.join(least, "key").where("180 * r < 80 * (n + least)").isEmpty()
+        assert kept.count() < named.count()
