@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from skywarden.operators import buckets, ordered
@@ -11,8 +13,8 @@ from skywarden.operators.sequence import sequence_alerts
 from skywarden.operators.suppress import greedy_suppress
 from skywarden.operators.tracks import FIRST, RATE, RECENT, RUNNING, SEEN, Track, followed
 from skywarden.sources.readers import stream_packets
-from skywarden.streaming import buckets as sb, late, stateful
-from skywarden.streaming.following import stream_followed
+from skywarden.streaming import buckets as sb, late, runs, stateful
+from skywarden.streaming.following import Following, stream_followed
 from skywarden.streaming.replay import run_to_end
 
 
@@ -129,3 +131,95 @@ def test_late_packets_open_their_bucket_again(spark, frames, tmp_path):
     found = run_to_end(late.reopening_buckets(stream_packets(spark, folder, files_per_trigger=1)), "late")
     rows = sorted((r.window_start.second, r.edition, r.http_reqs) for r in found.collect())
     assert rows == [(0, 1, 2), (0, 2, 2), (0, 3, 1), (10, 1, 1), (20, 1, 2)]
+
+
+class Kept:
+    """A state store's handle that keeps all in dicts."""
+
+    def __init__(self):
+        self.maps = {}
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.maps.setdefault(name, KeptMap())
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self.getMapState(name)
+
+
+class KeptMap(dict):
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def getValue(self, key):  # noqa: N802
+        return dict.get(self, key)
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.pop(key, None)
+
+    def exists(self):
+        return "value" in self
+
+    def get(self):
+        return self["value"]
+
+    def update(self, value):
+        self["value"] = value
+
+
+def key_rows(at, values):
+    return pd.DataFrame({"at": at, "seq": range(len(at)), "amount": 1, "also": 0, "values": [[v] for v in values],
+                         "ts": pd.to_datetime(at, unit="us"), "row": [str(i) for i in range(len(at))]})
+
+
+def handled(kind, window, *triggers):
+    """(row, n) of one key over triggers of frames, and the largest frame that came out."""
+    operator = Following([kind], [window], False)
+    operator.init(Kept())
+    out = [frame for frames in triggers for frame in operator.handleInputRows((0, "k"), iter(frames), None)]
+    return sorted((int(r), int(n)) for frame in out for r, n in zip(frame["row"], frame["n"])), max(map(len, out))
+
+
+def test_one_tie_among_many_rows_of_a_key():
+    at = [10 * i for i in range(300_000)]
+    at[1] = at[0]
+    began = time.monotonic()
+    got, _ = handled(RECENT, 100, [key_rows(at, [str(i % 7) for i in range(len(at))])])
+    assert time.monotonic() - began < 30  # a pass over all rows for each time takes minutes
+    assert [n for _, n in got[:9]] == [1, 2, 3, 4, 5, 6, 7, 7, 7]
+
+
+def test_a_large_trigger_is_handled_in_blocks():
+    rng = random.Random(3)
+    at = sorted(rng.randrange(40_000) for _ in range(120_000))  # many at one time
+    rows = key_rows(at, [rng.choice([None, *"abcdefghijklmnop"]) for _ in at])
+    parts = [rows.iloc[order] for order in (slice(1, None, 2), slice(0, None, 2))]  # not in order
+    window = 9
+    for kind, want in ((RECENT, lambda i, first: rows["values"][first:i + 1].map(lambda v: v[0]).nunique()), (RATE, lambda i, first: i - first + 1)):
+        got, largest = handled(kind, window, [part.iloc[k:k + 10_000] for part in parts for k in range(0, len(part), 10_000)])
+        assert len(got) == len(at) and largest < 60_000
+        for i in [*range(0, len(at), 997), len(at) - 1]:
+            assert got[i] == (i, want(i, rows["at"].searchsorted(at[i] - window)))
+        halves = [rows.iloc[:70_000]], [rows.iloc[70_000:]]
+        assert handled(kind, window, *halves)[0] == got
+
+
+def test_tracks_in_merged_blocks_equal_the_batch(spark, frames, tmp_path, monkeypatch):
+    for name, value in (("RUN", 7), ("PIECE", 2), ("FAN", 3)):
+        monkeypatch.setattr(runs, name, value)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, "3")
+    folder = str(tmp_path / "packets")
+    rows = [{**r, "at": i // 3 / 4} for i, r in enumerate(traffic(n=160))]
+    written_in_parts(frames, rows, folder, parts=2)
+    try:
+        out = run_to_end(stream_followed(stream_packets(spark, folder), every_kind(), ["sport"]), "tracks")
+        assert tracked(out) == tracked(followed(spark.read.parquet(folder), every_kind(), ["sport"]))
+    finally:
+        spark.conf.set(setting, usual)
