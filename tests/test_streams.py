@@ -12,6 +12,7 @@ from skywarden.operators import buckets, ordered
 from skywarden.operators.sequence import sequence_alerts
 from skywarden.operators.suppress import greedy_suppress
 from skywarden.operators.tracks import FIRST, RATE, RECENT, RUNNING, SEEN, Track, followed
+from skywarden.sources import sinks
 from skywarden.sources.readers import stream_packets
 from skywarden.streaming import buckets as sb, late, runs, stateful
 from skywarden.streaming.following import Following, stream_followed
@@ -223,3 +224,18 @@ def test_tracks_in_merged_blocks_equal_the_batch(spark, frames, tmp_path, monkey
         assert tracked(out) == tracked(followed(spark.read.parquet(folder), every_kind(), ["sport"]))
     finally:
         spark.conf.set(setting, usual)
+
+
+def test_hits_go_through_the_state_once(spark, frames, tmp_path):
+    folder = str(tmp_path / "packets")
+    written_in_parts(frames, traffic(), folder, parts=1)
+    runs_of_rows = spark.sparkContext.accumulator(0)
+
+    def seen(number):
+        runs_of_rows.add(1)
+        return number
+    hits = stream_packets(spark, folder).select("packet_id", F.udf(seen, "long")("packet_id").alias("n"))
+    sinks.stream_verdicts(hits, str(tmp_path / "out"), str(tmp_path / "state"),
+                          lambda found: found.where("n % 2 = 0").unionByName(found.where("n % 2 = 1"))).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 80
+    assert runs_of_rows.value == 80
