@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from skywarden.ml import calibration, hybrid, models
@@ -96,3 +97,19 @@ def test_findings_keep_keys_out_of_the_features(noisy, trained):
     assert found["transport"].count() == 2000
     sure = hybrid.layer_findings({"transport": log}, {"transport": trained}, {"transport": ["packet_id"]}, floor=0.9)
     assert sure["transport"].count() == 0
+
+
+def test_a_condition_on_findings_brings_no_copies_of_the_model(noisy, trained):
+    log = noisy.withColumn("packet_id", F.col("timestamp").cast("long"))
+    found = hybrid.layer_findings({"transport": log}, {"transport": trained}, {"transport": ["packet_id"]}, floor=0.5)["transport"]
+    assert "UDF(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_class_only_among_held_rows_has_no_curve(spark):
+    rows = [(float(i % 3), Vectors.dense([i / 10, 1 - i / 10])) for i in range(9)]  # the model knows classes 0 and 1
+    found = calibration.curves(spark.createDataFrame(rows, ["label", "rawPrediction"]), 3)
+    assert [curve.getFeatureIndex() for curve in found] == [0, 1]
+    scored = spark.createDataFrame(rows, ["label", "rawPrediction"])
+    for curve in found:
+        scored = curve.transform(scored)
+    assert scored.count() == scored.where("calibrated_0 >= 0 AND calibrated_1 >= 0").count() == 9
