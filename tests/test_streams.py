@@ -239,3 +239,11 @@ def test_hits_go_through_the_state_once(spark, frames, tmp_path):
                           lambda found: found.where("n % 2 = 0").unionByName(found.where("n % 2 = 1"))).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
     assert runs_of_rows.value == 80
+
+
+def test_rows_without_a_time_come_last_in_any_number():
+    rows = key_rows(range(60_000), ["a"] * 60_000)
+    rows["at"] = rows["at"].where(rows["at"] % 7 != 0)
+    got = list(runs.in_order(rows.iloc[k:k + 9_000] for k in range(0, 60_000, 9_000)))
+    assert len(got) > 1 and [r for block in got for r in block["row"]] == [*(str(i) for i in range(60_000) if i % 7), *(str(i) for i in range(0, 60_000, 7))]
+    assert sum(int(block["at"].isna().sum()) for block in got) == 8572
